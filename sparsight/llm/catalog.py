@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .fingerprints import op3_iblt_fingerprints
+from .packing import op4_matched_packing
 from .sharding import op1_hypergeometric_shards
+from .tokens import op5_bpe_roundtrip
 
 
 def queries() -> dict:
-    own = [op1_hypergeometric_shards, op3_iblt_fingerprints]
+    own = [op1_hypergeometric_shards, op3_iblt_fingerprints, op4_matched_packing, op5_bpe_roundtrip]
     return {f.__name__: f for f in own}
 
 
