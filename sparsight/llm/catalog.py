@@ -5,13 +5,14 @@ from __future__ import annotations
 from .fingerprints import op3_iblt_fingerprints
 from .languages import op7_cross_parsing
 from .packing import op4_matched_packing
+from .scoring import op10_trie_scores
 from .secrets import op9_randomness_scan
 from .sharding import op1_hypergeometric_shards
 from .tokens import op5_bpe_roundtrip
 
 
 def queries() -> dict:
-    own = [op1_hypergeometric_shards, op3_iblt_fingerprints, op4_matched_packing, op5_bpe_roundtrip, op7_cross_parsing, op9_randomness_scan]
+    own = [op1_hypergeometric_shards, op3_iblt_fingerprints, op4_matched_packing, op5_bpe_roundtrip, op7_cross_parsing, op9_randomness_scan, op10_trie_scores]
     return {f.__name__: f for f in own}
 
 
