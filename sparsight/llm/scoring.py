@@ -8,7 +8,7 @@ answers return to the blocks, whose texts are then scored. Volumes follow the in
 whatever the words are, and nothing but N and V reaches the driver.
 
 A trie has two levels of monotone integers in Elias-Fano form: contexts, pointers to each context's successors, and the
-successors, numbered relative to the end of the context before so that they rise across contexts; a level of one-byte
+successors, numbered relative to the end of the context before so that they rise across contexts; a level of two-byte
 codes holds the pairs' probabilities (joint, on a logarithmic grid). The blob is flat, so `Trie` reads it from any
 buffer, a memory-mapped file included.
 """
@@ -29,9 +29,9 @@ from .languages import in_fold
 PRIOR = 60.0
 ROWS_PER_BLOCK = 5000
 SHARDS_PER_BLOCK = 2
-#: The one-byte grid of counts: 0, then exact, then geometric up to 2^62.
-_EXACT = 96
-LEVELS = np.concatenate([np.arange(_EXACT + 1.0), np.exp(np.linspace(np.log(_EXACT), np.log(2.0**62), 256 - _EXACT))[1:]])
+#: The two-byte grid of counts: 0, then exact, then geometric up to 2^62 by steps of 0.07 %.
+_EXACT = 16384
+LEVELS = np.concatenate([np.arange(_EXACT + 1.0), np.exp(np.linspace(np.log(_EXACT), np.log(2.0**62), 65536 - _EXACT))[1:]])
 _MIDDLES = (LEVELS[1:] + LEVELS[:-1]) / 2
 _LOWER = bytes(range(256)).lower()
 #: No word is empty, so the empty one stands for a document's end, which is also what comes before its first word.
@@ -74,18 +74,18 @@ class EliasFano:
 
 def quantise(counts: np.ndarray) -> np.ndarray:
     """The nearest grid code of each count; only 0 has code 0."""
-    return np.searchsorted(_MIDDLES, counts).astype(np.uint8)
+    return np.searchsorted(_MIDDLES, counts).astype("<u2")
 
 
 class Trie:
-    """Pairs (context, successor) of 32-bit numbers with a code each."""
+    """Pairs (context, successor) of 32-bit numbers with a two-byte code each."""
 
     def __init__(self, buffer):
         contexts = EliasFano(buffer)
         pointers = EliasFano(buffer, contexts.end)
         successors = EliasFano(buffer, pointers.end)
         self.contexts, self.pointers, self.successors = contexts.decode(), pointers.decode().astype(np.int64), successors.decode()
-        self.codes = np.frombuffer(buffer, np.uint8, successors.n, successors.end)
+        self.codes = np.frombuffer(buffer, "<u2", successors.n, successors.end)
         #: What a context's successors are counted from: one more than the last number of the context before.
         ends = self.pointers[1:-1] if len(self.contexts) else self.pointers[:0]
         self.bases = np.concatenate([np.zeros(min(1, len(self.contexts)), np.uint64), self.successors[ends - 1] + np.uint64(1)])
@@ -104,14 +104,14 @@ class Trie:
     def lookup(self, pairs: np.ndarray) -> np.ndarray:
         """The code of each pair, 0 where there is none: the context first, then its successors by their relative numbers."""
         if not len(self.contexts):
-            return np.zeros(len(pairs), np.uint8)
+            return np.zeros(len(pairs), "<u2")
         context = pairs >> np.uint64(32)
         c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
         wanted = (pairs & np.uint64(0xFFFFFFFF)) + self.bases[c]
         j = np.searchsorted(self.successors, wanted)
         inside = (self.contexts[c] == context) & (j < self.pointers[c + 1])
         j = np.minimum(j, len(self.successors) - 1)
-        return np.where(inside & (self.successors[j] == wanted), self.codes[j], 0).astype(np.uint8)
+        return np.where(inside & (self.successors[j] == wanted), self.codes[j], 0).astype("<u2")
 
 
 def words(text: str) -> list[bytes]:
@@ -212,14 +212,15 @@ def _answer(group: pa.Table) -> pa.Table:
 def _scores(shards: int, total: int, distinct: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs.column("text").to_pylist(), docs.column("training").to_numpy())
-        count, code = np.zeros(len(block.word_keys), np.int64), np.zeros(len(block.pair_keys), np.uint8)
+        count, code = np.zeros(len(block.word_keys), np.int64), np.zeros(len(block.pair_keys), "<u2")
         got = {s: (c, k) for s, c, k in zip(*(answers.column(x).to_pylist() for x in ("shard", "counts", "codes")))}
         for s, w, p in block.by_shard(shards):
-            count[w], code[p] = np.frombuffer(got[s][0], "<i8"), np.frombuffer(got[s][1], np.uint8)
+            count[w], code[p] = np.frombuffer(got[s][0], "<i8"), np.frombuffer(got[s][1], "<u2")
         chance = (count + 0.5) / (total + 0.5 * (distinct + 1))
         by_doc = lambda x: np.add.reduceat(x, block.starts)
         own = count[block.word_of]
-        smoothed = (LEVELS[code[block.pair_of]] + PRIOR * chance[block.word_of]) / (count[block.context_of] + PRIOR)
+        context = count[block.context_of]
+        smoothed = (np.minimum(LEVELS[code[block.pair_of]], context) + PRIOR * chance[block.word_of]) / (context + PRIOR)
         return pa.table(
             {
                 "id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": block.sizes, "n_known": by_doc((own > 0).astype(np.int64)),
