@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from . import search
 from .fingerprints import op3_iblt_fingerprints
+from .jaccard import op2_count_vector_join
 from .languages import op7_cross_parsing
 from .packing import op4_matched_packing
 from .scoring import op10_trie_scores
+from .search import op6_maxscore_neighbours
 from .secrets import op9_randomness_scan
 from .sharding import op1_hypergeometric_shards
 from .tokens import op5_bpe_roundtrip
 
 
 def queries() -> dict:
-    own = [op1_hypergeometric_shards, op3_iblt_fingerprints, op4_matched_packing, op5_bpe_roundtrip, op7_cross_parsing, op9_randomness_scan, op10_trie_scores]
+    own = [
+        op1_hypergeometric_shards, op2_count_vector_join, op3_iblt_fingerprints, op4_matched_packing, op5_bpe_roundtrip,
+        op6_maxscore_neighbours, op7_cross_parsing, op9_randomness_scan, op10_trie_scores,
+    ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express; the others are tested against brute force, round trips and held-out rows."""
+    return {"op6_maxscore_neighbours": search.ORACLE}
