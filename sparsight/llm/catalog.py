@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import search
 from .fingerprints import op3_iblt_fingerprints
+from .html import op8_dom_marginals
 from .jaccard import op2_count_vector_join
 from .languages import op7_cross_parsing
 from .packing import op4_matched_packing
@@ -17,7 +18,7 @@ from .tokens import op5_bpe_roundtrip
 def queries() -> dict:
     own = [
         op1_hypergeometric_shards, op2_count_vector_join, op3_iblt_fingerprints, op4_matched_packing, op5_bpe_roundtrip,
-        op6_maxscore_neighbours, op7_cross_parsing, op9_randomness_scan, op10_trie_scores,
+        op6_maxscore_neighbours, op7_cross_parsing, op8_dom_marginals, op9_randomness_scan, op10_trie_scores,
     ]
     return {f.__name__: f for f in own}
 
