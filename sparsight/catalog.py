@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import models, patterns, series
+
+QUERIES = {**series.QUERIES, **patterns.QUERIES, **models.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
