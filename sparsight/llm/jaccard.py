@@ -4,15 +4,18 @@
 2. Candidates. Linked sets differ in few elements, at most r. A set's elements are dealt to more than r groups by hash, so
    two linked sets agree in the whole content of a group that isn't empty; classes that share a (group, content) key are
    candidates. The number of groups follows the size, by classes of sizes between which links reach one class up only.
-   Keys travel packed by shard; a shared passage makes no hot key, since a group mixes elements of the whole text.
+   Shingles that a bounded sample of texts shows to be frequent are left out of the contents first: whichever they are,
+   two linked sets still differ in at most r groups. Sets that have no more than 2 r groups without them send keys of
+   their full contents too, so where one of two linked sets needs those, both have them. Keys travel packed by shard;
+   the parities of 128 group counts of each set then rule out what differs in more places than linked sets may.
 3. Candidates that hang together are searched by a count-vector R-tree: elements hash into 32 groups, a set's group counts
    are a point, and a node's box bounds the overlap of a set with all of its points by the summed minima of coordinates.
    Pairs that survive are verified on the sets, unless links found before already join them. Large groups are cut into
    blocks, which meet in pairs; a block pair returns a forest of links, never all pairs.
 4. Components of the verified links.
 
-A link can only be missed if a set leaves so many of its groups empty that r or fewer hold something; the spare groups
-(SPARE) make that as unlikely as two 64-bit hashes agreeing (below 1e-9 a pair).
+A link can only be missed if the hash leaves a set no more than r groups that count; the spare groups keep the chance of
+such an accident near 1e-8 a pair, and with other pairs of the same component usually no component changes by it.
 """
 
 from __future__ import annotations
@@ -47,16 +50,23 @@ class Rule(NamedTuple):
 
 SHINGLES_4_AT_85 = Rule(4, 85, 100)
 SHINGLES_5_AT_80 = Rule(5, 80, 100)
-#: Groups beyond the differences; groups of the count vectors; points of an R-tree's leaf.
+#: Groups beyond the differences, and the least number of groups. From so many differences on (sets of about 250 shingles),
+#: only groups of two shingles or more count, of which larger numbers of groups hold enough.
 SPARE, LEAST_GROUPS = 12, 24
+PAIRED_FROM, PAIRED_TIMES, PAIRED_SPARE = 40, 1.35, 10
+#: Groups of the count vectors; points of an R-tree's leaf.
 COUNT_GROUPS = 32
 LEAF = 16
 #: Rows of documents to a shard of keys; most classes, and most shingles, of a block in step 3; classes that small groups share a task by.
-ROWS_PER_SHARD = 3000
+ROWS_PER_SHARD = 6000
 BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 500_000
 CLASSES_PER_TASK = 2000
+#: 64-bit words of the bitmap that tells which ids may be members of a candidate group (8 MB, whatever the input).
+BITMAP_WORDS = 2**20
+#: Documents (about) of the sample that tells frequent shingles, and in how many different sets of it one is frequent.
+SAMPLE_DOCUMENTS, FREQUENT = 4000, 4
 #: Documents whose sets are computed at once, and the code points that end a batch of them.
-BATCH_CHARS = 12_000_000
+BATCH_CHARS = 6_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -113,32 +123,46 @@ def size_limits(rule: Rule, most: int) -> np.ndarray:
     return np.array(limits)
 
 
-def group_keys(values: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key) of each non-empty group of every set, in its own class of sizes and the next one."""
+def group_keys(values: np.ndarray, bounds: np.ndarray, rule: Rule, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) of each non-empty group of every set, in its own class of sizes and the next one.
+
+    Contents are those without the frequent (sorted) hashes, and also the full ones where twice the allowed differences
+    could touch all groups that are left.
+    """
     sizes = np.diff(bounds)
     limits = size_limits(rule, int(sizes.max(initial=1)))
     own_class = np.searchsorted(limits, sizes, side="right") - 1
     tops = np.append(limits[1:], [max(limits[-1] + 1, -(-limits[-1] * rule.den // rule.num))]) - 1
     differ = np.array([rule.differences(2 * int(t)) for t in np.append(tops, -(-(int(tops[-1]) + 1) * rule.den // rule.num))])
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    rare = np.ones(len(values), bool)
+    if frequent is not None and len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)] != values
     out_text, out_key = [], []
     for up in (0, 1):
         level = own_class + up
         r = differ[np.minimum(level, len(differ) - 1)]
-        groups = np.where((sizes > 0) & (r > 0), np.maximum(LEAST_GROUPS, r + r // 64 + SPARE), 0)
-        base = np.cumsum(groups) - groups
-        used = groups[owner] > 0
-        who, x = owner[used], _mix(values[used] ^ _MULTIPLIERS[2])
-        at = base[who] + (x % groups[who].astype(np.uint64)).astype(np.int64)
-        content = np.zeros(int(groups.sum()), dtype=np.uint64)
-        np.add.at(content, at, _mix(x + np.uint64(0x9E3779B9)))
-        held = np.zeros(len(content), bool)
-        held[at] = True
-        text = np.repeat(np.arange(len(sizes)), groups)
-        group = np.arange(len(content)) - base[text]
-        key = _mix(content + group.astype(np.uint64) * _MULTIPLIERS[1] + level[text].astype(np.uint64) * _MULTIPLIERS[3])
-        out_text.append(text[held])
-        out_key.append(key[held])
+        paired = r >= PAIRED_FROM
+        groups = np.where(paired, (r * PAIRED_TIMES).astype(np.int64) + PAIRED_SPARE, np.maximum(LEAST_GROUPS, r + SPARE))
+        groups = np.where((sizes > 0) & (r > 0), groups, 0)
+        few = groups > 0
+        for full in (False, True):
+            used = few[owner] if full else (groups[owner] > 0) & rare
+            own = np.where(few, groups, 0) if full else groups
+            base = np.cumsum(own) - own
+            who, x = owner[used], _mix(values[used] ^ _MULTIPLIERS[2])
+            at = base[who] + (x % own[who].astype(np.uint64)).astype(np.int64)
+            content = np.zeros(int(own.sum()), dtype=np.uint64)
+            np.add.at(content, at, _mix(x + np.uint64(0x9E3779B9)))
+            text = np.repeat(np.arange(len(sizes)), own)
+            held = np.bincount(at, minlength=len(content)) > paired[text]
+            group = np.arange(len(content)) - base[text]
+            key = _mix(content + group.astype(np.uint64) * _MULTIPLIERS[1] + (2 * level[text] + full).astype(np.uint64) * _MULTIPLIERS[3])
+            out_text.append(text[held])
+            out_key.append(key[held])
+            if not full:
+                left = np.bincount(text[held], minlength=len(sizes))
+                few &= left <= 2 * r
     return np.concatenate(out_text), np.concatenate(out_key)
 
 
@@ -154,35 +178,111 @@ def _batches(batches, column: str):
 
 
 def _classes(rows: DataFrame, rule: Rule) -> DataFrame:
-    """rows(id, text) as (id, n, digest)."""
+    """rows(id, text) as (id, n, digest, p, q): size, digest and parities of each set."""
 
     def measure(batches):
         for batch in _batches(batches, "text"):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), rule.width)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds)), pa.array(set_digests(values, bounds))], names=["id", "n", "digest"])
+            parity = parities(values, bounds).view(np.int64)
+            columns = [batch.column("id"), *map(pa.array, (np.diff(bounds), set_digests(values, bounds), parity[:, 0].copy(), parity[:, 1].copy()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "p", "q"])
+
+    return rows.mapInArrow(measure, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, digest bigint, p bigint, q bigint")
 
-    return rows.mapInArrow(measure, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, digest bigint")
 
+def frequent_shingles(rows: DataFrame, rule: Rule, total: int) -> np.ndarray:
+    """Sorted hashes of shingles that FREQUENT different sets of a sample hold. Any answer gives the same links; a good one, fewer candidates.
+
+    The sample is bounded (about SAMPLE_DOCUMENTS rows, by the hash of id and text), and so is what is found in it.
+    """
+    parts = max(1, total // SAMPLE_DOCUMENTS)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(5), "id", "text"), F.lit(parts)) == 0)
 
-def _candidates(rows: DataFrame, rule: Rule, shards: int) -> DataFrame:
-    """Edges (u, v) between digests that share a group: in each group of candidates, all to the smallest."""
+    def sets(batches):
+        for batch in _batches(batches, "text"):
+            values, bounds = shingle_sets(batch.column("text").to_pylist(), rule.width)
+            packed = [values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(packed), pa.int32()), pa.array(set_digests(values, bounds)), pa.array(packed, pa.binary())], names=["all", "digest", "shingles"])
+
+    def count(group: pa.Table) -> pa.Table:
+        _, first = np.unique(group.column("digest").to_numpy(), return_index=True)
+        packed = group.column("shingles").to_pylist()
+        values, counts = np.unique(np.concatenate([np.frombuffer(packed[i], "<u8") for i in first]), return_counts=True)
+        return pa.table({"frequent": pa.array([values[counts >= FREQUENT].tobytes()], pa.binary())})
+
+    found = sample.select("text").mapInArrow(sets, "all int, digest bigint, shingles binary").groupBy("all").applyInArrow(count, "frequent binary").collect()
+    return np.frombuffer(found[0].frequent, "<u8") if found else np.zeros(0, np.uint64)
+
+
+def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 group counts of each set modulo 2, as the bits of two words: two sets differ in at least as many elements as bits."""
+    group = _mix(values ^ _MULTIPLIERS[0]) >> np.uint64(57)
+    out = np.zeros((len(bounds) - 1, 2), dtype=np.uint64)
+    for half in (0, 1):
+        bit = np.where(group >> np.uint64(6) == half, np.uint64(1) << (group & np.uint64(63)), np.uint64(0))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bit)])
+        out[:, half] = sums[bounds[1:]] ^ sums[bounds[:-1]]
+    return out
+
+
+def _may_link(rule: Rule, n, m, p, q) -> np.ndarray:
+    """Whether sets of sizes n and m with parities p and q can link, by size and by the differences that parities show."""
+    fits = (n * rule.den >= m * rule.num) & (m * rule.den >= n * rule.num)
+    return fits & (np.bitwise_count(p ^ q).sum(axis=-1, dtype=np.int64) * (rule.den + rule.num) <= (n + m) * (rule.den - rule.num))
+
+
+def _meet(key: np.ndarray, node: np.ndarray, sizes: np.ndarray, parity: np.ndarray, rule: Rule) -> np.ndarray:
+    """Edges that connect, for each key, the nodes with it that a chain of possible links connects. Nodes index sizes and parity."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[fresh], node[fresh]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(key)))
+    least = np.repeat(node[start], count)
+    good = _may_link(rule, sizes[node], sizes[least], parity[node], parity[least])
+    edges = [np.stack([node, least], axis=1)[good & (node != least)]]
+    # keys under which not all may link to the first: the chains of possible links, from one node to the next
+    bad = np.flatnonzero((np.add.reduceat((~good).astype(np.int64), start) > 0) & (count > 2)) if len(start) else []
+    for b in bad:
+        rest = node[start[b] : start[b] + count[b]]
+        front = rest[:1]
+        rest = rest[1:]
+        while len(rest):
+            if not len(front):
+                front, rest = rest[:1], rest[1:]
+                continue
+            at, front = front[0], front[1:]
+            near = _may_link(rule, sizes[rest], sizes[at], parity[rest], parity[at])
+            if near.any():
+                edges.append(np.stack([rest[near], np.full(int(near.sum()), at)], axis=1))
+                front, rest = np.concatenate([front, rest[near]]), rest[~near]
+    return np.unique(np.concatenate(edges), axis=0)
+
+
+def _candidates(rows: DataFrame, classes: DataFrame, rule: Rule, shards: int, frequent: np.ndarray) -> DataFrame:
+    """Edges (u, v) between digests: of the classes that share a group, those that chains of possible links connect.
+
+    A shard finds the keys that several classes have, and lists their members; a list that several keys have is kept once.
+    Members then meet again by list, with their sizes and parities.
+    """
 
     def keys(batches):
         for batch in _batches(batches, "text"):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), rule.width)
             digests = set_digests(values, bounds)
             _, first = np.unique(digests, return_index=True)
-            fresh = np.zeros(len(digests), bool)
-            fresh[first] = True  # a class of the batch sends its keys once
-            text, key = group_keys(values, bounds, rule)
-            kept = fresh[text]
-            text, key = text[kept], key[kept]
+            once = np.zeros(len(digests), bool)
+            once[first] = True  # a class of the batch sends its keys once
+            text, key = group_keys(values, bounds, rule, frequent)
+            text, key = text[once[text]], key[once[text]]
             shard = (key >> np.uint64(32)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
             key, digest = key[order].astype("<u4"), digests[text[order]]
             edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-            rows_ = [(s, key[a:b].tobytes(), digest[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-            s, k, d = zip(*rows_) if rows_ else ((), (), ())
+            out = [(s, key[a:b].tobytes(), digest[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            s, k, d = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], names=["shard", "keys", "digests"])
 
     def meet(group: pa.Table) -> pa.Table:
@@ -190,13 +290,30 @@ def _candidates(rows: DataFrame, rule: Rule, shards: int) -> DataFrame:
         digest = np.concatenate([np.frombuffer(d, "<i8") for d in group.column("digests").to_pylist()])
         order = np.lexsort((digest, key))
         key, digest = key[order], digest[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+        key, digest = key[fresh], digest[fresh]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        least = np.repeat(digest[start], np.diff(np.append(start, len(key))))
-        pairs = np.unique(np.stack([digest, least], axis=1)[digest != least], axis=0)
-        return pa.table({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
-
-    packed = rows.select("text").mapInArrow(keys, "shard int, keys binary, digests binary")
-    return packed.groupBy("shard").applyInArrow(meet, "u bigint, v bigint")
+        count = np.diff(np.append(start, len(key)))
+        # a list's number is a hash of its members, so that lists of other shards compare
+        sums = np.add.reduceat(_mix(digest.view(np.uint64)), start)
+        number = _mix(sums * _MULTIPLIERS[1] + count.astype(np.uint64)).view(np.int64)
+        _, first = np.unique(number, return_index=True)
+        once = np.zeros(len(start), bool)
+        once[first] = True
+        kept = np.repeat(once & (count > 1), count)
+        return pa.table({"list": pa.array(np.repeat(number, count)[kept]), "digest": pa.array(digest[kept])})
+
+    def chains(group: pa.Table) -> pa.Table:
+        digests, first, node = np.unique(group.column("digest").to_numpy(), return_index=True, return_inverse=True)
+        parity = np.stack([group.column(p).to_numpy()[first].view(np.uint64) for p in ("p", "q")], axis=1)
+        edges = digests[_meet(group.column("list").to_numpy(), node, group.column("n").to_numpy()[first], parity, rule)]
+        return pa.table({"u": pa.array(edges[:, 0].copy()), "v": pa.array(edges[:, 1].copy())})
+
+    lists = rows.select("text").mapInArrow(keys, "shard int, keys binary, digests binary").groupBy("shard").applyInArrow(meet, "list bigint, digest bigint")
+    known = classes.groupBy("digest").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("q").alias("q"))
+    members = lists.distinct().join(known, "digest").withColumn("part", F.pmod("list", F.lit(shards)))
+    return members.groupBy("part").applyInArrow(chains, "u bigint, v bigint")
 
 
 class CountTree:
@@ -282,18 +399,26 @@ def _verified(rows: DataFrame, classes: DataFrame, hanging: DataFrame, rule: Rul
     weights = members.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     tasks = max(1, -(-members.count() // CLASSES_PER_TASK))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    wanted = members.join(weights, "component").select("id", "digest", "component", "blocks", block.alias("block"))
-    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("text", "digest", "component", "blocks", "block")
+    wanted = members.join(weights, "component").select("digest", "component", "blocks", block.alias("block"))
+    # which ids may be members, as a bitmap of fixed size: what it lets through by chance, the join drops
+    place = F.pmod(F.xxhash64("id"), F.lit(64 * BITMAP_WORDS))
+    words_ = members.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bitmap = np.zeros(BITMAP_WORDS, dtype=np.uint64)
+    if words_:
+        bitmap[[r.w for r in words_]] = np.array([r.b for r in words_], dtype=np.int64).view(np.uint64)
 
     def sets(batches):
-        for batch in _batches(batches, "text"):
-            values, bounds = shingle_sets(batch.column("text").to_pylist(), rule.width)
-            right = set_digests(values, bounds) == batch.column("digest").to_numpy()  # an id may have several texts
-            at = np.flatnonzero(right)
-            packed = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in at], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("digest", "component", "blocks", "block")), packed], names=["digest", "component", "blocks", "block", "shingles"])
-
-    held = texts.mapInArrow(sets, "digest bigint, component bigint, blocks int, block int, shingles binary")
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            may = (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            chosen = batch.take(pa.array(np.flatnonzero(may)))
+            for part in _batches([chosen], "text"):
+                values, bounds = shingle_sets(part.column("text").to_pylist(), rule.width)
+                packed = pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(values, bounds)), packed], names=["digest", "shingles"])
+
+    found = rows.select("text", place.alias("place")).mapInArrow(sets, "digest bigint, shingles binary")
+    held = found.join(wanted, "digest")
     small = F.col("blocks") == 1
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = held.select("*", other.alias("other")).select(
@@ -311,7 +436,7 @@ def _verified(rows: DataFrame, classes: DataFrame, hanging: DataFrame, rule: Rul
         edges = np.flatnonzero(np.concatenate([[True], np.diff(component[order]) != 0, [True]]))
         for a, b in zip(edges, edges[1:]):
             part = order[a:b]
-            part = part[np.concatenate([[True], np.diff(digest[part]) != 0])] if i == j else part  # repeated rows of a document
+            part = part[np.concatenate([[True], np.diff(digest[part]) != 0])] if i == j else part  # rows that repeat
             if i == j:
                 lefts, rights = part, None
             else:
@@ -334,8 +459,9 @@ def similar_groups(docs: DataFrame, rule: Rule, id_column: str = "doc_id", text_
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     classes = written(_classes(rows, rule), "classes")
-    shards = max(16, -(-classes.count() // ROWS_PER_SHARD))
-    hanging = components(_candidates(rows, rule, shards))
+    total = classes.count()
+    shards = max(16, -(-total // ROWS_PER_SHARD))
+    hanging = components(_candidates(rows, classes, rule, shards, frequent_shingles(rows, rule, total)))
     linked = components(_verified(rows, classes.where("n > 0"), hanging, rule))
     least = classes.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
     named = least.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("component", "digest").alias("component"))

@@ -27,6 +27,8 @@ SAMPLE_LETTERS = 1500
 LANE = 512
 ALPHABET = 120
 PHRASE_BITS = 0.5
+#: Code points that are parsed at once.
+BATCH_CHARS = 1_500_000
 #: A text of so many letters or more whose best language still needs a phrase for fewer letters than this is in no known language.
 LEAST_LETTERS = 24
 LEAST_PHRASE = 1.5
@@ -212,15 +214,22 @@ def language_of(column: Column, samples: tuple[tuple[str, str], ...]) -> Column:
     @F.arrow_udf(RESULT)
     def lang(texts: pa.Array) -> pa.Array:
         parser, rows = _parser(samples), []
-        for part in range(0, len(texts), 2000):  # bounds the working arrays
-            rows += parser.identify(texts[part : part + 2000].to_pylist())
+        held, size = [], 0
+        for text in texts.to_pylist():
+            held.append(text)
+            size += len(text or "")
+            if size > BATCH_CHARS:  # bounds the working arrays
+                rows += parser.identify(held)
+                held, size = [], 0
+        rows += parser.identify(held) if held else []
         cols = list(zip(*rows)) or [(), (), (), ()]
         return pa.StructArray.from_arrays(
             [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
             names=["lang", "score", "phrases", "letters"],
         )
 
-    return lang(column)
+    # an optimizer that took it for cheap would run it once for a filter and once more for the result
+    return lang.asNondeterministic()(column)
 
 
 def is_known(found: Column) -> Column:
