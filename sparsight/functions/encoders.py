@@ -172,7 +172,7 @@ class RandomScalarEncoder:
                 for trial in range(10_000):
                     new = int(rng.integers(self.n))
                     own = bits.copy()
-                    own[k % self.w] = new
+                    own[(at if step > 0 else at + 1) % self.w] = new  # each place changes once in w buckets
                     if new not in bits and all(self._allowed(at, other, own, theirs) for other, theirs in held.items()):
                         held[at] = own
                         break
