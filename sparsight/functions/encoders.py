@@ -45,7 +45,7 @@ class ScalarEncoder:
             resolution = width / n if periodic else width / (n - w)
         else:
             resolution = resolution or radius / w
-            n = math.ceil(w * (width if periodic else width + resolution) / (resolution * w) + 2 * (0 if periodic else (w - 1) // 2))
+            n = math.ceil(round((width if periodic else width + resolution) / resolution, 9)) + 2 * (0 if periodic else (w - 1) // 2)
         return cls(w, low, high, n, resolution, periodic, clip)
 
     @property
@@ -227,6 +227,39 @@ def parse_timestamp(text: Column, *formats: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+@dataclass(frozen=True)
+class DateEncoder:
+    """Sub-encodings of a time side by side; a width of 0 leaves one out."""
+
+    season_w: int = 21
+    weekday_w: int = 21
+    weekend_w: int = 21
+    time_w: int = 21
+    holiday_w: int = 0
+
+    def parts(self, ts: Column) -> list[tuple[Column, ScalarEncoder]]:
+        hours = seconds_of_day(ts) / 3600.0
+        found = [
+            (season(ts).cast("double"), self.season_w, 0, 366, 91.5, True),
+            (weekday(ts).cast("double"), self.weekday_w, 0, 7, 1.0, True),
+            (is_weekend(ts).cast("double"), self.weekend_w, 0, 1, 1.0, False),
+            (holiday_ramp(ts), self.holiday_w, 0, 1, 1.0, False),
+            (hours, self.time_w, 0, 24, 4.0, True),
+        ]
+        return [(value, ScalarEncoder.of(w, low, high, radius=radius, periodic=periodic, forced=True)) for value, w, low, high, radius, periodic in found if w]
+
+    @property
+    def width(self) -> int:
+        return sum(e.n for _, e in self.parts(F.lit(None).cast("timestamp")))
+
+    def bits(self, ts: Column) -> Column:
+        parts = self.parts(ts)
+        return F.concat(*[_shifted(e.bits(v), sum(f.n for _, f in parts[:i])) for i, (v, e) in enumerate(parts)])
+
+    def buckets(self, ts: Column) -> Column:
+        return F.array(*[e.bucket(v) for v, e in self.parts(ts)])
+
+
 # -- places ----------------------------------------------------------------------------------------------------------
 EARTH = 6_378_137.0
 
@@ -252,6 +285,12 @@ def coordinate_bits(x: Column, y: Column, radius: Column, w: int, n: int, seed:
     return F.array_sort(F.array_distinct(F.transform(F.slice(F.array_sort(box), 1, w), lambda s: F.pmod(F.xxhash64(F.lit(seed + 1), s.x, s.y), F.lit(n)).cast("int"))))
 
 
+def geo_bits(lon: Column, lat: Column, speed: Column, w: int, n: int, scale: float = 30.0, timestep: float = 60.0, seed: int = 42) -> Column:
+    """Bits of a place and a speed: the projected position in units of scale, with the radius that the speed needs."""
+    x, y = mercator(lon, lat)
+    return coordinate_bits(F.floor(x / scale), F.floor(y / scale), radius_for_speed(speed, timestep, scale, w).cast("bigint"), w, n, seed)
+
+
 # -- several fields --------------------------------------------------------------------------------------------------
 def multi(encodings: list[tuple[str, Column, int]]) -> Column:
     """Bits of several fields side by side, (name, bits, width) each, in order of names."""

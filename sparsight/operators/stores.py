@@ -66,3 +66,26 @@ def tag_join(samples: DataFrame, routes: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
+
+
+def name_matches(name: Column, patterns: list[str]) -> Column:
+    """Whether a name matches one of the patterns, in either case."""
+    return name.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(True)
+
+
+def membership(rows: DataFrame, others: DataFrame, on: str, inverted: bool = False) -> DataFrame:
+    """Rows whose key another table has, or has not."""
+    return rows.join(others.select(on).distinct(), on, "left_anti" if inverted else "left_semi")
+
+
+def results_per_choice(scores: DataFrame, choice: str, error: str, generation: str | None = None, until: int | None = None) -> DataFrame:
+    """choice, errors: the finite errors of each choice, ascending, up to a generation where one is given."""
+    kept = scores.where(F.col(error).isNotNull() & (F.abs(error) < float("inf")))
+    if generation is not None and until is not None:
+        kept = kept.where(F.col(generation) <= until)
+    return kept.groupBy(choice).agg(F.array_sort(F.collect_list(error)).alias("errors"))
+
+
+def model_error(metric: Column, maximise: bool, is_matured: Column, reason: Column) -> Column:
+    """A model's error: infinite unless it has matured and ended well; negated where more is better."""
+    return F.when(is_matured & reason.isin("eof", "stopped"), -metric if maximise else metric).otherwise(float("inf"))

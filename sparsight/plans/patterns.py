@@ -265,6 +265,11 @@ def coordinate_bits(spark, sf) -> DataFrame:
     return _places(spark, sf).select("c_custkey", text(bits).alias("bits"))
 
 
+def geo_bits(spark, sf) -> DataFrame:
+    """No SQL, as for coordinates."""
+    return _places(spark, sf).select("c_custkey", text(E.geo_bits(F.col("lon"), F.col("lat"), F.col("speed") / 10, 21, 1000)).alias("bits"))
+
+
 def pca_project(spark, sf) -> DataFrame:
     """Patterns on the two main axes of all patterns; signs of axes are free, so there is no SQL."""
     rows = _patterns(spark, sf)
@@ -302,5 +307,6 @@ QUERIES = {
     "inverse_mercator": (inverse_mercator, f"SELECT c_custkey, {fixed_sql('lon')} AS lon_e6, {fixed_sql('lat')} AS lat_e6 FROM {_PLACES}"),
     "radius_for_speed": (radius_for_speed, f"SELECT c_custkey, CAST(greatest(ceil(speed * 60 / 30 * 1.5 / 2), ceil((sqrt(21) - 1) / 2)) AS INT) AS radius FROM {_PLACES}"),
     "coordinate_bits": (coordinate_bits, None),
+    "geo_bits": (geo_bits, None),
     "pca_project": (pca_project, None),
 }

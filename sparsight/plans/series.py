@@ -89,6 +89,44 @@ def date_bucket_indices(spark, sf) -> DataFrame:
     return events(spark, sf).select("event_id", season.bucket(E.season(ts).cast("double")).alias("season_bucket"), HOURLY.bucket(E.seconds_of_day(ts) / 3600.0).alias("time_bucket"))
 
 
+DATE = E.DateEncoder(21, 0, 21, 21)
+
+
+def date_encode_bits(spark, sf) -> DataFrame:
+    bits = DATE.bits(F.col("ts"))
+    return events(spark, sf).select("event_id", text(DATE.buckets(F.col("ts"))).alias("buckets"), F.size(bits).alias("n_bits"), F.array_max(bits).alias("last"))
+
+
+def _date_sql() -> str:
+    # the same arithmetic over the encoders' sizes: season and time wrap around, the weekend flag clips
+    season_n, time_n, weekend = 84, 126, E.ScalarEncoder.of(21, 0, 1, radius=1.0, forced=True)
+    first = f"CAST(trunc((e + {weekend.resolution!r} / 2) / {weekend.resolution!r}) AS BIGINT)"
+    last = f"greatest(list_max(list_transform(range(s - 10, s + 11), lambda i: (i + {season_n}) % {season_n})), {season_n} + {first} + 20, {season_n + weekend.n} + list_max(list_transform(range(t - 10, t + 11), lambda i: (i + {time_n}) % {time_n})))"
+    return (
+        f"WITH b AS (SELECT event_id, CAST(trunc((dayofyear(ts) - 1) * {season_n} / 366.0) AS BIGINT) AS s, CAST((isodow(ts) - 1 + {_SOD} / 86400.0) >= 4.75 AS BIGINT) AS e, CAST(trunc({_HOURS} * {time_n} / 24.0) AS BIGINT) AS t FROM events) "
+        f"SELECT event_id, concat_ws(',', s, {first}, t) AS buckets, 63 AS n_bits, CAST({last} AS INT) AS last FROM b"
+    )
+
+
+def name_filter(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").where(S.name_matches(F.col("p_name"), ["^SMALL", "gear$"])).select("p_partkey", "p_name")
+
+
+def membership(spark, sf) -> DataFrame:
+    """Customers without events, and orders of customers with events."""
+    users = table(spark, sf, "events").select(F.col("user_id").alias("k")).distinct()
+    quiet = S.membership(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), users, "k", inverted=True).select("k", F.lit("quiet").alias("kind"))
+    heard = S.membership(table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"), users, "k").select(F.col("o_orderkey").alias("k"), F.lit("heard").alias("kind"))
+    return quiet.union(heard)
+
+
+def results_per_choice(spark, sf) -> DataFrame:
+    """Suppliers' worst taxes by nation, as errors of choices."""
+    worst = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.max(F.floor(F.col("l_tax") * 100)).alias("err"), F.count(F.lit(1)).alias("n"))
+    rows = worst.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return S.results_per_choice(rows, "s_nationkey", "err").select("s_nationkey", text(F.col("errors")).alias("errors"))
+
+
 def multi_encode_offsets(spark, sf) -> DataFrame:
     parts = [("value", SCALAR.bits(F.col("value")), SCALAR.n), ("hour", HOURLY.bits(E.seconds_of_day(F.col("ts")) / 3600.0), HOURLY.n)]
     bits = E.multi(parts)
@@ -317,6 +355,7 @@ def _ratio_sql(name: str) -> str:
     return f"SELECT event_type, {fixed_sql(top)} AS metric_e6 FROM ({_METRIC_INPUT}) WHERE p1 IS NOT NULL GROUP BY event_type"
 
 
+_DATE_SQL = _date_sql()
 _HOUR = "CAST(floor(epoch(ts) / 3600) AS BIGINT)"
 _HOURLY_SETS = f"(SELECT {_HOUR} AS hour, list(DISTINCT user_id) AS users FROM events GROUP BY 1)"
 
@@ -333,6 +372,10 @@ QUERIES = {
     "date_holiday_ramp": (date_holiday_ramp, f"WITH t AS (SELECT o_orderkey, epoch(o_orderdate) + (o_orderkey % 24) * 3600 AS s, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS ts FROM orders), d AS (SELECT o_orderkey, s - epoch(make_timestamp(CAST(year(ts) AS BIGINT), 12, 25, 0, 0, 0.0)) AS a FROM t) SELECT o_orderkey, {fixed_sql('CASE WHEN a >= 0 AND a < 86400 THEN 1.0 WHEN a >= 86400 AND a < 172800 THEN 1 - (a - 86400) / 86400.0 WHEN a < 0 AND a > -86400 THEN 1 + a / 86400.0 ELSE 0.0 END')} AS ramp_e6 FROM d"),
     "date_bucket_indices": (date_bucket_indices, f"SELECT event_id, CAST(trunc((dayofyear(ts) - 1) * 122 / 366.0) AS BIGINT) % 122 AS season_bucket, ({_PERIODIC} + 250) % 240 AS time_bucket FROM events"),
     "multi_encode_offsets": (multi_encode_offsets, f"SELECT event_id, 42 AS n_bits, array_to_string(list_sort(list_concat(list_transform(range(p, p + 21), lambda i: (i + 240) % 240), list_transform(range(b, b + 21), lambda i: i + 240))), ',') AS bits FROM (SELECT event_id, {_PERIODIC} AS p, {_scalar_sql('value')} AS b FROM events)"),
+    "date_encode_bits": (date_encode_bits, _DATE_SQL),
+    "name_filter": (name_filter, "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(^SMALL)|(gear$)', 'i')"),
+    "membership": (membership, "SELECT c_custkey AS k, 'quiet' AS kind FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION ALL SELECT o_orderkey, 'heard' FROM orders WHERE o_custkey IN (SELECT user_id FROM events)"),
+    "results_per_choice": (results_per_choice, "SELECT s_nationkey, string_agg(CAST(err AS VARCHAR), ',' ORDER BY err) AS errors FROM (SELECT l_suppkey, CAST(max(floor(l_tax * 100)) AS BIGINT) AS err FROM lineitem GROUP BY 1) JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"),
     "category_bucket": (category_bucket, "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) AS BIGINT) AS bucket FROM part"),
     "category_decode": (category_decode, "SELECT event_id, event_type AS category FROM events"),
     "moving_average": (moving_average, f"SELECT event_id, {fixed_sql(f'avg(value) OVER ({W10})')} AS ma_e6 FROM events"),

@@ -161,3 +161,19 @@ def test_online_likelihood():
     assert H.tail_probability(-1, 0, 1) == pytest.approx(1 - H.tail_probability(1, 0, 1))
     flat = H.OnlineLikelihood(learning=20, estimation=20)
     assert {round(flat.compute(1.0, 0.0), 2) for _ in range(100)} == {0.5}
+
+
+def test_likelihood_service():
+    rng = np.random.default_rng(3)
+    service = H.LikelihoodService()
+    rows = [(float(rng.random()), float(rng.random() < 0.05)) for _ in range(900)]
+    out = service.update(rows[:500]) + service.update(rows[500:])
+    assert set(out[:199]) == {0.5} and 0 <= min(out) and max(out) <= 1 and len(out) == 900
+    assert max(service.update([(0.5, 1.0)] * 12)) > 0.99
+
+
+def test_pooler_tells_patterns_apart():
+    rng = np.random.default_rng(4)
+    patterns = [np.sort(rng.choice(60, 20, replace=False)) for _ in range(8)]
+    accuracy, cycles = H.train_pooler_for_patterns(patterns, list(range(8)), model())
+    assert accuracy == 1.0 and cycles <= 5
