@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import give_memory_back, table, text_of, written
 from .graph import components
 from .scoring import words
 
@@ -58,7 +58,7 @@ PAIRED_FROM, PAIRED_TIMES, PAIRED_SPARE = 40, 1.35, 10
 COUNT_GROUPS = 32
 LEAF = 16
 #: Rows of documents to a shard of keys; most classes, and most shingles, of a block in step 3; classes that small groups share a task by.
-ROWS_PER_SHARD = 6000
+ROWS_PER_SHARD = 2500
 BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 500_000
 CLASSES_PER_TASK = 2000
 #: 64-bit words of the bitmap that tells which ids may be members of a candidate group (8 MB, whatever the input).
@@ -66,7 +66,7 @@ BITMAP_WORDS = 2**20
 #: Documents (about) of the sample that tells frequent shingles, and in how many different sets of it one is frequent.
 SAMPLE_DOCUMENTS, FREQUENT = 4000, 4
 #: Documents whose sets are computed at once, and the code points that end a batch of them.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 4_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -81,6 +81,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     """All texts' sorted distinct shingle hashes, one after the other, and where each text's begin (one more for the end)."""
     import xxhash
 
+    give_memory_back()
     number: dict[bytes, int] = {}
     ids: list[int] = []
     sizes = np.zeros(len(texts), dtype=np.int64)
@@ -286,6 +287,7 @@ def _candidates(rows: DataFrame, classes: DataFrame, rule: Rule, shards: int, fr
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], names=["shard", "keys", "digests"])
 
     def meet(group: pa.Table) -> pa.Table:
+        give_memory_back()
         key = np.concatenate([np.frombuffer(k, "<u4") for k in group.column("keys").to_pylist()])
         digest = np.concatenate([np.frombuffer(d, "<i8") for d in group.column("digests").to_pylist()])
         order = np.lexsort((digest, key))
@@ -428,6 +430,7 @@ def _verified(rows: DataFrame, classes: DataFrame, hanging: DataFrame, rule: Rul
     )
 
     def search(group: pa.Table) -> pa.Table:
+        give_memory_back()
         component, own, digest = (group.column(c).to_numpy() for c in ("component", "block", "digest"))
         packed = group.column("shingles").to_pylist()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()

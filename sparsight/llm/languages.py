@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_memory_back, table
 
 #: Bounds of the training sample: rows a language (the ones with the smallest hashes of ids), letters of each.
 SAMPLE_ROWS = 32
-SAMPLE_LETTERS = 1500
+SAMPLE_LETTERS = 1000
 #: Letters of a lane; most letters that a language's alphabet holds (the rest match nothing); bits by which a phrase more counts in the score.
 LANE = 512
 ALPHABET = 120
@@ -213,6 +213,7 @@ def language_of(column: Column, samples: tuple[tuple[str, str], ...]) -> Column:
 
     @F.arrow_udf(RESULT)
     def lang(texts: pa.Array) -> pa.Array:
+        give_memory_back()
         parser, rows = _parser(samples), []
         held, size = [], 0
         for text in texts.to_pylist():
