@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import give_memory_back, table, text_of
 from .languages import in_fold
 
 #: Words that a context's prior counts for.
@@ -133,6 +133,7 @@ class Block:
     """The n-grams of some documents: distinct words and pairs, sorted, and where each token finds its own."""
 
     def __init__(self, texts: list[str], training: np.ndarray):
+        give_memory_back()
         number: dict[bytes, int] = {END: 0}
         ids: list[int] = []
         sizes = np.zeros(len(texts), dtype=np.int64)
@@ -197,6 +198,7 @@ def _asks(shards: int):
 
 
 def _answer(group: pa.Table) -> pa.Table:
+    give_memory_back()
     array = lambda name, kind: [np.frombuffer(v, kind) for v in group.column(name).to_pylist()]
     asked_words, asked_pairs = array("words", "<u8"), array("pairs", "<u8")
     known, counts = _total(asked_words, array("word_counts", "<u4"))
