@@ -217,3 +217,51 @@ def divide_intervals(a: dict[str, float], b: dict[str, float]) -> float:
     if ma and sa or mb and sb or bool(ma) != bool(mb):
         raise ValueError("intervals of months can't be divided by intervals of seconds")
     return ma / mb if mb else sa / sb
+
+
+def field_sprints(spark: SparkSession, fields: list[str], error: Callable[[dict], float], base: list[str] | None = None, most_fields: int = 5, least_gain: float = 0.0, branches: int = 3) -> DataFrame:
+    """sprint, fields, error, contribution: which input fields a model should have, grown a field a sprint.
+
+    The first sprint scores every field alone (with the base fields). Each later one adds single fields to the best
+    combinations of the sprint before, and drops fields that contributed less than least_gain per cent; it ends when no
+    larger combination is better. error gets {"fields": [...]}.
+    """
+    base, log, best, alive = list(base or []), [], math.inf, [f for f in fields if f not in (base or [])]
+    level = [tuple(sorted({*base, f})) for f in alive]
+    for sprint in range(most_fields):
+        level = sorted(set(level))
+        if not level:
+            break
+        errors = evaluate(spark, [{"fields": list(c)} for c in level], error)
+        start = max(best if best < math.inf else max(e for e in errors if e < math.inf) if any(e < math.inf for e in errors) else 1e-5, 1e-5)
+        gains = {c: (start - e) * 100 / start for c, e in zip(level, errors)}
+        log += [(sprint, list(c), e, gains[c]) for c, e in zip(level, errors)]
+        if min(errors) >= best:
+            break
+        best = min(errors)
+        top = [c for _, c in sorted(zip(errors, level))[:branches]]
+        if sprint == 0:
+            alive = [f for f in alive if any(f in c and g >= least_gain for c, g in gains.items())]
+        level = [tuple(sorted({*c, f})) for c in top for f in alive if f not in c]
+    return spark.createDataFrame(log, "sprint int, fields array<string>, error double, contribution double")
+
+
+#: Which encoder a field's type gets, and the metrics of a kind of prediction.
+FIELD_ENCODERS = {"float": "random", "int": "random", "boolean": "scalar", "string": "category", "timestamp": "date", "coord": "coordinate", "geo": "geo"}
+
+
+def experiment(fields: list[dict], predicted: str, steps: tuple[int, ...] = (1,), window: int = 1000, categorical: bool | None = None, **parameters) -> dict:
+    """The settings of an experiment from a list of fields (name, type, perhaps low and high): encoders, metrics, parameters."""
+    by_name = {f["name"]: f for f in fields}
+    if predicted not in by_name:
+        raise ValueError(f"{predicted} is none of the fields")
+    categorical = by_name[predicted]["type"] == "string" if categorical is None else categorical
+    encoders = {}
+    for f in fields:
+        kind = FIELD_ENCODERS.get(f["type"], "random")
+        if kind == "random" and "low" in f and "high" in f:
+            kind = "scalar"
+        encoders[f["name"]] = {"kind": kind, **{k: f[k] for k in ("low", "high") if k in f}}
+    names = ["avg_err"] if categorical else ["aae", "altMAPE"]
+    metrics = [{"name": n, "field": predicted, "steps": list(steps), "window": window} for n in names]
+    return {"encoders": encoders, "predicted": predicted, "metrics": metrics, "optimise": f"{names[-1]}:window={window}:field={predicted}", "parameters": parameters}

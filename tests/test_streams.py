@@ -138,3 +138,16 @@ def test_searches(spark):
         R.divide_intervals({"months": 1}, {"days": 1})
     ended = R.terminated(spark.createDataFrame([("a", g, 1.0) for g in range(4)] + [("b", g, 1.04 - g / 100) for g in range(4)] + [("c", g, 9.0 - g) for g in range(4)], "swarm string, generation int, error double"), 0.1, 2)
     assert {r.swarm: r.ended for r in ended.collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_field_sprints_and_experiments(spark):
+    def error(s):
+        return 10.0 - 4 * ("a" in s["fields"]) - 3 * ("c" in s["fields"]) + 0.5 * len(s["fields"])
+
+    log = R.field_sprints(spark, ["a", "b", "c"], error)
+    best = log.orderBy("error").first()
+    assert sorted(best.fields) == ["a", "c"] and best.error == 4.0 and log.agg(F.max("sprint")).first()[0] == 2
+    e = R.experiment([{"name": "ts", "type": "timestamp"}, {"name": "v", "type": "float", "low": 0, "high": 9}, {"name": "c", "type": "string"}], "v", seed=3)
+    assert e["encoders"]["v"]["kind"] == "scalar" and e["encoders"]["ts"]["kind"] == "date" and [m["name"] for m in e["metrics"]] == ["aae", "altMAPE"]
+    with pytest.raises(ValueError):
+        R.experiment([], "v")
