@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,17 +95,33 @@ def forget(prototypes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def principal_axes(rows: DataFrame, column: str, dims: int | None = None, fraction: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and axes (rows) of the mean-centred patterns, by the moments of all rows: one aggregation of d x d sums.
+    """Mean and axes (rows) of the mean-centred patterns of equal length, by the moments of all rows.
 
-    dims fixes how many axes stay; else those whose singular values are a fraction of the largest.
+    Each partition sends one d x d table of sums; dims fixes how many axes stay, else those whose singular values are a
+    fraction of the largest.
     """
-    d = rows.select(F.max(F.size(column))).first()[0]
-    moments = rows.select(F.posexplode(column).alias("i", "a"), F.col(column).alias("x")).select("i", "a", F.posexplode("x").alias("j", "b"))
-    sums = moments.groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("s"), F.avg(F.col("a").cast("double")).alias("m"), F.count(F.lit(1)).alias("n")).collect()  # d x d rows
-    second, mean, n = np.zeros((d, d)), np.zeros(d), sums[0].n
+
+    def moments(batches):
+        total = None
+        for batch in batches:
+            lists = batch.column(0).drop_null()
+            if len(lists):
+                x = lists.flatten().to_numpy().reshape(len(lists), -1)
+                x = np.hstack([x, np.ones((len(x), 1))])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], names=["at", "s"])
+
+    sums = rows.select(F.col(column).cast("array<double>")).mapInArrow(moments, "at bigint, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()  # (d + 1)^2 rows
+    if not sums:
+        raise ValueError("there are no patterns")
+    width = int(round(len(sums) ** 0.5))
+    table = np.zeros(width * width)
     for r in sums:
-        second[r.i, r.j], mean[r.i] = r.s, r.m
-    values, vectors = np.linalg.eigh(second - n * np.outer(mean, mean))
+        table[r["at"]] = r.s
+    table = table.reshape(width, width)
+    n, mean = table[-1, -1], table[-1, :-1] / table[-1, -1]
+    values, vectors = np.linalg.eigh(table[:-1, :-1] - n * np.outer(mean, mean))
     order = np.argsort(values)[::-1]
     singular = np.sqrt(np.maximum(values[order], 0))
     keep = dims or int((singular > fraction * singular[0]).sum())

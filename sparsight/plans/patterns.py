@@ -12,16 +12,16 @@ from ..operators import neighbours as N
 from ..operators import stores as S
 from .common import events, fixed, fixed_sql, table, text
 
-DIMS = 8
+DIMS = 64
 
 
 def _patterns(spark, sf) -> DataFrame:
-    """The first dimensions of each embedding, in 64ths, as whole numbers, so that sums are exact."""
-    x = F.transform(F.slice("embedding", 1, DIMS), lambda v: F.floor(v.cast("double") * 64).cast("double"))
+    """Each embedding in 64ths, as whole numbers, so that sums are exact."""
+    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 64).cast("double"))
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), x.alias("x"), F.col("label").alias("category"), F.pmod("vec_id", F.lit(3)).alias("partition"))
 
 
-_P = f"(SELECT vec_id AS id, list_transform(embedding[1:{DIMS}], lambda v: floor(CAST(v AS DOUBLE) * 64)) AS x, label AS category, vec_id % 3 AS part FROM embeddings)"
+_P = f"(SELECT vec_id AS id, list_transform(embedding, lambda v: floor(CAST(v AS DOUBLE) * 64)) AS x, label AS category, vec_id % 3 AS part FROM embeddings)"
 _B = "(SELECT id, list_transform(x, lambda v: CAST(v > 0 AS DOUBLE)) AS x, category, part FROM " + _P + ")"
 
 
@@ -84,7 +84,7 @@ def knn_sparsify(spark, sf) -> DataFrame:
 
 def knn_learn(spark, sf) -> DataFrame:
     """One prototype of equal coarse patterns of a category."""
-    rows = _patterns(spark, sf).withColumn("x", F.transform(F.slice("x", 1, 2), lambda v: F.floor(v / 16)))
+    rows = _patterns(spark, sf).withColumn("x", F.transform("x", lambda v: F.floor(v / 40)))
     return N.learn(rows).select("id", "category")
 
 
@@ -101,7 +101,7 @@ def _graph(spark, sf) -> DataFrame:
 
 def _overlaps(spark, sf) -> DataFrame:
     g = _graph(spark, sf)
-    connected = g.where("col < 10").select("col", "bit").distinct()
+    connected = g.select("col", "bit").distinct()
     return C.overlap_join(g.select("rec", "bit").distinct(), connected)
 
 
@@ -113,7 +113,7 @@ def topk_inhibition(spark, sf) -> DataFrame:
     return C.inhibit(_overlaps(spark, sf), 3, 1).select("rec", "col", F.col("rank").cast("bigint").alias("rank"))
 
 
-_OVERLAP = "(SELECT b.rec, c.col, count(*) AS overlap FROM (SELECT DISTINCT l_orderkey AS rec, l_partkey AS bit FROM lineitem) b JOIN (SELECT DISTINCT l_suppkey AS col, l_partkey AS bit FROM lineitem WHERE l_suppkey < 10) c USING (bit) GROUP BY 1, 2)"
+_OVERLAP = "(SELECT b.rec, c.col, count(*) AS overlap FROM (SELECT DISTINCT l_orderkey AS rec, l_partkey AS bit FROM lineitem) b JOIN (SELECT DISTINCT l_suppkey AS col, l_partkey AS bit FROM lineitem) c USING (bit) GROUP BY 1, 2)"
 
 
 def segment_activity(spark, sf) -> DataFrame:
@@ -140,7 +140,7 @@ def tag_join_volume(spark, sf) -> DataFrame:
 
 def positional_zip(spark, sf) -> DataFrame:
     rows = _patterns(spark, sf)
-    z = F.arrays_zip(F.slice("x", 1, 4).alias("a"), F.slice("x", 5, 4).alias("b"))
+    z = F.arrays_zip(F.col("x").alias("a"), F.reverse("x").alias("b"))
     return rows.select("id", F.concat_ws(";", F.transform(z, lambda s: F.concat_ws(":", s["a"].cast("bigint").cast("string"), s["b"].cast("bigint").cast("string")))).alias("pairs"))
 
 
@@ -170,7 +170,7 @@ def array_arithmetic(spark, sf) -> DataFrame:
         "id", whole(A.add(x, y)).alias("plus"), whole(A.multiply(x, y)).alias("times"), whole(A.modulo(x, 7)).alias("mod7"), whole(A.clip(x, -5.0, 5.0)).alias("clipped"),
         whole(A.maximum(x, y)).alias("larger"), whole(A.dense_and(x, y)).alias("ands"), whole(A.differences(x)).alias("steps"), whole(A.running_sum(x)).alias("sums"),
         A.dot(x, y).cast("bigint").alias("dot"), A.count_where(x, lambda v: v > 3).alias("over3"), A.argmax(x).alias("first_max"), text(A.argsort(x)).alias("by_value"), text(A.greatest_positions(x, 3)).alias("top3"),
-        fixed(A.variance(x)).alias("variance_e6"), whole(A.where_set(x, lambda v: v < 0, 0.0)).alias("cut"), whole(A.gather(x, F.array(F.lit(7), F.lit(0), F.lit(3)))).alias("picked"), fixed(A.total(A.divide(x, y))).alias("ratio_e6"),
+        fixed(A.variance(x)).alias("variance_e6"), whole(A.where_set(x, lambda v: v < 0, 0.0)).alias("cut"), whole(A.gather(x, F.array(F.lit(63), F.lit(0), F.lit(3)))).alias("picked"), fixed(A.total(A.divide(x, y))).alias("ratio_e6"),
     )
 
 
@@ -180,7 +180,7 @@ i AS (SELECT id, list(k ORDER BY v, k) AS asc_k, list(k ORDER BY v DESC, k) AS d
 SELECT id, {', '.join(f"array_to_string(list_transform({e}, lambda v: CAST(v AS BIGINT)), ',') AS {n}" for n, e in (
     ("plus", "list_transform(xy, lambda p: p[1] + p[2])"), ("times", "list_transform(xy, lambda p: p[1] * p[2])"), ("mod7", "list_transform(x, lambda v: ((v % 7) + 7) % 7)"),
     ("clipped", "list_transform(x, lambda v: greatest(-5, least(5, v)))"), ("larger", "list_transform(xy, lambda p: greatest(p[1], p[2]))"), ("ands", "list_transform(xy, lambda p: CAST(p[1] > 0 AND p[2] > 0 AS INT))"),
-    ("steps", f"list_transform(range(1, {DIMS}), lambda k: x[k + 1] - x[k])"), ("sums", f"list_transform(range(1, {DIMS} + 1), lambda k: list_sum(x[1:k]))"), ("cut", "list_transform(x, lambda v: CASE WHEN v < 0 THEN 0 ELSE v END)"), ("picked", "[x[8], x[1], x[4]]")))},
+    ("steps", f"list_transform(range(1, {DIMS}), lambda k: x[k + 1] - x[k])"), ("sums", f"list_transform(range(1, {DIMS} + 1), lambda k: list_sum(x[1:k]))"), ("cut", "list_transform(x, lambda v: CASE WHEN v < 0 THEN 0 ELSE v END)"), ("picked", "[x[64], x[1], x[4]]")))},
   CAST(list_sum(list_transform(xy, lambda p: p[1] * p[2])) AS BIGINT) AS dot, CAST(len(list_filter(x, lambda v: v > 3)) AS INT) AS over3, CAST(list_position(x, list_max(x)) - 1 AS INT) AS first_max,
   array_to_string(asc_k, ',') AS by_value, array_to_string(desc_k[1:3], ',') AS top3,
   {fixed_sql(f"list_sum(list_transform(x, lambda v: v * v)) / {DIMS} - pow(list_sum(x) / {DIMS}, 2)")} AS variance_e6, {fixed_sql("list_sum(list_transform(xy, lambda p: p[1] / CASE WHEN p[2] = 0 THEN 1.0 ELSE p[2] END))")} AS ratio_e6
@@ -285,14 +285,14 @@ QUERIES = {
     "knn_vote": (knn_vote, f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, proto_id) AS rank FROM {_found_sql('l2')}), v AS (SELECT query_id, category, count(*) AS c FROM n WHERE rank <= 5 GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, category) AS k, sum(c) OVER (PARTITION BY query_id) AS s FROM v) SELECT query_id, category AS winner, {fixed_sql('c / s')} AS share_e6 FROM w WHERE k = 1"),
     "knn_category_distance": (knn_category_distance, f"SELECT query_id, category, {fixed_sql('greatest(0, least(1, min(dist)))')} AS dist_e6 FROM {_found_sql('pct_input')} GROUP BY 1, 2"),
     "knn_sparsify": (knn_sparsify, f"WITH e AS (SELECT id, unnest(range({DIMS})) AS k, unnest(x) AS v FROM {_P}), s AS (SELECT id, k, CASE WHEN v * abs(v) > 20 THEN v ELSE 0 END AS v FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, k) AS n FROM s) SELECT id, string_agg(CAST(CASE WHEN n <= 3 AND v <> 0 THEN 1 ELSE 0 END AS VARCHAR), ',' ORDER BY k) AS bits FROM r GROUP BY id"),
-    "knn_learn": (knn_learn, f"SELECT min(id) AS id, category FROM (SELECT id, category, floor(x[1] / 16) AS a, floor(x[2] / 16) AS b FROM {_P}) GROUP BY category, a, b"),
+    "knn_learn": (knn_learn, f"SELECT min(id) AS id, category FROM (SELECT id, category, list_transform(x, lambda v: floor(v / 40)) AS c FROM {_P}) GROUP BY category, c"),
     "exact_match_classify": (exact_match_classify, "SELECT d.doc_id, f.source AS first_source FROM documents d JOIN (SELECT text, arg_min(source, doc_id) AS source FROM documents GROUP BY text) f USING (text)"),
     "overlap_join": (overlap_join, f"SELECT rec, col, overlap FROM {_OVERLAP}"),
     "topk_inhibition": (topk_inhibition, f"SELECT rec, col, rank FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY overlap DESC, col DESC) AS rank FROM {_OVERLAP}) WHERE rank <= 3 AND overlap >= 1"),
     "segment_activity": (segment_activity, "SELECT l_orderkey AS seg, count(*) AS potential, CAST(sum(CAST(l_discount * 5 > 0.2 - 1e-5 AS INT)) AS BIGINT) AS connected, CAST(sum(CAST(l_discount * 5 > 0.2 - 1e-5 AS INT)) >= 2 AS INT) AS is_active, CAST(count(*) >= 2 AS INT) AS is_matching FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#1' GROUP BY 1"),
     "cogroup_merge": (cogroup_merge, "WITH o AS (SELECT o_custkey AS key, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS l FROM orders GROUP BY 1), c AS (SELECT c_custkey AS key, string_agg(CAST(c_nationkey AS VARCHAR), ',' ORDER BY c_nationkey) AS l FROM customer GROUP BY 1), e AS (SELECT user_id AS key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS l FROM events GROUP BY 1) SELECT key, coalesce(o.l, '') AS orders, coalesce(c.l, '') AS nations, coalesce(e.l, '') AS events FROM o FULL JOIN c USING (key) FULL JOIN e USING (key)"),
     "tag_join_volume": (tag_join_volume, "SELECT 'source:' || source AS metric, count(*) AS volume FROM documents WHERE source IS NOT NULL GROUP BY 1 UNION ALL SELECT 'lang:' || lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY 1"),
-    "positional_zip": (positional_zip, f"SELECT id, array_to_string(list_transform(range(1, 5), lambda k: CAST(CAST(x[k] AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(x[k + 4] AS BIGINT) AS VARCHAR)), ';') AS pairs FROM {_P}"),
+    "positional_zip": (positional_zip, f"SELECT id, array_to_string(list_transform(range(1, {DIMS} + 1), lambda k: CAST(CAST(x[k] AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(x[{DIMS} + 1 - k] AS BIGINT) AS VARCHAR)), ';') AS pairs FROM {_P}"),
     "sparse_set_ops": (sparse_set_ops, f"WITH r AS (SELECT id, list_filter(range({DIMS}), lambda k: x[k + 1] > 0) AS a, list_filter(range({DIMS}), lambda k: x[{DIMS} - k] > 0) AS b FROM {_P}) SELECT id, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS any, array_to_string(list_filter(a, lambda k: NOT list_contains(b, k)), ',') AS left_only, CAST(len(list_filter(b, lambda k: NOT list_contains(a, k))) = 0 AS INT) AS holds FROM r"),
     "cells_to_columns": (cells_to_columns, "SELECT l_orderkey, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS columns, CAST(count(*) * 32 AS INT) AS n_cells FROM (SELECT DISTINCT l_orderkey, CAST(floor(l_partkey / 32) AS INT) AS c FROM lineitem) GROUP BY 1"),
     "topology_neighbourhood": (topology_neighbourhood, "WITH a AS (SELECT p_partkey, p_partkey % 48 // 6 AS r, p_partkey % 6 AS c FROM part), d AS (SELECT unnest([-1, 0, 1]) AS d), n AS (SELECT p_partkey, r + i.d AS y, c + j.d AS x FROM a, d i, d j) SELECT p_partkey, string_agg(CAST(y * 6 + x AS VARCHAR), ',' ORDER BY y * 6 + x) FILTER (y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 5) AS box, string_agg(CAST((y + 8) % 8 * 6 + (x + 6) % 6 AS VARCHAR), ',' ORDER BY (y + 8) % 8 * 6 + (x + 6) % 6) AS wrapped FROM n GROUP BY 1"),
