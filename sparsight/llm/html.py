@@ -38,7 +38,7 @@ SCOPE = frozenset("table ul ol dl body html article section div main aside nav h
 #: Elements that hold no readable text at all, ends included, and comments, declarations and tags.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|iframe|textarea|object|select|audio|video|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*+>""",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -88,7 +88,9 @@ def parse(page: str) -> Tree:
                 linked += len(text)
 
     at = 0
-    for m in _MARKUP.finditer(page):
+    # behind the last > no tag can end, and looking for one from every < would take squared time
+    last, m = page.rfind(">") + 1, None
+    for m in _MARKUP.finditer(page, 0, last):
         add(page[at : m.start()])
         at = m.end()
         tag = m[3]
@@ -138,7 +140,9 @@ def parse(page: str) -> Tree:
             tree.linked.append(0)
             tree.marked.append(marked)
             stack.append(len(tree.parent) - 1)
-    add(page[at:])
+    unended = m and m.end() == last and (m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.IGNORECASE) or m[0].startswith("<!--") and not m[0].endswith("-->"))
+    if not unended:
+        add(page[at:].partition("<!--")[0])
     flush()
     return tree
 

@@ -48,6 +48,8 @@ def test_markup_of_all_kinds():
         return [t for t in H.parse(page).text if t is not None]
 
     assert runs("") == runs("<p>") == runs("<!-- a <p> b") == runs("<script>if (a<b) '<p>x</p>'</script>") == []
+    assert runs("<p>a</p><script>b") == runs("<p>a</p><!-- b") == runs("<p>a</p><!-- b <i>") == runs("<p>a<!-- b") == ["a"] and runs("<p>a</p>b") == ["a", "b"]
+    assert runs('<a title="' * 20000) and runs("<p class='x\" " * 20000)
     assert runs("a<b>b</b>c &amp; &#233;&nbsp;&lt;d") == ["abc & é <d"]
     assert runs("<p>one<p>two<div>three</div>four") == ["one", "two", "three", "four"]
     assert runs('<a title="x > y" href=\'>\'>in</a> out <br/> more') == ["in out more"]
