@@ -182,7 +182,7 @@ def token_pieces(docs: DataFrame, keep: list[str], text_column: str = "text", ca
         for batch in batches:
             source, first, starts, lengths, crcs, ids = [], [], [], [], [], []
             for k, text in enumerate(batch.column(len(keep)).to_pylist()):
-                own = np.array([*encode(text, ranks_path), closing_id], dtype="<u4")
+                own = np.append(encode(text, ranks_path), closing_id).astype("<u4")
                 bounds = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
                 for j in range(len(bounds) - 1):
                     part = own[bounds[j] : bounds[j + 1]]

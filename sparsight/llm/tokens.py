@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import give_memory_back, table, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters from which a text is cut, and about how many a cut piece holds.
@@ -48,12 +48,12 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(text: str, ranks_path: str | None = None) -> list[int]:
-    """The ids of one text."""
+def encode(text: str, ranks_path: str | None = None) -> np.ndarray:
+    """The ids of one text. The encoding has no special tokens, so all of the text is ordinary."""
     bpe = encoding(ranks_path)
     if len(text) <= PIECE_CHARS:
-        return bpe.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in bpe.encode_ordinary(piece)]
+        return bpe.encode_to_numpy(text, disallowed_special=())
+    return np.concatenate([bpe.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text)])
 
 
 def int_lists(rows: list, dtype=np.int32) -> pa.Array:
@@ -64,14 +64,26 @@ def int_lists(rows: list, dtype=np.int32) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _encoded(texts: pa.Array, ranks_path: str | None) -> pa.ListArray:
+    give_memory_back()
+    return int_lists([encode(t.as_py(), ranks_path) if t.is_valid else () for t in texts])
+
+
+def _decoded(ids: pa.ListArray, ranks_path: str | None) -> pa.Array:
+    bpe, flat, bounds = encoding(ranks_path), ids.values.to_numpy(), ids.offsets.to_numpy()
+    # numbers become Python's a text at a time
+    return pa.array((bpe.decode_bytes(flat[a:b].tolist()) for a, b in zip(bounds, bounds[1:])), pa.binary(), size=len(ids))
+
+
 def bpe_encode(column: Column, ranks_path: str | None = None) -> Column:
     """array<int> of a text column's ids; the empty array for an empty text and for null."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return int_lists([encode(t, ranks_path) if t else [] for t in texts.to_pylist()])
+        return _encoded(texts, ranks_path)
 
-    return ids(column)
+    # an optimizer that took it for cheap would run it again inside of what uses its result
+    return ids.asNondeterministic()(column)
 
 
 def bpe_decode(column: Column, ranks_path: str | None = None) -> Column:
@@ -79,20 +91,28 @@ def bpe_decode(column: Column, ranks_path: str | None = None) -> Column:
 
     @F.arrow_udf("binary")
     def raw(ids: pa.Array) -> pa.Array:
-        bpe = encoding(ranks_path)
-        return pa.array([bpe.decode_bytes(r) if r else b"" for r in ids.to_pylist()], pa.binary())
+        return _decoded(ids, ranks_path)
 
     return raw(column)
 
 
+def bpe_roundtrip(column: Column, ranks_path: str | None = None) -> Column:
+    """struct(ids, raw): a text's ids, and the bytes that these decode to, in one pass through Python."""
+
+    @F.arrow_udf("struct<ids: array<int>, raw: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encoded(texts, ranks_path)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, ranks_path)], names=["ids", "raw"])
+
+    return both.asNondeterministic()(column)
+
+
 def op5_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests; null texts count as empty, an empty table gives none."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    encoded = rows.select("doc_id", bpe_encode(F.col("text")).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", bpe_decode(F.col("ids")).alias("raw"))
-    return decoded.select(
+    rows = table(spark, sf_dir, "documents").select("doc_id", bpe_roundtrip(text_of()).alias("b"))
+    return rows.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("raw", 256).alias("decoded_sha256"),
+        F.size("b.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("b.ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("b.raw", 256).alias("decoded_sha256"),
     )

@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparsight.llm.tokens import encode, encoding, op5_bpe_roundtrip, safe_pieces
+from pyspark.sql import functions as F
+
+from sparsight.llm.tokens import bpe_decode, bpe_encode, encode, encoding, op5_bpe_roundtrip, safe_pieces
 
 TEXT = st.text(st.one_of(st.sampled_from(" \n\t'sxé1.,ñ \u0085 "), st.characters(codec="utf-8")), max_size=300)
 
@@ -38,7 +40,7 @@ def test_safe_cuts_change_no_token(text):
 def test_ids_equal_those_of_the_tokenizer_file(text):
     tokenizer = of_the_json_file()
     for t in (text, f"a<|endoftext|>{text}"):
-        assert encode(t) == tokenizer.encode(t, add_special_tokens=False).ids
+        assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def check(spark, folder):
@@ -54,3 +56,10 @@ def test_documents(spark, sf, odd_dir, empty_dir):
     check(spark, sf)
     check(spark, odd_dir)
     assert op5_bpe_roundtrip(spark, empty_dir).count() == 0
+
+
+def test_ids_of_any_bytes_decode(spark):
+    rows = spark.createDataFrame([(1, "né \U0001f600"), (2, None), (3, "")], "k int, t string").select("k", bpe_encode(F.col("t")).alias("ids"))
+    assert {r.k: bytes(r.raw).decode() for r in rows.select("k", bpe_decode(F.col("ids")).alias("raw")).collect()} == {1: "né \U0001f600", 2: "", 3: ""}
+    half = spark.createDataFrame([([encode("é")[0].item()],), (None,)], "ids array<int>").select(bpe_decode(F.col("ids"))).collect()
+    assert bytes(half[0][0]) in "é".encode() and bytes(half[1][0]) == b""
