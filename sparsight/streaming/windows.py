@@ -19,15 +19,16 @@ def volumes(stream: DataFrame, ts: str, key: str, seconds: int, offset: int = 0)
     )
 
 
-def increasing(stream: DataFrame, key: str, ts: str, forget_after: str = "7 days") -> DataFrame:
-    """Only records later than all before them of their key; what a key last saw is forgotten when it has been silent long.
+def increasing(stream: DataFrame, key: str, ts: str, forget_after: str | None = None) -> DataFrame:
+    """Only records later than all before them of their key, in order of their times within a micro-batch.
 
-    Records of a micro-batch count in order of their times.
+    With forget_after ("7 days"), what a key last saw is forgotten when it has been silent so long; such a query waits for
+    silences, so it is for streams that go on, not for runs that end when all is read.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    silence = pd.Timedelta(forget_after).value // 1_000_000
+    silence = pd.Timedelta(forget_after).value // 1_000_000 if forget_after else None
 
     def keep(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,10 +41,11 @@ def increasing(stream: DataFrame, key: str, ts: str, forget_after: str = "7 days
         fresh = at > late.fillna(-(2**62)) if last is None else (at > last) & (at > late.fillna(-(2**62)))
         latest = int(at.max())
         state.update((max(latest, last) if last is not None else latest,))
-        state.setTimeoutDuration(silence)
+        if silence:
+            state.setTimeoutDuration(silence)
         yield rows[fresh.to_numpy()]
 
-    return stream.groupBy(key).applyInPandasWithState(keep, kinds, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(keep, kinds, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if silence else GroupStateTimeout.NoTimeout)
 
 
 #: The states of a monitored metric, and how many records make a model of one that has no range of its own.

@@ -51,8 +51,7 @@ def test_generators_and_lists(spark, tmp_path):
 
 
 def drained(query):
-    query.awaitTermination(120)
-    assert query.exception() is None
+    assert query.awaitTermination(120) and query.exception() is None
 
 
 def test_models_give_the_same_in_batch_and_stream(spark, tmp_path):
