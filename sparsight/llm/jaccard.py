@@ -420,7 +420,7 @@ def _verified(rows: DataFrame, classes: DataFrame, hanging: DataFrame, rule: Rul
                 yield pa.RecordBatch.from_arrays([pa.array(set_digests(values, bounds)), packed], names=["digest", "shingles"])
 
     found = rows.select("text", place.alias("place")).mapInArrow(sets, "digest bigint, shingles binary")
-    held = found.join(wanted, "digest")
+    held = found.join(wanted.hint("merge"), "digest")  # one plan at every size, which Spark can split where a key is hot
     small = F.col("blocks") == 1
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = held.select("*", other.alias("other")).select(
