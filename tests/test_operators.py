@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparsight.operators import columns as C
-from sparsight.operators import htm as H
+from sparsight.operators import learned as H
 from sparsight.operators import metrics as M
 from sparsight.operators import neighbours as N
 from sparsight.operators import ordered as O
