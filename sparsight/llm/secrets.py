@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on other long tokens.
 
-The patterns give the base spans. Every further run of 20 or more token characters is tested under the encoding that it
-seems to use (the smallest alphabet that holds its characters). Its symbols must look drawn uniformly at random from that
+The patterns give the base spans. Every further run of token characters is cut at its inner equals signs, and every part
+of 20 or more characters is tested under the encoding that it seems to use (the smallest alphabet that holds its
+characters). A part that no alphabet holds is cut at its separators, in each way that leaves one alphabet. Its symbols must look drawn uniformly at random from that
 alphabet: a chi-squared test of uniformity, a runs test about the middle of the alphabet and a test of serial correlation,
 combined by Fisher's method. And it must not look like a word: its evidence is the likelihood ratio of uniform symbols
 against the document's own letter pairs. Under the null that the token is text, the ratio exceeds t with probability at
@@ -28,7 +29,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 or more among all runs
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Least token length is in the pattern; share of false findings among a document's findings; level of the battery.
+#: What equals signs leave of a run, with the padding at its end; what separators leave of a part that no alphabet holds.
+_PART = re.compile(r"[^=]+(?:=+\Z)?")
+_PIECES = (re.compile(r"[^+/]+"), re.compile(r"[^_-]+"), re.compile(r"[^/_-]+"))
+#: Least characters of a token under test; share of false findings among a document's findings; level of the battery.
+LEAST_TOKEN = 20
 FALSE_SHARE = 0.01
 BATTERY_LEVEL = 0.001
 #: Alphabets by name, in the order they are tried: the first that holds a token's characters is its encoding.
@@ -128,31 +133,62 @@ def _base(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _encoded_as(token: str) -> tuple[str, list[int], int] | None:
+    """The encoding of a token, also of one that dashes or underscores group."""
+    return infer_encoding(token) or infer_encoding(token.replace("-", "")) or infer_encoding(token.replace("_", ""))
+
+
+def _tokens(text: str) -> list[tuple[int, int, str, tuple[str, list[int], int]]]:
+    """(start, end, token without padding, its encoding) of all that is to be tested, by start; pieces of one part may overlap."""
+    found = []
+    for run in _TOKEN.finditer(text):
+        for m in _PART.finditer(run[0]):
+            if len(m[0]) < LEAST_TOKEN:
+                continue
+            start, token = run.start() + m.start(), m[0].rstrip("=")
+            if known := _encoded_as(token):
+                found.append((start, run.start() + m.end(), token, known))
+                continue
+            padding = len(m[0]) - len(token)
+            pieces = {}
+            for pattern in _PIECES:
+                for piece in pattern.finditer(token):
+                    end = piece.end() + (padding if piece.end() == len(token) else 0)
+                    if end - piece.start() >= LEAST_TOKEN:
+                        pieces[piece.start(), end] = piece[0]
+            found += [(start + a, start + b, piece, _encoded_as(piece)) for (a, b), piece in sorted(pieces.items())]
+    return found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind number, end), sorted; ends are exclusive, in code points."""
     found = _base(text)
-    tested = []
-    for m in _TOKEN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in found):
-            continue
-        token = m[0].rstrip("=")
-        known = infer_encoding(token) or infer_encoding(token.replace("-", "")) or infer_encoding(token.replace("_", ""))
-        tested.append((start, end, token, known))
+    tested = [t for t in _tokens(text) if not any(s < t[1] and t[0] < e for s, _, e in found)]
     if tested:
         rest, at = [], 0
-        for start, end, _, _ in tested:
+        for start, end in _merged([t[:2] for t in tested]):
             rest.append(text[at:start])
             at = end
         rest.append(text[at:])
         pairs = LetterPairs(" ".join(rest))
         evidence = []
         for start, end, token, known in tested:
-            if known and len(known[1]) > 1 and looks_random(known[1], known[2]):
+            if len(known[1]) > 1 and looks_random(known[1], known[2]):
                 evidence.append((-len(known[1]) * math.log2(known[2]) - pairs.log2(token), start, end))
         evidence.sort(reverse=True)
         kept = max((k for k, (e, _, _) in enumerate(evidence, 1) if e >= math.log2(len(tested) / (k * FALSE_SHARE))), default=0)
-        found += [(start, 3, end) for _, start, end in evidence[:kept]]
+        found += [(start, 3, end) for start, end in _merged([e[1:] for e in evidence[:kept]])]
     return sorted(found)
 
 

@@ -46,6 +46,33 @@ def test_random_tokens_are_found_and_words_left_alone():
     assert not any(map(found, ["A" * 40, "1234567890" * 4, "=" * 40, "-" * 40, "abcdefghijklmnopqrstuvwxyz", "ab" * 20]))
 
 
+def test_random_parts_of_longer_runs_are_found():
+    rng = random.Random(9)
+    plain, full = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    for before, alphabet, after in (
+        ("aws_secret_access_key=", full, ""), ("AUTH=", plain, "=="), ("a=1=sig=", plain, "=b"), ("=", plain, ""), ("some/path-to_the/", plain, ""),
+        ("my-own_key-", full + "/", ""), ("some/path+", plain + "-_" * 4, ""),
+    ):
+        hits = 0
+        for _ in range(100):
+            secret = "".join(rng.choices(alphabet, k=40))
+            text = f"{PROSE} {before}{secret}{after} {PROSE}"
+            at = text.index(secret)
+            hits += any(k == 3 and s <= at and e >= at + 40 for s, k, e in S.scan(text))
+        assert hits >= 95, before
+    secret = next(t for t in iter(lambda: "".join(rng.choices(plain, k=40)), "") if found(t))
+    text = f"{PROSE} AUTH={secret}== {PROSE}"
+    at = text.index(secret)
+    assert S.scan(text) == [(at, 3, at + 42)]
+    words = PROSE.replace(".", "").replace(",", "").split()
+    for _ in range(200):
+        mixed = "".join(rng.choice(words) + rng.choice("=/-_+") for _ in range(12))
+        assert not found(mixed) and not found("-_/" + mixed)
+    # a pattern's match in one part leaves the others to be tested
+    text = f"{PROSE} sig={secret}=token=abcdefgh12 {PROSE}"
+    assert [k for _, k, _ in S.scan(text)] == [3, 0]
+
+
 def test_documents_have_no_false_findings(spark, sf):
     rows = S.op9_randomness_scan(spark, sf).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
