@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsight.functions.encoders import ScalarEncoder
+from sparsight.operators.learned import KeyModel
 from sparsight.plans import network as P
 from sparsight.plans import search as R
 from sparsight.sources import records as S
@@ -72,6 +73,28 @@ def test_models_give_the_same_in_batch_and_stream(spark, tmp_path):
     assert len(a) == len(b) == 80 and {r[:2] for r in a} == {r[:2] for r in b}
 
 
+def test_models_take_their_sizes_from_the_parameters(spark):
+    bag = P.Parameters(columns=64, cells=4, active=4, activation=3, matching=2, max_new=5, max_segments=3, max_synapses=7, alpha=0.1)
+    model = KeyModel.from_parameters(121, bag, learning=5)
+    assert (model.pooler.p.connected, model.pooler.winners, model.memory.p.connected, model.likelihood.learning) == (0.10, 4, 0.5, 5)
+    assert (model.memory.p.cells, model.memory.p.max_segments, model.memory.pre.shape[1]) == (4, 3, 7)
+    default = KeyModel.from_parameters(121, P.Parameters())
+    assert (default.pooler.p.columns, default.memory.p.columns, default.memory.p.cells, default.memory.p.max_segments, default.memory.p.max_synapses) == (2048, 2048, 32, 255, 255)
+    kept = KeyModel.of(141, columns=96, active=4).memory.p
+    assert (kept.max_segments, kept.max_synapses) == (32, 40)
+
+    encoder = ScalarEncoder.of(21, 0, 100, n=121)
+    rng = random.Random(4)
+    data = [("a", i, float(rng.randint(0, 100))) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, i long, v double")
+    rows = P.Layer("m").model(["k"], ["i"], encoder, "v", parameters=bag, learning=5, estimation=5).apply(df).orderBy("rec_no").collect()
+    model = KeyModel.from_parameters(121, bag, learning=5, estimation=5)
+    encoded = keyed.encoded(df, encoder, "v").orderBy("i").collect()
+    for r, e in zip(rows, encoded, strict=True):
+        raw, likely, predicted, active = model.step(e.bits, e.v, e.bucket)
+        assert (r.raw_score, r.likelihood, r.predicted_value, r.active_columns) == (raw, likely, predicted, active.tolist())
+
+
 def test_streaming_volumes_and_scrubbing(spark, tmp_path):
     data = [("a", 5), ("a", 3), ("b", 70), ("a", 65), ("a", 64), ("a", 300), ("b", 300)]
     df = spark.createDataFrame(data, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
