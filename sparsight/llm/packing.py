@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_of, written
-from .tokens import encode, int_lists
+from .tokens import added_tokens, encode, encode_with_added, int_lists
 
 CAPACITY = 1024
 #: The id that closes every document.
@@ -170,7 +170,8 @@ def token_pieces(docs: DataFrame, keep: list[str], text_column: str = "text", ca
     """A row per piece of each document: the columns in keep, then piece, start, length, ids_crc32 and ids.
 
     Null and empty texts are the closing id alone. `keep` may not name a piece column. Without keep_ids, ids are null.
-    Ids come from the rank file, which holds the same vocabulary and merges as the tokenizer's JSON file.
+    Ids come from the rank file, which holds the same vocabulary and merges as the tokenizer's JSON file; without a rank
+    file of the caller's, the JSON file's added tokens are found in the texts as the tokenizer finds them.
     """
     clash = {c.split()[0] for c in PIECES.split(", ")} & set(keep)
     if clash:
@@ -178,11 +179,13 @@ def token_pieces(docs: DataFrame, keep: list[str], text_column: str = "text", ca
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text_column).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
 
+    added = added_tokens() if ranks_path is None else {}
+
     def cut(batches):
         for batch in batches:
             source, first, starts, lengths, crcs, ids = [], [], [], [], [], []
             for k, text in enumerate(batch.column(len(keep)).to_pylist()):
-                own = np.append(encode(text, ranks_path), closing_id).astype("<u4")
+                own = np.append(encode_with_added(text, added, ranks_path), closing_id).astype("<u4")
                 bounds = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
                 for j in range(len(bounds) - 1):
                     part = own[bounds[j] : bounds[j + 1]]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import give_memory_back, table, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 #: Characters from which a text is cut, and about how many a cut piece holds.
 PIECE_CHARS = 65_536
 _SAFE = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ!-/:-@\[-`{-~])(?=[ \n])")
@@ -56,6 +58,25 @@ def encode(text: str, ranks_path: str | None = None) -> np.ndarray:
     return np.concatenate([bpe.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text)])
 
 
+@functools.lru_cache(maxsize=4)
+def added_tokens(json_path: str | None = None) -> dict[str, int]:
+    """Content and id of the tokens that a tokenizer's JSON file adds to its vocabulary; they are found in texts as they stand."""
+    with open(json_path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that depend on what is around them")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encode_with_added(text: str, added: dict[str, int], ranks_path: str | None = None) -> np.ndarray:
+    """The ids of one text in which added tokens stand for themselves, the longest first; what lies between is encoded on its own."""
+    if not any(t in text for t in added):
+        return encode(text, ranks_path)
+    parts = re.split(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})", text)
+    ids = [np.array([added[part]], dtype=np.uint32) if n % 2 else encode(part, ranks_path) for n, part in enumerate(parts)]
+    return np.concatenate(ids)
+
+
 def int_lists(rows: list, dtype=np.int32) -> pa.Array:
     """Lists of integers as one Arrow list array, by offsets."""
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)

@@ -79,6 +79,21 @@ def test_pieces_and_sequences_hold_the_tokenizers_ids(spark, sf):
     assert len(by_sequence) <= 1.01 * sum(map(len, ids.values())) / 1024 + 1
 
 
+def test_added_tokens_in_texts_have_the_tokenizers_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x{end}y\n{end}\n", f"{end} and {end[:-1]} and |{end}>", "<|endoftext| >", "word " * 3000 + end + " word" * 3000, (f"{end}  é ☃ " * 400).strip()]
+    ids = {n: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for n, t in enumerate(texts)}
+    rows = token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    for n, own in ids.items():
+        parts = sorted((r for r in rows if r.doc_id == n), key=lambda r: r.piece)
+        assert [i for r in parts for i in r.ids] == own, texts[n][:40]
+        for r in parts:
+            piece = np.array(own[r.start : r.start + r.length], dtype="<u4")
+            assert r.ids_crc32 == zlib.crc32(piece) and r.length == len(piece)
+    assert 50256 in ids[0]
+
+
 def test_odd_rows_and_clashing_names(spark, odd, odd_dir, empty_dir):
     rows = op4_matched_packing(spark, odd_dir).collect()
     assert sum(r.piece == 0 for r in rows) == 12 and {r.length for r in rows if r.doc_id in (1, 2)} == {1}
