@@ -23,17 +23,18 @@ from .common import give_memory_back, table
 #: Bounds of the training sample: rows a language (the ones with the smallest hashes of ids), letters of each.
 SAMPLE_ROWS = 32
 SAMPLE_LETTERS = 1000
-#: Letters of a lane; most letters that a language's alphabet holds (the rest match nothing); bits by which a phrase more counts in the score.
+#: Letters of a lane; most letters of an alphabet whose transitions are a full table (larger ones are searched); bits by which a phrase more counts in the score.
 LANE = 512
-ALPHABET = 120
+FULL_TABLE = 120
 PHRASE_BITS = 0.5
 #: Code points that are parsed at once.
 BATCH_CHARS = 1_500_000
-#: A text of so many letters or more whose best language still needs a phrase for fewer letters than this is in no known language.
+#: A text of so many letters or more whose best language still needs a phrase for fewer letters than its bound is in no
+#: known language. The bound lies midway between 1 (nothing matches) and what held-back labelled text reaches, within these.
 LEAST_LETTERS = 24
-LEAST_PHRASE = 1.5
+LEAST_PHRASE = (1.02, 1.5)
 UNKNOWN = "und"
-RESULT = "struct<lang: string, score: double, phrases: bigint, letters: bigint>"
+RESULT = "struct<lang: string, score: double, phrases: bigint, letters: bigint, least: double>"
 _END = np.uint32(1 << 31)
 
 
@@ -103,35 +104,94 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
     return np.frombuffer(trans, dtype=np.int32)[: used * size].reshape(used, size)
 
 
+def sparse_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The transitions of the same automaton, a dict a state, whatever the size of the alphabet."""
+    trans, link, length, last = [{}], [-1], [0], 0
+    for c in symbols.tolist():
+        cur = len(trans)
+        trans.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p != -1 and c not in trans[p]:
+            trans[p][c] = cur
+            p = link[p]
+        if p != -1:
+            q = trans[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                clone = len(trans)
+                trans.append(dict(trans[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p != -1 and trans[p].get(c) == q:
+                    trans[p][c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    return trans
+
+
+class _Full:
+    """Steps from a full table; states are held as places of their rows."""
+
+    def __init__(self, known: np.ndarray, size: int):
+        states = suffix_automaton(known, size + 1)[:, :size]
+        # one state more, for letters that the language lacks: whatever comes next begins a phrase
+        lost = len(states)
+        states = np.vstack([states, np.zeros((1, size), states.dtype)])
+        restart = (np.where(states[0] == 0, lost, states[0]).astype(np.uint32) * np.uint32(size)) | _END
+        step = np.where(states == 0, restart[None, :], states.astype(np.uint32) * np.uint32(size))
+        self.step = np.ascontiguousarray(step).reshape(-1)
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.step[state + symbol]
+
+
+class _Sparse:
+    """Steps found by search among the transitions that there are; states are held as their numbers."""
+
+    def __init__(self, known: np.ndarray, size: int):
+        trans = sparse_automaton(known)
+        pairs = sorted((s * size + c, to) for s, own in enumerate(trans) for c, to in own.items() if c < size)
+        self.size = size
+        self.keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], dtype=np.int64)
+        self.to = np.array([to for _, to in pairs] + [0], dtype=np.uint32)
+        self.restart = np.full(size, len(trans), dtype=np.uint32)
+        for c, to in trans[0].items():
+            if c < size:
+                self.restart[c] = to
+        self.restart |= _END
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        wanted = state.astype(np.int64) * self.size + symbol
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.to[at], self.restart[symbol])
+
+
 class Parser:
     """Automata of several languages, ready to count the phrases of many texts at once."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         """samples: (language, its training letters, texts apart by line feeds), in order of language."""
         self.languages = [lang for lang, _ in samples]
-        counts: dict[str, int] = {}
-        for _, letters in samples:
-            for ch in set(letters) - {"\n"}:
-                counts[ch] = counts.get(ch, 0) + letters.count(ch)
-        kept = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET])
-        # symbols: 0 matches nothing, 1 and up are letters and the space
-        self.symbol = np.zeros(0x110000, dtype=np.uint8)
-        for i, ch in enumerate(kept):
-            self.symbol[ord(ch)] = i + 1
-        self.size = len(kept) + 1
-        self.tables, self.log_size = [], []
+        kept = sorted(set().union(*(letters for _, letters in samples)) - {"\n"})
+        # numbers of all languages' letters, then each language's symbols: 0 matches nothing, 1 and up are letters and the space
+        self.number = np.zeros(0x110000, dtype=np.uint32)
+        self.number[[ord(ch) for ch in kept]] = np.arange(1, len(kept) + 1)
+        self.symbols, self.tables, self.log_size = [], [], []
         for _, letters in samples:
             points = np.frombuffer(letters.encode("utf-32-le"), dtype=np.uint32)
+            own = np.unique(points[points != 10])
+            symbols = np.zeros(len(kept) + 1, dtype=np.uint32)
+            symbols[self.number[own]] = np.arange(1, len(own) + 1)
+            size = len(own) + 1
             # the texts of the sample are kept apart by a symbol of their own that no document has
-            known = self.symbol[points].astype(np.int64)
-            known[points == 10] = self.size
-            states = suffix_automaton(known[known > 0], self.size + 1)[:, : self.size]
-            # one state more, for letters that the language lacks: whatever comes next begins a phrase
-            lost = len(states)
-            states = np.vstack([states, np.zeros((1, self.size), states.dtype)])
-            restart = (np.where(states[0] == 0, lost, states[0]).astype(np.uint32) * np.uint32(self.size)) | _END
-            step = np.where(states == 0, restart[None, :], states.astype(np.uint32) * np.uint32(self.size))
-            self.tables.append(np.ascontiguousarray(step).reshape(-1))
+            known = symbols[self.number[points]].astype(np.int64)
+            known[points == 10] = size
+            self.symbols.append(symbols)
+            self.tables.append((_Full if len(own) <= FULL_TABLE else _Sparse)(known, size))
             self.log_size.append(math.log2(len(points) + 2))
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,16 +208,17 @@ class Parser:
         begin = bounds[:-1][owner] + nth * LANE
         end = np.minimum(begin + LANE, bounds[1:][owner])
         order = np.argsort(begin - end, kind="stable")  # longest first, so that ended lanes are cut off
-        symbols = self.symbol[points]
+        numbers = self.number[points]
         begin, length, owner = begin[order], (end - begin)[order], owner[order]
         active = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than t
-        for k, step in enumerate(self.tables):
+        for k, table_ in enumerate(self.tables):
+            symbols = self.symbols[k][numbers]
             state = np.zeros(total, dtype=np.uint32)
             ended = np.ones(total, dtype=np.int64)  # a lane's first phrase; others begin at a miss
             first = True
             for t in range(int(length[0])):
                 n = int(active[t])
-                v = step[state[:n] + symbols[begin[:n] + t]]
+                v = table_.next(state[:n], symbols[begin[:n] + t])
                 if first:
                     first = False  # a miss at the very first letter begins the first phrase
                 else:
@@ -185,6 +246,21 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
 
 
+@functools.lru_cache(maxsize=2)
+def least_phrases(samples: tuple[tuple[str, str], ...]) -> dict[str, float]:
+    """Letters a phrase that a text of each language needs, from how one half of its sample is parsed by the other."""
+    out = {}
+    for lang, letters in samples:
+        texts = letters.split("\n")
+        if len(texts) == 1:
+            texts = [letters[: len(letters) // 2], letters[len(letters) // 2 :]]
+        held_back = texts[1::2]
+        counts, sizes = Parser(((lang, "\n".join(texts[::2])),)).phrases(held_back)
+        reached = sizes.sum() / max(1, counts.sum())
+        out[lang] = float(np.clip((1 + reached) / 2, *LEAST_PHRASE))
+    return out
+
+
 def training_samples(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> tuple[tuple[str, str], ...]:
     """(language, letters) of at most SAMPLE_ROWS labelled rows a language, chosen by the hash of their ids.
 
@@ -209,7 +285,11 @@ def training_samples(labelled: DataFrame, id_column: str = "doc_id", text_column
 
 
 def language_of(column: Column, samples: tuple[tuple[str, str], ...]) -> Column:
-    """struct(lang, score, phrases, letters) of a text column; `und` with score 0 for null and for texts without letters."""
+    """struct(lang, score, phrases, letters, least) of a text column; `und` with score 0 for null and for texts without letters.
+
+    `least` are the letters a phrase that `is_known` asks of a text in that language.
+    """
+    least = least_phrases(samples)
 
     @F.arrow_udf(RESULT)
     def lang(texts: pa.Array) -> pa.Array:
@@ -225,8 +305,8 @@ def language_of(column: Column, samples: tuple[tuple[str, str], ...]) -> Column:
         rows += parser.identify(held) if held else []
         cols = list(zip(*rows)) or [(), (), (), ()]
         return pa.StructArray.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-            names=["lang", "score", "phrases", "letters"],
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([least.get(x, LEAST_PHRASE[1]) for x in cols[0]], pa.float64())],
+            names=["lang", "score", "phrases", "letters", "least"],
         )
 
     # an optimizer that took it for cheap would run it once for a filter and once more for the result
@@ -235,7 +315,7 @@ def language_of(column: Column, samples: tuple[tuple[str, str], ...]) -> Column:
 
 def is_known(found: Column) -> Column:
     """Whether a text is in one of the learned languages: it has letters, and unless it is very short, phrases of more than single letters."""
-    return (found.lang != UNKNOWN) & ((found.letters < LEAST_LETTERS) | (found.letters >= LEAST_PHRASE * found.phrases))
+    return (found.lang != UNKNOWN) & ((found.letters < LEAST_LETTERS) | (found.letters >= found.least * found.phrases))
 
 
 def in_fold(id_column: str, folds: int, fold: int) -> Column:

@@ -69,3 +69,20 @@ def test_texts_in_no_known_language_are_not_known(spark):
     samples = (("x", "abc abd abe abc abd\nbca bcd"),)
     df = spark.createDataFrame([("日本語の文章はこのように書かれています本当に長い文章",), ("abc abd",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(L.is_known(L.language_of(F.col("t"), samples))).collect()] == [False, True, False, False]
+
+
+def test_large_alphabets_are_whole_and_their_texts_are_known(spark):
+    rng = random.Random(6)
+    scripts = {"zh": [chr(0x4E00 + i) for i in range(3000)], "ko": [chr(0xAC00 + i) for i in range(1200)], "en": list("abcdefghijklmnopqrstuvwxyz")}
+    words = {k: ["".join(rng.choices(v, k=rng.choice((1, 2, 2, 3)))) for _ in range(2000)] for k, v in scripts.items()}
+    weight = [1 / (i + 3) for i in range(2000)]
+    text = lambda k, n: ("" if k == "zh" else " ").join(rng.choices(words[k], weight, k=n))
+    samples = tuple((k, "\n".join(text(k, 500)[:900] for _ in range(12))) for k in sorted(scripts))
+    parser = L.Parser(samples)
+    texts = [text(k, 60)[:120] for k in scripts for _ in range(3)]
+    counts, sizes = parser.phrases(texts)
+    for t, row, n in zip(texts, counts, sizes):
+        assert [(c, n) for c in row] == [brute_phrases(t, own) for _, own in samples]
+    rows = [(k, text(k, 200)) for k in scripts for _ in range(10)] + [("und", "".join(chr(0x0400 + rng.randrange(32, 80)) for _ in range(300)))]
+    found = spark.createDataFrame(rows, "k string, t string").select("k", L.language_of(F.col("t"), samples).alias("l")).select("k", "l.lang", L.is_known(F.col("l")).alias("known")).collect()
+    assert all(r.known == (r.k != "und") and (r.k == "und" or r.lang == r.k) for r in found)
