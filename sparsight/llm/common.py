@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +36,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one is set only where none is (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one beside the warehouse's tables."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{context.applicationId}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -53,6 +56,20 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Code units of text (bytes in Arrow's form) that a Python function works on at once.
+BATCH_BYTES = 4_000_000
+
+
+def by_size(batch: pa.RecordBatch, column: str | int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A record batch in parts that hold a bounded amount of text each, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 @functools.cache
 def give_memory_back() -> None:
     """Called in a Python worker: arrays of a megabyte or more go back to the system when they are freed, not to the heap."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import by_size, give_memory_back, table, text_of, written
 from .tokens import added_tokens, encode, encode_with_added, int_lists
 
 CAPACITY = 1024
@@ -126,6 +126,7 @@ def _place(length: Column, rank: Column, runs: list[Run]) -> Column:
 
     @F.arrow_udf("struct<sequence_id: bigint, offset: bigint>")
     def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        give_memory_back()
         n, r = lengths.to_numpy(zero_copy_only=False).astype(np.int64), ranks.to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(n):
             return pa.array([], kind)
@@ -182,23 +183,27 @@ def token_pieces(docs: DataFrame, keep: list[str], text_column: str = "text", ca
     added = added_tokens() if ranks_path is None else {}
 
     def cut(batches):
+        give_memory_back()
         for batch in batches:
-            source, first, starts, lengths, crcs, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(len(keep)).to_pylist()):
-                own = np.append(encode_with_added(text, added, ranks_path), closing_id).astype("<u4")
-                bounds = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
-                for j in range(len(bounds) - 1):
-                    part = own[bounds[j] : bounds[j + 1]]
-                    source.append(k)
-                    first.append(j)
-                    starts.append(bounds[j])
-                    lengths.append(len(part))
-                    crcs.append(zlib.crc32(part))
-                    ids.append(part)
-            out = [c.take(pa.array(source, pa.int32())) for c in batch.columns[:-1]]
-            numbers = [pa.array(first, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
-            tokens = int_lists(ids) if keep_ids else pa.nulls(len(source), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*out, *numbers, tokens], names=[*batch.schema.names[:-1], "piece", "start", "length", "ids_crc32", "ids"])
+            for part in by_size(batch, len(keep)):
+                yield pieces_of(part)
+
+    def pieces_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, columns, ids = [], [[], [], [], []], []
+        for text in batch.column(len(keep)):
+            own = np.append(encode_with_added(text.as_py(), added, ranks_path), closing_id).astype("<u4")
+            bounds = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
+            counts.append(len(bounds) - 1)
+            for j, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                for column, value in zip(columns, (j, a, b - a, zlib.crc32(own[a:b]))):
+                    column.append(value)
+            if keep_ids:
+                ids += [own[a:b] for a, b in zip(bounds, bounds[1:])]
+        source = pa.array(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
+        kept_columns = [c.take(source) for c in batch.columns[:-1]]
+        numbers = [pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+        tokens = int_lists(ids) if keep_ids else pa.nulls(len(source), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*kept_columns, *numbers, tokens], names=[*batch.schema.names[:-1], "piece", "start", "length", "ids_crc32", "ids"])
 
     return rows.mapInArrow(cut, f"{kept}{', ' if kept else ''}{PIECES}")
 
