@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -171,10 +172,22 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _apart(tested: list, found: list[tuple[int, int, int]]) -> list:
+    """Those of the tokens under test that no span found so far overlaps."""
+    taken = _merged([(start, end) for start, _, end in found])
+    starts = [start for start, _ in taken]
+    out = []
+    for t in tested:
+        last = bisect_left(starts, t[1]) - 1  # of the spans that begin before the token ends
+        if last < 0 or taken[last][1] <= t[0]:
+            out.append(t)
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind number, end), sorted; ends are exclusive, in code points."""
     found = _base(text)
-    tested = [t for t in _tokens(text) if not any(s < t[1] and t[0] < e for s, _, e in found)]
+    tested = _apart(_tokens(text), found)
     if tested:
         rest, at = [], 0
         for start, end in _merged([t[:2] for t in tested]):

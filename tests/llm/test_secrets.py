@@ -93,3 +93,18 @@ def test_odd_rows(spark, odd_dir, empty_dir):
     rows = S.op9_randomness_scan(spark, odd_dir).collect()
     assert len(rows) == 12 and {(r.n_assign, r.n_hex) for r in rows if r.doc_id == 11} == {(1, 1)}
     assert S.op9_randomness_scan(spark, empty_dir).count() == 0
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    rng = random.Random(8)
+    line = lambda: f"token={''.join(rng.choices('abcdefghij0123456789', k=16))} word {''.join(rng.choices(string.ascii_letters + string.digits, k=32))}\n"
+    text = "".join(line() for _ in range(16_000))  # a megabyte
+    began = time.time()
+    spans = S.scan(text)
+    assert time.time() - began < 40 and sum(k == 0 for _, k, _ in spans) == 16_000
+    # what no span overlaps, by comparing all with all
+    tested = S._tokens(text[:20_000])
+    found = S._base(text[:20_000])
+    assert S._apart(tested, found) == [t for t in tested if not any(s < t[1] and t[0] < e for s, _, e in found)]
