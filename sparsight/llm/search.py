@@ -3,9 +3,10 @@
 Vectors are quantised to integers; a dimension is a term and a shard's columns are its postings. The queries and the rows
 to search form a grid of bounded blocks; a cell searches one block of rows for one block of queries and keeps k rows a
 query, and the cells' rows are merged. Inside a cell, each term has a score bound from the extremes of its postings. Terms
-with the smallest bounds are non-essential as long as their sum cannot lift a row over the k-th score so far. Essential
-postings are traversed for all rows; the other terms are probed, in falling order of bounds, only for rows whose score so
-far plus what is left can still compete. All arithmetic is exact.
+with the smallest bounds are non-essential as long as their sum cannot lift a row over the k-th score so far. Queries
+that weigh terms alike are taken together and share their essential terms. The postings of these alone are traversed; the
+other terms are probed, in falling order of bounds, only for rows whose score so far plus what is left can still compete.
+All arithmetic is exact: vectors with components too wide for it in floats are scored apart, in whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -24,15 +25,18 @@ QUERIES_PER_BLOCK = 1024
 FIRST_ROWS, STEP_ROWS = 256, 2048
 #: Share of the threshold that the bounds of the non-essential terms may sum up to; 1 is the most that is exact.
 NON_ESSENTIAL_SHARE = 0.35
-#: Components beyond this don't fit the exact arithmetic; such vectors take no part.
-LARGEST = 2**24
+#: Queries that share their essential terms.
+TOGETHER = 32
+#: From this on a component is wide: its vector is scored apart. A score is at most as large as a long holds.
+WIDE = 2**24
+LONGEST = 2**63 - 1  # also below zero, so that a score has a negative
 PAIRS_AT_ONCE = 200_000
 
 
 def _exact_kind(left: np.ndarray, right: np.ndarray):
-    """The narrowest float type in which every partial inner product is an exact integer, or int64."""
+    """The narrowest float type in which every partial inner product is an exact integer; None if there is none."""
     reach = max(1, left.shape[1]) * float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0))
-    return np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64
+    return np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else None
 
 
 def _best(q: np.ndarray, score: np.ndarray, row_id: np.ndarray, k: int):
@@ -46,80 +50,112 @@ def _best(q: np.ndarray, score: np.ndarray, row_id: np.ndarray, k: int):
 
 
 def maxscore(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, stats: dict | None = None):
-    """(query number, score, row id) of the k best rows of each query, a row with the query's own id excepted."""
-    kind = _exact_kind(queries, rows)
+    """(query number, score, row id) of the k best rows of each query, a row with the query's own id excepted.
+
+    Vectors hold whole numbers, in any numeric type. Scores beyond a long's range count as its bounds.
+    """
+    wide_queries, wide_rows = (np.abs(x).max(axis=1, initial=0) >= WIDE for x in (queries, rows))
+    q = np.flatnonzero(~wide_queries)
+    found = [(np.zeros(0, np.int64),) * 3]
+    if len(q) and not wide_rows.all():
+        number, score, ids = _pruned(queries[q], query_ids[q], rows[~wide_rows], row_ids[~wide_rows], k, stats)
+        found.append((q[number], score, ids))
+    for asked, held in ((q, wide_rows), (np.flatnonzero(wide_queries), np.ones(len(rows), bool))):
+        for a in range(0, int(held.sum()), STEP_ROWS):
+            at = np.flatnonzero(held)[a : a + STEP_ROWS]
+            for i in asked:
+                score = _whole(queries[i : i + 1], rows[at])[0]
+                other = row_ids[at] != query_ids[i]
+                found.append(_best(np.full(int(other.sum()), i), score[other], row_ids[at][other], k))
+    return _best(*(np.concatenate(x) for x in zip(*found)), k)
+
+
+def _whole(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All inner products in whole numbers of any size, brought into a long's range."""
+    exact = np.array([[int(x) for x in q] for q in queries], dtype=object) @ np.array([[int(x) for x in r] for r in rows], dtype=object).T if queries.shape[1] else np.zeros((len(queries), len(rows)), object)
+    return np.clip(exact, -LONGEST, LONGEST).astype(np.int64)
+
+
+def _pruned(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, stats: dict | None = None):
+    """What maxscore gives, for vectors whose products are exact in floats or, if there are very many terms, in longs."""
+    kind = _exact_kind(queries, rows) or np.int64
     queries, rows = queries.astype(kind), rows.astype(kind)
     m, d = queries.shape
     none = np.zeros(0, np.int64)
     top = (none, none, none)
+    heavy = np.argsort(-np.abs(queries), axis=1, kind="stable")[:, :2]
+    alike = np.lexsort(heavy.T[::-1]) if d else np.arange(m)
+    groups = [alike[a : a + TOGETHER] for a in range(0, m, TOGETHER)]
     at = 0
     while at < len(rows):
         end = min(len(rows), at + (STEP_ROWS if at else FIRST_ROWS))
-        part, ids = rows[at:end], row_ids[at:end]
+        postings, ids = np.ascontiguousarray(rows[at:end].T), row_ids[at:end]
         at = end
+        lowest = np.full(m, -np.inf)
         full = np.bincount(top[0], minlength=m) >= k
-        threshold = np.full(m, -np.inf)
         if len(top[0]):
             last = np.flatnonzero(np.append(top[0][1:] != top[0][:-1], True))
-            lowest = np.full(m, -np.inf)
             lowest[top[0][last]] = top[1][last]
-            threshold[full] = lowest[full]
-        bound = np.maximum(queries * part.max(axis=0), queries * part.min(axis=0)).astype(np.float64)
-        order = np.argsort(bound, axis=1)
-        sums = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
-        n_low = np.where(threshold > 0, (sums <= NON_ESSENTIAL_SHARE * np.maximum(threshold, 0)[:, None]).cumprod(axis=1).sum(axis=1), 0)
-        low = np.zeros((m, d), bool)
-        np.put_along_axis(low, order, np.arange(d)[None, :] < n_low[:, None], axis=1)
-        left = np.where(n_low > 0, np.take_along_axis(sums, np.maximum(n_low - 1, 0)[:, None], axis=1)[:, 0], 0.0) if d else np.zeros(m)
-        score = np.where(low, 0, queries).astype(kind) @ part.T
-        q, r = np.nonzero(score + left[:, None] >= threshold[:, None])
-        so_far = score[q, r].astype(np.int64)
-        if stats is not None:
-            stats["pairs"] = stats.get("pairs", 0) + score.size
-            stats["probed"] = stats.get("probed", 0) + len(q)
-        # probes: the larger half of the non-essential bounds first, the rest for rows that still compete
-        for lo, hi in ((n_low // 2, n_low), (np.zeros(m, np.int64), n_low // 2)):
-            if not (n_low > 0).any():
-                break
-            ranks = np.arange(d)[None, :]
-            mask = np.zeros((m, d), bool)
-            np.put_along_axis(mask, order, (ranks >= lo[:, None]) & (ranks < hi[:, None]), axis=1)
-            weights = np.where(mask, queries, 0).astype(kind)
-            for a in range(0, len(q), PAIRS_AT_ONCE):
-                b = slice(a, a + PAIRS_AT_ONCE)
-                so_far[b] += np.einsum("ij,ij->i", weights[q[b]], part[r[b]]).astype(np.int64)
-            rest = np.where(lo > 0, np.take_along_axis(sums, np.maximum(lo - 1, 0)[:, None], axis=1)[:, 0], 0.0)
-            alive = so_far + rest[q] >= threshold[q]
-            q, r, so_far = q[alive], r[alive], so_far[alive]
-        own = ids[r] == query_ids[q]
-        q, r, so_far = q[~own], r[~own], so_far[~own]
-        top = _best(np.concatenate([top[0], q]), np.concatenate([top[1], so_far]), np.concatenate([top[2], ids[r]]), k)
+        threshold = np.where(full, lowest, -np.inf)
+        high, low = postings.max(axis=1).astype(np.float64), postings.min(axis=1).astype(np.float64)
+        found = []
+        for g in groups:
+            weights, least = queries[g], threshold[g]
+            bound = np.maximum(weights * high, weights * low).astype(np.float64)
+            order, n_low = np.arange(d), 0
+            if kind is not np.int64 and d and least.min() > 0:
+                share = (bound / least[:, None]).max(axis=0)  # a term's largest part of a threshold
+                order = np.argsort(share, kind="stable")
+                n_low = int((np.cumsum(np.maximum(share[order], 0)) <= NON_ESSENTIAL_SHARE).sum())
+            essential = order[n_low:]
+            left = bound[:, order[:n_low]].sum(axis=1)
+            score = weights[:, essential] @ postings[essential]
+            if stats is not None:
+                for name, value in (("pairs", score.size), ("traversed", len(essential) * postings.shape[1] * len(g)), ("terms", d * postings.shape[1] * len(g))):
+                    stats[name] = stats.get(name, 0) + value
+            q, r = np.nonzero(score + left[:, None] >= least[:, None])
+            so_far = score[q, r]
+            if stats is not None:
+                stats["probed"] = stats.get("probed", 0) + len(q)
+            # probes: the larger half of the non-essential bounds first, the rest for rows that still compete
+            for probed, rest in ((order[n_low // 2 : n_low], order[: n_low // 2]), (order[: n_low // 2], order[:0])):
+                if not len(probed):
+                    continue
+                some, part = weights[:, probed], np.ascontiguousarray(postings[probed].T)
+                for a in range(0, len(q), PAIRS_AT_ONCE):
+                    b = slice(a, a + PAIRS_AT_ONCE)
+                    so_far[b] += np.einsum("ij,ij->i", some[q[b]], part[r[b]])
+                alive = so_far + bound[:, rest].sum(axis=1)[q] >= least[q]
+                q, r, so_far = q[alive], r[alive], so_far[alive]
+            own = ids[r] == query_ids[g][q]
+            found.append((g[q[~own]], so_far[~own].astype(np.int64), ids[r[~own]]))
+        top = _best(*(np.concatenate(x) for x in zip(top, *found)), k)
     return top
 
 
-def quantised(column: Column) -> Column:
-    """array<int> of floor(SCALE * x); null where the vector is null, holds a null or non-finite component, or one out of reach."""
-    fits = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < LARGEST / SCALE))
-    return F.when(column.isNotNull() & fits, F.transform(column, lambda x: F.floor(x.cast("double") * SCALE).cast("int")))
+def usable(column: Column) -> Column:
+    """Whether a vector takes part: it isn't null and holds no null or non-finite component."""
+    return column.isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
 
 def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """floor(SCALE * x) of all components, as doubles, which hold it exactly; shorter vectors end in zeros."""
     lists = vectors.combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lists), width), dtype=np.int64)
-    out[np.arange(width)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
+    out = np.zeros((len(lists), width))
+    out[np.arange(width)[None, :] < sizes[:, None]] = np.floor(lists.flatten().to_numpy().astype(np.float64) * SCALE)
     return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other rows, ties to the smaller id; fewer where there are fewer.
 
-    Null vectors, vectors with a null or non-finite component (or beyond LARGEST once scaled), and rows without an id take no
-    part. Shorter vectors count as padded with zeros. Rows with a query's own id are not its candidates; a repeated row counts
+    Null vectors, vectors with a null or non-finite component, and rows without an id take no part. Shorter vectors count as padded with zeros. A score
+    beyond a long's range counts as the range's end. Rows with a query's own id are not its candidates; a repeated row counts
     as often as it occurs. An empty table gives an empty result. Only the id and the vector are read.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), quantised(F.col(vector_column)).alias("v"), is_query.alias("asks")).where("id is not null and v is not null")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
     total, asking, width = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1)), F.max(F.size("v"))).first()
     shards, blocks = max(1, -(-total // ROWS_PER_SHARD)), max(1, -(-asking // QUERIES_PER_BLOCK))
     width = width or 0

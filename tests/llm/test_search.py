@@ -1,3 +1,6 @@
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ def test_maxscore_is_exact_with_ties_and_prunes():
         want = sorted((a, c, s) for a, _, c, s in brute(vectors, 5, set(ids[asked].tolist()).__contains__))
         assert got == want
         if d == 16:
-            assert stats["probed"] < 0.6 * stats["pairs"]
+            assert stats["probed"] < 0.6 * stats["pairs"] and stats["traversed"] < stats["terms"]
 
 
 def test_wide_numbers_stay_exact():
@@ -50,3 +53,16 @@ def test_odd_vectors(spark):
     rows = S.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(0, 1, 1, 256 * 256 * 3), (0, 2, 6, 256 * 256), (0, 3, 7, 0)]
     assert S.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_components_of_any_size_take_part(spark):
+    schema = "vec_id long, embedding array<double>"
+    values = [(0, [1.0, 2.0]), (1, [70000.0, 0.0]), (2, [-70000.5, 1.0]), (3, [3.0, 3.0]), (4, [1e25, 1.0]), (5, [-1e300, 0.0]), (50, [1e9, 1e9]), (100, [1e25, -1.0])]
+    got = sorted(map(tuple, S.top_k(spark.createDataFrame(values, schema), F.col("vec_id") % 50 == 0, 5).collect()))
+    whole = [(i, [floor(Fraction(x) * 256) for x in v]) for i, v in values]
+    want = []
+    for q, x in whole:
+        if q % 50 == 0:
+            scores = sorted((-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), c) for c, y in whole if c != q)[:5]
+            want += [(q, n, c, -score) for n, (score, c) in enumerate(scores, 1)]
+    assert got == sorted(want)
