@@ -1,10 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs, all in DataFrame expressions.
 
-A text's units are its lines, cut further at sentence ends; a unit's digest is a 64-bit hash. A sketch is an array of
+A text's units are its lines, cut further at sentence ends, and long sentences at word ends that their own letters choose,
+so that an edit moves only the cuts around it; a unit's digest is a 64-bit hash. A sketch is an array of
 cells (count, xor of digests, xor of their checks); each digest goes to one cell in each of three subtables. Two
 sketches of the same shape subtract cell by cell; cells left with a single digest give it away and are peeled until
 nothing is left, which recovers exactly the digests that only one version has. Where peeling gets stuck, the digests
-are dealt to blocks by their hash, and each block is sketched and peeled again, larger on each failure.
+are sorted into blocks by their hash, and each block is sketched and peeled again, larger on each failure; should the last
+attempt fail, the block's digests are compared as they are. The work grows with a text's length times its logarithm.
 
 Every step works inside one row: no shuffle beyond the one that brings a document and its successor together.
 """
@@ -27,13 +29,18 @@ RETRIES = (24, 48, 96, 192, 768, 3072)
 ROUNDS = 16
 #: Where a line is cut into sentences.
 SENTENCE_END = "\n|(?<=[.!?]) "
+#: Sentences longer than LONG_UNIT characters are cut: behind a vowel and a space from 64 characters on, or after 512.
+LONG_UNIT = 512
+LONG_PARTS = "(?s).{64,512}?(?<=[aeiou]) |.{1,512}"
 ROWS_PER_BUCKET = 250
 MAX_BUCKETS = 100_000
 
 
 def digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's units; none for an empty text."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, SENTENCE_END), lambda u: u != ""), lambda u: F.xxhash64(u)))
+    sentences = F.filter(F.split(text, SENTENCE_END), lambda u: u != "")
+    units = F.flatten(F.transform(sentences, lambda u: F.when(F.char_length(u) > LONG_UNIT, F.regexp_extract_all(u, F.lit(LONG_PARTS), F.lit(0))).otherwise(F.array(u))))
+    return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
 
 
 def _check(digest: Column) -> Column:
@@ -105,24 +112,32 @@ def peel(difference: Column, cells: int | Column) -> Column:
 
 
 def _by_blocks(left: Column, right: Column) -> Column:
-    """What peel gives, from sketches of blocks of digests, each retried larger until it is done."""
-    blocks = F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) / PER_BLOCK)).cast("int")
+    """What peel gives, from sketches of blocks of digests, each retried larger until it is done, and in the end compared."""
     failed = F.struct(F.lit(False).alias("done"), F.array().cast("array<bigint>").alias("only_left"), F.array().cast("array<bigint>").alias("only_right"))
 
-    def block(items: Column, n: Column, b: Column) -> Column:
-        own = F.filter(items, lambda x: F.pmod(F.shiftright(x.k, 8), n) == b)
-        return let(
-            own,
-            lambda o: F.aggregate(F.array(*map(F.lit, RETRIES)), failed, lambda s, m: F.when(s.done, s).otherwise(peel(sketch(o, m), m))),
-        )
+    def compared(items: Column) -> Column:
+        own, other = (F.transform(F.filter(items, lambda x: x.n == sign), lambda x: x.k) for sign in (1, -1))
+        return F.struct(F.lit(True).alias("done"), F.array_except(own, other).alias("only_left"), F.array_except(other, own).alias("only_right"))
+
+    def block(items: Column) -> Column:
+        # the last attempt, 0, is the comparison
+        return F.aggregate(F.array(*map(F.lit, (*RETRIES, 0))), failed, lambda s, m: F.when(s.done, s).when(m == 0, compared(items)).otherwise(peel(sketch(items, m), m)))
+
+    def dealt(items: Column) -> Column:
+        """The items of each block that isn't empty, cut from one sorted array."""
+        blocks = F.greatest(F.lit(1), F.ceil(F.size(items) / PER_BLOCK)).cast("int")
+        by_block = F.array_sort(F.transform(items, lambda x: F.struct(F.pmod(F.shiftright(x.k, 8), blocks).alias("b"), x.n.alias("n"), x.k.alias("k"), x.c.alias("c"))))
+
+        def cut(placed: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), lambda i: (i == 0) | (F.get(placed, i).b != F.get(placed, i - 1).b))
+            return let(first, lambda f: F.transform(f, lambda at, j: F.slice(placed, at + 1, F.coalesce(F.get(f, j + 1), F.size(placed)) - at)))
 
-    def all_blocks(items: Column) -> Column:
-        return let(blocks, lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda b: block(items, n, b)))
+        return let(by_block, lambda placed: F.when(F.size(placed) > 0, cut(placed)).otherwise(F.array(placed)))
 
     return let(
-        let(F.concat(_signed(left, 1), _signed(right, -1)), all_blocks),
+        let(F.concat(_signed(left, 1), _signed(right, -1)), lambda items: F.transform(dealt(items), block)),
         lambda r: F.struct(
-            F.forall(r, lambda x: x.done).alias("done"),
+            F.lit(True).alias("done"),
             F.flatten(F.transform(r, lambda x: x.only_left)).alias("only_left"),
             F.flatten(F.transform(r, lambda x: x.only_right)).alias("only_right"),
         ),
@@ -130,7 +145,7 @@ def _by_blocks(left: Column, right: Column) -> Column:
 
 
 def reconcile(left: Column, right: Column, left_sketch: Column, right_sketch: Column) -> Column:
-    """struct(done, only_left, only_right): the digests that one side lacks, by the sketches alone where they suffice.
+    """struct(done, only_left, only_right): the digests that one side lacks, by the sketches alone where they suffice; always done.
 
     left and right are the digest arrays, read only where the subtracted fingerprints can't be peeled.
     """
@@ -140,7 +155,7 @@ def reconcile(left: Column, right: Column, left_sketch: Column, right_sketch: Co
 def likeness(found: Column, left_size: Column, right_size: Column) -> Column:
     """Jaccard similarity of the two sets of units, from what peeling recovered; 1 for two empty texts."""
     union = left_size + F.size(found.only_right)
-    return F.when(~found.done, F.lit(None)).when(union == 0, 1.0).otherwise((left_size - F.size(found.only_left)) / union)
+    return F.when(union == 0, 1.0).otherwise((left_size - F.size(found.only_left)) / union)
 
 
 def as_string(cells: Column) -> Column:
@@ -151,47 +166,47 @@ def as_string(cells: Column) -> Column:
 def _with_successor(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """rows(id, text) plus `__next`, the text after it by descending id (nulls last, then by the text's hash and the text); the first follows the last.
 
-    One shuffle: rows go to ranges of ids, and a copy of the first row of a range joins the range before it. The range
-    bounds are approximate quantiles (any bounds give the same result); bounds and first ids, at most MAX_BUCKETS of
-    each, are all that the driver sees. Rows that share an id are ordered within one task.
+    One shuffle: rows go to ranges of ids, rows without one to ranges of their texts' hashes, and a copy of the first row of
+    a range joins the range before it. The range bounds of ids are approximate quantiles (any bounds give the same result);
+    bounds and first values, at most MAX_BUCKETS of each, are all that the driver sees. Rows that share an id, or have none
+    and equal texts, are ordered within one task.
     """
     ids = rows.select(F.col(id_column).cast("long").alias("id"))
     total, nulls = ids.agg(F.count(F.lit(1)), F.count(F.when(F.col("id").isNull(), 1))).first()
-    buckets = max(1, min(MAX_BUCKETS, -(-total // ROWS_PER_BUCKET)))
+    buckets, null_buckets = (max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET))) for n in (total - nulls, nulls))
     bounds: list[int] = []
     if buckets > 1:
         at = [i / buckets for i in range(1, buckets)]
         bounds = sorted(set(ids.agg(F.percentile_approx("id", at, F.lit(max(10_000, 4 * buckets)))).first()[0] or []))
     hash_ = F.xxhash64(F.lit(3), F.col("text"))
-    rows = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("bucket", _bucket(F.col("id").cast("long"), bounds))
-    heads = {r[0]: r[1] for r in rows.where(F.col("id").isNotNull()).groupBy("bucket").agg(F.max("id")).collect()}
-    order = sorted(heads, reverse=True)
-    first_of_nulls = rows.where(F.col("id").isNull()).agg(F.min(hash_)).first()[0] if nulls else None
-    # the bucket before (in the order of ids) each bucket's head, cyclically; the null ids' bucket -1 comes last
-    chain = order + [-1] * bool(nulls)
-    before = {b: chain[i - 1] for i, b in enumerate(chain)}
+    share = (F.col("hash").cast("double") / 2.0**63 + 1) / 2  # from 0 to 1, rising with the hash
+    by_hash = (-1 - F.least(F.floor(share * null_buckets), F.lit(null_buckets - 1))).cast("int")
+    rows = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), hash_.alias("hash"))
+    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), by_hash).otherwise(_bucket(F.col("id").cast("long"), bounds)))
+    heads = {r[0]: r[1] if r[0] >= 0 else r[2] for r in rows.groupBy("bucket").agg(F.max("id"), F.min("hash")).collect()}
+    # buckets in the order of rows: ids fall, then the hashes of rows without one rise with the negative numbers' size
+    chain = sorted((b for b in heads if b >= 0), reverse=True) + sorted((b for b in heads if b < 0), reverse=True)
+    before = {b: chain[i - 1] for i, b in enumerate(chain)}  # cyclically
     guest = F.lit(None).cast("int")
     if heads:
-        own = F.from_json(F.lit(json.dumps({str(b): [int(heads[b]), before[b]] for b in order})), "map<string,array<bigint>>")
+        own = F.from_json(F.lit(json.dumps({str(b): [int(heads[b]), before[b]] for b in chain})), "map<string,array<bigint>>")
         mine = F.element_at(own, F.col("bucket").cast("string"))
-        guest = F.when(F.col("id") == mine[0], mine[1].cast("int"))
-    if nulls:
-        guest = F.when(F.col("id").isNull() & (hash_ == F.lit(first_of_nulls)), F.lit(before[-1])).otherwise(guest)
+        guest = F.when(F.coalesce(F.col("id").cast("long"), F.col("hash")) == mine[0], mine[1].cast("int"))
     both = rows.withColumn("__to", F.explode(F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(1).alias("guest")))))))
-    window = Window.partitionBy("b").orderBy("guest", F.col("id").desc_nulls_last(), "__hash", "text")
+    window = Window.partitionBy("b").orderBy("guest", F.col("id").desc_nulls_last(), "hash", "text")
     return (
-        both.select("id", "text", "__to.b", "__to.guest", hash_.alias("__hash"))
+        both.select("id", "text", "hash", "__to.b", "__to.guest")
         .withColumn("__units", digests(F.col("text")))
         .withColumn("__next", F.lead(F.struct("text", "__units")).over(window))
         .where("guest = 0")
-        .drop("b", "guest", "__hash")
+        .drop("b", "guest", "hash")
     )
 
 
 def _bucket(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds lie below value, by binary search; -1 for null."""
+    """How many of the ascending bounds lie below value, by binary search."""
     if not bounds:
-        return F.when(value.isNull(), -1).otherwise(0)
+        return F.lit(0)
     table_ = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
 
     def step(s: Column, _: Column) -> Column:
@@ -203,8 +218,7 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, step, lambda s: s.lo)
-    return F.when(value.isNull(), -1).otherwise(found)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, step, lambda s: s.lo)
 
 
 def fingerprint_versions(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -213,7 +227,7 @@ def fingerprint_versions(rows: DataFrame, id_column: str = "doc_id", text_column
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the recovered
     digests: edited_removed and edited_added. Null texts count as empty; two empty texts are alike (1.0). Equal texts
     have equal fingerprints; rows that repeat are kept. An empty table gives an empty result. Of the input, only the id
-    and the text are read. If no attempt could peel a difference, the likeness would be null (none is known).
+    and the text are read.
     """
     plain = rows.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     size = F.char_length("text")

@@ -7,7 +7,8 @@ from sparsight.llm import fingerprints as P
 
 
 def units(text):
-    return {u for u in re.split(r"\n|(?<=[.!?]) ", text or "") if u}
+    whole = [u for u in re.split(r"\n|(?<=[.!?]) ", text or "") if u]
+    return {part for u in whole for part in (re.findall(r"(?s).{64,512}?(?<=[aeiou]) |.{1,512}", u) if len(u) > 512 else [u])}
 
 
 def jaccard(a, b):
@@ -67,3 +68,36 @@ def test_odd_rows(spark, odd_dir, empty_dir):
 def test_single_row_follows_itself(spark):
     rows = P.fingerprint_versions(spark.createDataFrame([(5, "one. two.")], "doc_id long, text string")).collect()
     assert seen(rows) == brute([(5, "one. two.")])
+
+
+def test_null_ids_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 3)
+    texts = [f"text {n}. of {n % 4}" for n in range(17)] + ["same"] * 5
+    rows = spark.createDataFrame([(None, t) for t in texts] + [(3, "a. b"), (9, "b. c")], "doc_id long, text string")
+    hashed = rows.where("doc_id is null").select("text", F.xxhash64(F.lit(3), "text").alias("h")).collect()
+    order = [(9, "b. c"), (3, "a. b")] + [(None, r.text) for r in sorted(hashed, key=lambda r: r.h)]
+    key = lambda r: str(r)
+    assert sorted(seen(P.fingerprint_versions(rows).collect()), key=key) == sorted(brute(order), key=key)
+
+
+def test_what_no_attempt_can_peel_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(P, "RETRIES", (3,))
+    df = spark.createDataFrame([("\n".join(f"line {i}" for i in range(200)), "\n".join(f"line {i}" for i in range(50, 300)))], ["a", "b"])
+    a, b = P.digests(F.col("a")), P.digests(F.col("b"))
+    r = df.select(P.reconcile(a, b, P.sketch(P._signed(a, 1), P.CELLS), P.sketch(P._signed(b, 1), P.CELLS)).alias("f"), a.alias("a"), b.alias("b")).first()
+    assert r.f.done and sorted(r.f.only_left) == sorted(set(r.a) - set(r.b)) and sorted(r.f.only_right) == sorted(set(r.b) - set(r.a))
+
+
+def test_a_megabyte_of_lines_and_a_long_line(spark):
+    import time
+
+    lines = "\n".join(f"this is line {i}, with a few words more" for i in range(25_000))
+    one = " ".join(f"word{i}{'aeiouxyz'[i * i % 8]}" for i in range(3000))
+    moved = one[:9000] + "an insertion " + one[9000:]
+    docs = [(3, lines), (2, lines[:600_000]), (1, one), (0, moved)]
+    began = time.time()
+    rows = P.fingerprint_versions(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert time.time() - began < 90
+    assert sorted(seen(rows)) == sorted(brute(docs))
+    near = {r.doc_id: r for r in rows}
+    assert near[1].near_next > 0.8 and near[1].near_edited > 0.3
