@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -92,7 +93,8 @@ def test_a_megabyte_of_lines_and_a_long_line(spark):
     import time
 
     lines = "\n".join(f"this is line {i}, with a few words more" for i in range(25_000))
-    one = " ".join(f"word{i}{'aeiouxyz'[i * i % 8]}" for i in range(3000))
+    rng = random.Random(2)
+    one = " ".join("".join(rng.choices("aeiourstln", k=rng.randint(2, 9))) + str(i) * (i % 3 == 0) for i in range(3000))
     moved = one[:9000] + "an insertion " + one[9000:]
     docs = [(3, lines), (2, lines[:600_000]), (1, one), (0, moved)]
     began = time.time()
