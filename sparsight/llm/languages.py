@@ -1,10 +1,12 @@
 """Language identification by cross-parsing: how few phrases of a language's labelled text a document needs.
 
-Training takes a bounded sample of labelled rows a language (parameters below) and makes one string of letters of each.
+Training takes a bounded sample of labelled rows a language (parameters below), whole, as one string of letters.
 A suffix automaton of that string follows a document letter by letter; when no longer match exists a phrase ends and the
 next one begins at that letter. Phrases per letter, times the log of the training size, estimate the cross entropy; the
-language that needs fewest normalised phrases wins. All texts of a batch are parsed at once: they are cut into blocks of
-letters, each block a lane that starts a phrase of its own, and every step advances all lanes by one letter.
+language that needs fewest normalised phrases wins. All texts of a batch are parsed at once: they are cut into lanes of
+letters, parsed as if a phrase began with each, and every step advances all lanes by one letter. Then the phrase that is
+open at a lane's end goes on into the next lane until it meets a state that this was in anyway, which is soon; the result
+is the parse of the whole text from its first letter on, whatever the lanes.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import give_memory_back, table
 
-#: Bounds of the training sample: rows a language (the ones with the smallest hashes of ids), letters of each.
+#: Bounds of the training sample: rows a language (the ones with the smallest hashes of ids), characters of each. Rows of
+#: more are only taken where there are no others, and then by a passage at a place that the hash chooses.
 SAMPLE_ROWS = 32
-SAMPLE_LETTERS = 1000
+SAMPLE_CHARS = 4000
 #: Letters of a lane; most letters of an alphabet whose transitions are a full table (larger ones are searched); bits by which a phrase more counts in the score.
 LANE = 512
 FULL_TABLE = 120
 PHRASE_BITS = 0.5
 #: Code points that are parsed at once.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 1_000_000
 #: A text of so many letters or more whose best language still needs a phrase for fewer letters than its bound is in no
 #: known language. The bound lies midway between 1 (nothing matches) and what held-back labelled text reaches, within these.
 LEAST_LETTERS = 24
@@ -207,26 +210,46 @@ class Parser:
         nth = np.arange(total) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         begin = bounds[:-1][owner] + nth * LANE
         end = np.minimum(begin + LANE, bounds[1:][owner])
+        later = np.flatnonzero(nth > 0)  # lanes that another one precedes
+        last = np.append(nth[1:] == 0, True)
         order = np.argsort(begin - end, kind="stable")  # longest first, so that ended lanes are cut off
-        numbers = self.number[points]
-        begin, length, owner = begin[order], (end - begin)[order], owner[order]
+        by_length, length = begin[order], (end - begin)[order]
         active = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than t
+        numbers = self.number[points]
+        opening = bounds[:-1][sizes > 0]
         for k, table_ in enumerate(self.tables):
             symbols = self.symbols[k][numbers]
+            path = np.empty(len(points), dtype=np.uint32)  # the state after each letter, marked where a phrase begins with it
             state = np.zeros(total, dtype=np.uint32)
-            ended = np.ones(total, dtype=np.int64)  # a lane's first phrase; others begin at a miss
-            first = True
             for t in range(int(length[0])):
-                n = int(active[t])
-                v = table_.next(state[:n], symbols[begin[:n] + t])
-                if first:
-                    first = False  # a miss at the very first letter begins the first phrase
-                else:
-                    ended[:n] += v >> np.uint32(31)
-                state[:n] = v & ~_END
-            counts[:, k] += np.bincount(owner, weights=ended, minlength=len(texts)).astype(np.int64)
+                at = by_length[: active[t]] + t
+                path[at] = v = table_.next(state[: len(at)], symbols[at])
+                state[: len(at)] = v & ~_END
+            lane = later
+            while len(lane):
+                lane = self._go_on(table_, symbols, path, lane, begin, end)
+                lane = lane[~last[lane]] + 1  # lanes whose predecessor ended in another state than was thought
+            path[opening] |= _END
+            begun = np.concatenate([[0], np.cumsum(path >> np.uint32(31), dtype=np.int64)])
+            counts[:, k] = begun[bounds[1:]] - begun[bounds[:-1]]
         return counts, sizes
 
+    @staticmethod
+    def _go_on(table_, symbols: np.ndarray, path: np.ndarray, lane: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Parses lanes from the states that their predecessors ended in, up to states they were in before; returns those that never were."""
+        at, state, changed = begin[lane], path[begin[lane] - 1] & ~_END, []
+        while len(lane):
+            v = table_.next(state, symbols[at])
+            state = v & ~_END
+            met = state == path[at] & ~_END
+            path[at] = v
+            at = at + 1
+            over = at == end[lane]
+            changed.append(lane[over & ~met])
+            on = ~(met | over)
+            lane, at, state = lane[on], at[on], state[on]
+        return np.sort(np.concatenate(changed)) if changed else lane
+
     def identify(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
         counts, sizes = self.phrases(texts)
         out = []
@@ -264,21 +287,21 @@ def least_phrases(samples: tuple[tuple[str, str], ...]) -> dict[str, float]:
 def training_samples(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> tuple[tuple[str, str], ...]:
     """(language, letters) of at most SAMPLE_ROWS labelled rows a language, chosen by the hash of their ids.
 
-    Rows without text or label take no part. What reaches the driver is bounded by languages x SAMPLE_ROWS x
-    SAMPLE_LETTERS letters; each row of the sample is the one with the smallest hash in its slot, found by aggregation.
+    Rows without text or label take no part. What reaches the driver is bounded by languages x SAMPLE_ROWS x SAMPLE_CHARS
+    characters; each row of the sample is the one with the smallest hash in its slot, found by aggregation.
     """
     chance = F.xxhash64(F.lit(11), F.col(id_column))
-    excerpt = F.substring(F.trim(F.regexp_replace(F.col(text_column), "[^\\p{L}]+", " ")), 1, SAMPLE_LETTERS)
+    size = F.char_length(text_column)
+    place = F.when(size > SAMPLE_CHARS, F.pmod(chance, size - SAMPLE_CHARS + 1)).otherwise(0).cast("int")
     picked = (
         labelled.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
-        .select(F.col(lang_column).alias("lang"), F.pmod(chance, F.lit(SAMPLE_ROWS)).alias("slot"), F.struct(chance.alias("h"), F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).alias("row"))
+        .select(F.col(lang_column).alias("lang"), F.pmod(chance, F.lit(SAMPLE_ROWS)).alias("slot"), F.struct((size > SAMPLE_CHARS).alias("long"), chance.alias("h"), F.col(id_column).cast("string").alias("id"), F.substring(text_column, place + 1, F.lit(SAMPLE_CHARS)).alias("text")).alias("row"))
         .groupBy("lang", "slot").agg(F.min("row").alias("row"))
-        .select("lang", "slot", F.col("row.text").alias(text_column))
-        .select("lang", "slot", excerpt.alias("letters"))
+        .select("lang", "slot", F.col("row.text").alias("text"))
     )
     by_lang: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.slot)):
-        points, _ = letters_of([r.letters])
+        points, _ = letters_of([r.text])
         if len(points):
             by_lang.setdefault(r.lang, []).append(points.astype("<u4").tobytes().decode("utf-32-le"))
     return tuple((lang, "\n".join(texts)) for lang, texts in sorted(by_lang.items()))
@@ -296,7 +319,8 @@ def language_of(column: Column, samples: tuple[tuple[str, str], ...]) -> Column:
         give_memory_back()
         parser, rows = _parser(samples), []
         held, size = [], 0
-        for text in texts.to_pylist():
+        for text in texts:
+            text = text.as_py()
             held.append(text)
             size += len(text or "")
             if size > BATCH_CHARS:  # bounds the working arrays

@@ -7,31 +7,30 @@ from pyspark.sql import functions as F
 from sparsight.llm import languages as L
 
 
-def brute_phrases(text, training, lane=L.LANE):
-    """Longest matches by substring search, in blocks."""
+def brute_phrases(text, training):
+    """Longest matches by substring search, over the whole text."""
     letters = " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split(" ")).split()
     s, count = " ".join(letters), 0
-    for at in range(0, len(s), lane):
-        block, i = s[at : at + lane], 0
-        while i < len(block):
-            j = i + 1
-            while j < len(block) and block[i : j + 1] in training:
-                j += 1
-            count, i = count + 1, j
+    i = 0
+    while i < len(s):
+        j = i + 1
+        while j < len(s) and s[i : j + 1] in training:
+            j += 1
+        count, i = count + 1, j
     return count, len(s)
 
 
 def test_phrase_counts_against_substring_search(monkeypatch):
-    monkeypatch.setattr(L, "LANE", 64)
+    monkeypatch.setattr(L, "LANE", 7)
     rng = random.Random(2)
     words = ["the", "then", "and", "of", "ofthe", "été", "über", "a"]
     training = "\n".join(" ".join(rng.choices(words[:6], k=60)) for _ in range(3))
     parser = L.Parser((("x", training), ("y", "zzz\nyy z")))
-    texts = [" ".join(rng.choices(words, k=rng.randint(0, 90))) for _ in range(40)] + ["", None, "!!", "q", "qq q", " The   AND--of\n"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 90))) for _ in range(40)] + ["", None, "!!", "q", "qq q", " The   AND--of\n", "t" * 50, "ofthe" * 40, "the then " * 30]
     counts, sizes = parser.phrases(texts)
     for t, row, n in zip(texts, counts, sizes):
         for got, own in zip(row, (training, "zzz\nyy z")):
-            assert (got, n) == brute_phrases(t or "", own, 64), t
+            assert (got, n) == brute_phrases(t or "", own), t
 
 
 def test_automaton_holds_exactly_the_substrings():
@@ -86,3 +85,26 @@ def test_large_alphabets_are_whole_and_their_texts_are_known(spark):
     rows = [(k, text(k, 200)) for k in scripts for _ in range(10)] + [("und", "".join(chr(0x0400 + rng.randrange(32, 80)) for _ in range(300)))]
     found = spark.createDataFrame(rows, "k string, t string").select("k", L.language_of(F.col("t"), samples).alias("l")).select("k", "l.lang", L.is_known(F.col("l")).alias("known")).collect()
     assert all(r.known == (r.k != "und") and (r.k == "und" or r.lang == r.k) for r in found)
+
+
+def test_long_rows_take_part_where_there_are_no_others(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 4)
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 30)
+    rows = [(n, "short text", "xx") for n in range(40)] + [(100 + n, "short text" * 50, "xx") for n in range(40)] + [(200 + n, "zig zag " * 100 + "end", "yy") for n in range(40)]
+    samples = dict(L.training_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert samples["xx"].split("\n") == ["short text"] * 4
+    assert all(t in "zig zag " * 100 + "end" and 26 <= len(t) <= 30 for t in samples["yy"].split("\n")) and len(set(samples["yy"].split("\n"))) > 1
+
+
+def test_lanes_change_no_result(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choices(["one", "two", "three", "there", "tone", "onetwo", "é"], k=4000))
+    training = " ".join(rng.choices(["one", "two", "three", "there", "tone"], k=500))
+    parser = L.Parser((("x", training), ("y", "a" * 300)))
+    texts = [text, "a" * 5000, "b" * 700 + "a" * 999]
+    results = []
+    for lane in (3, 100, 512, 100_000):
+        monkeypatch.setattr(L, "LANE", lane)
+        results.append(parser.phrases(texts)[0].tolist())
+    assert results[0] == results[1] == results[2] == results[3]
+    assert results[0][1][1] == -(-5000 // 300)
