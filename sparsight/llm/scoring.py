@@ -9,12 +9,14 @@ whatever the words are, and nothing but N and V reaches the driver.
 
 A trie has two levels of monotone integers in Elias-Fano form: contexts, pointers to each context's successors, and the
 successors, numbered relative to the end of the context before so that they rise across contexts; a level of two-byte
-codes holds the pairs' probabilities (joint, on a logarithmic grid). The blob is flat, so `Trie` reads it from any
-buffer, a memory-mapped file included.
+codes holds the pairs' joint probabilities (as multiples of 1/N, on a logarithmic grid); a block smooths them with p(w) and
+c(v), which other shards send. The blob lies in one memory map and is queried there: places are selected in the unary high
+bits, low bits are read from their packed words, and a successor is found among those of its context. Nothing is unpacked.
 """
 
 from __future__ import annotations
 
+import mmap
 import struct
 
 import numpy as np
@@ -27,7 +29,8 @@ from .languages import in_fold
 
 #: Words that a context's prior counts for.
 PRIOR = 60.0
-ROWS_PER_BLOCK = 5000
+#: Bytes of text that a block is meant to hold; a row counts for 16 more.
+BYTES_PER_BLOCK = 16_000_000
 SHARDS_PER_BLOCK = 2
 #: The two-byte grid of counts: 0, then exact, then geometric up to 2^62 by steps of 0.07 %.
 _EXACT = 16384
@@ -38,17 +41,45 @@ _LOWER = bytes(range(256)).lower()
 END = b""
 
 
+#: Place of the k-th one (row) among the eight bits of a byte (column).
+_SELECT_IN_BYTE = np.array([[([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256)] for k in range(8)], dtype=np.uint8)
+_ONE = np.uint64(1)
+
+
+class _Bits:
+    """A bit vector of 64-bit words with a directory of how many ones precede each word."""
+
+    def __init__(self, words_: np.ndarray):
+        self.words = words_
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words_), dtype=np.int64)])
+        self.zeros = np.arange(len(words_) + 1, dtype=np.int64) * 64 - self.ones
+
+    def select(self, rank: np.ndarray, bit: int = 1) -> np.ndarray:
+        """Positions of the ones (or zeros) of these ranks."""
+        before = self.ones if bit else self.zeros
+        word = np.searchsorted(before, rank, side="right") - 1
+        left = rank - before[word]
+        held = self.words[word] if bit else ~self.words[word]
+        octets = held.astype("<u8").view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
+        octet = (upto <= left[:, None]).sum(axis=1)
+        rows = np.arange(len(rank))
+        left = left - np.where(octet > 0, upto[rows, np.maximum(octet - 1, 0)], 0)
+        return word * 64 + octet * 8 + _SELECT_IN_BYTE[left, octets[rows, octet]]
+
+
 class EliasFano:
-    """A non-decreasing sequence of unsigned integers in n (2 + log2(u/n)) bits: low bits packed, high bits in unary."""
+    """A non-decreasing sequence of unsigned integers in n (2 + log2(u/n)) bits: low bits packed, high bits in unary. Read in place."""
 
-    HEAD = struct.Struct("<QBxxxxxxxQQ")  # items, low bits, bytes of the low part, bytes of the high part
+    HEAD = struct.Struct("<QBxxxxxxxQQ")  # items, low bits, 64-bit words of the low part, and of the high part
 
     def __init__(self, buffer, at: int = 0):
-        self.n, self.low_bits, low, high = self.HEAD.unpack_from(buffer, at)
+        self.n, bits, low, high = self.HEAD.unpack_from(buffer, at)
         at += self.HEAD.size
-        self.low = np.frombuffer(buffer, np.uint8, low, at)
-        self.high = np.frombuffer(buffer, np.uint8, high, at + low)
-        self.end = at + low + high
+        self.bits, self.mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+        self.low = np.frombuffer(buffer, "<u8", low, at)
+        self.high = _Bits(np.frombuffer(buffer, "<u8", high, at + 8 * low))
+        self.end = at + 8 * (low + high)
 
     @classmethod
     def encode(cls, values: np.ndarray) -> bytes:
@@ -56,20 +87,53 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         bits = max(0, ((top + 1) // n).bit_length() - 1) if n else 0
-        low = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-        unary = np.zeros(n + (top >> bits) + 1, dtype=np.uint8)
+        unary = np.zeros(-(-(n + (top >> bits) + 1) // 64) * 64, dtype=np.uint8)
         unary[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-        packed_low, packed_high = np.packbits(low.astype(np.uint8).reshape(-1)).tobytes(), np.packbits(unary).tobytes()
-        return cls.HEAD.pack(n, bits, len(packed_low), len(packed_high)) + packed_low + packed_high
+        high = np.packbits(unary, bitorder="little")
+        low = np.zeros(-(-n * bits // 64) + 1 if bits else 0, dtype="<u8")  # one word more, so that pairs of words can be read
+        if bits and n:
+            lows = values & np.uint64((1 << bits) - 1)
+            at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
+            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            low[word[first]] = np.bitwise_or.reduceat(lows << shift, first)
+            over = shift + np.uint64(bits) > 64
+            low[word[over] + 1] |= lows[over] >> (np.uint64(64) - shift[over])
+        return cls.HEAD.pack(n, bits, len(low), len(high) // 8) + low.tobytes() + high.tobytes()
+
+    def _lows(self, index: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(index), np.uint64)
+        at = index.astype(np.uint64) * self.bits
+        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        return (self.low[word] >> shift | (self.low[word + 1] << _ONE) << (np.uint64(63) - shift)) & self.mask
+
+    def __getitem__(self, index: np.ndarray) -> np.ndarray:
+        """The integers at these places."""
+        return (self.high.select(index) - index).astype(np.uint64) << self.bits | self._lows(index)
+
+    def search(self, values: np.ndarray) -> np.ndarray:
+        """The first place of an integer not below each value; n where there is none."""
+        if not self.n:
+            return np.zeros(len(values), np.int64)
+        high, low = values >> self.bits, values & self.mask
+        most = self[np.array([self.n - 1])][0] >> self.bits
+        inside = high <= most
+        h = np.minimum(high, most).astype(np.int64)
+        # those with the same high part lie between two zeros of the unary code
+        first = np.where(h > 0, self.high.select(np.maximum(h - 1, 0), 0) - h + 1, 0)
+        last = self.high.select(h, 0) - h
+        open_ = np.flatnonzero(first < last)
+        while len(open_):
+            a, b = first[open_], last[open_]
+            middle = (a + b) >> 1
+            below = self._lows(middle) < low[open_]
+            first[open_], last[open_] = np.where(below, middle + 1, a), np.where(below, b, middle)
+            open_ = open_[first[open_] < last[open_]]
+        return np.where(inside, first, self.n)
 
     def decode(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-        out = high.astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            for k in range(self.low_bits):
-                out |= bits[:, k].astype(np.uint64) << np.uint64(k)
-        return out
+        return self[np.arange(self.n)]
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -81,14 +145,10 @@ class Trie:
     """Pairs (context, successor) of 32-bit numbers with a two-byte code each."""
 
     def __init__(self, buffer):
-        contexts = EliasFano(buffer)
-        pointers = EliasFano(buffer, contexts.end)
-        successors = EliasFano(buffer, pointers.end)
-        self.contexts, self.pointers, self.successors = contexts.decode(), pointers.decode().astype(np.int64), successors.decode()
-        self.codes = np.frombuffer(buffer, "<u2", successors.n, successors.end)
-        #: What a context's successors are counted from: one more than the last number of the context before.
-        ends = self.pointers[1:-1] if len(self.contexts) else self.pointers[:0]
-        self.bases = np.concatenate([np.zeros(min(1, len(self.contexts)), np.uint64), self.successors[ends - 1] + np.uint64(1)])
+        self.contexts = EliasFano(buffer)
+        self.pointers = EliasFano(buffer, self.contexts.end)
+        self.successors = EliasFano(buffer, self.pointers.end)
+        self.codes = np.frombuffer(buffer, "<u2", self.successors.n, self.successors.end)
 
     @staticmethod
     def build(pairs: np.ndarray, counts: np.ndarray) -> bytes:
@@ -102,16 +162,37 @@ class Trie:
         return b"".join([EliasFano.encode(contexts), EliasFano.encode(pointers), EliasFano.encode(rising), quantise(counts).tobytes()])
 
     def lookup(self, pairs: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 where there is none: the context first, then its successors by their relative numbers."""
-        if not len(self.contexts):
-            return np.zeros(len(pairs), "<u2")
-        context = pairs >> np.uint64(32)
-        c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        wanted = (pairs & np.uint64(0xFFFFFFFF)) + self.bases[c]
-        j = np.searchsorted(self.successors, wanted)
-        inside = (self.contexts[c] == context) & (j < self.pointers[c + 1])
-        j = np.minimum(j, len(self.successors) - 1)
-        return np.where(inside & (self.successors[j] == wanted), self.codes[j], 0).astype("<u2")
+        """The code of each pair (sorted), 0 where there is none: the context first, then its successors by their relative numbers."""
+        out = np.zeros(len(pairs), "<u2")
+        if not self.contexts.n or not len(pairs):
+            return out
+        contexts = pairs >> np.uint64(32)
+        fresh = np.concatenate([[True], contexts[1:] != contexts[:-1]])
+        wanted = contexts[fresh]
+        place = self.contexts.search(wanted)
+        place = np.where(place < self.contexts.n, place, 0)
+        known = self.contexts[place] == wanted
+        place = place[known]
+        first, last = self.pointers[place].astype(np.int64), self.pointers[place + 1].astype(np.int64)
+        # a context's successors are counted from one more than the last number of the context before
+        base = np.where(first > 0, self.successors[np.maximum(first - 1, 0)] + _ONE, np.uint64(0))
+        group = np.cumsum(fresh) - 1
+        asked = np.flatnonzero(known[group])
+        mine = (np.cumsum(known) - 1)[group[asked]]
+        number = (pairs[asked] & np.uint64(0xFFFFFFFF)) + base[mine]
+        j = self.successors.search(number)
+        held = j < last[mine]
+        asked, j, number = asked[held], j[held], number[held]
+        held = self.successors[j] == number
+        out[asked[held]] = self.codes[j[held]]
+        return out
+
+
+def mapped(blob: bytes) -> memoryview:
+    """The blob in an anonymous memory map: outside of the heap, gone with the last view of it, and no file on a local disk."""
+    region = mmap.mmap(-1, max(1, len(blob)))
+    region[: len(blob)] = blob
+    return memoryview(region)
 
 
 def words(text: str) -> list[bytes]:
@@ -157,12 +238,12 @@ class Block:
         self.pair_counts = np.bincount(self.pair_of[learned], minlength=len(self.pair_keys))
 
     def by_shard(self, shards: int):
-        """(shard, places of its words, places of its pairs) for each shard; the places rise, so the keys stay sorted."""
+        """(shard, places of its words, places of its pairs) for each shard that has any; the places rise, so the keys stay sorted."""
         word_shard, pair_shard = _shard(self.word_keys, shards), _shard(self.pair_keys, shards)
         word_order, pair_order = np.argsort(word_shard, kind="stable"), np.argsort(pair_shard, kind="stable")
         edges = np.arange(shards + 1, dtype=np.uint64)
         w, p = np.searchsorted(word_shard[word_order], edges), np.searchsorted(pair_shard[pair_order], edges)
-        for s in range(shards):
+        for s in np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0)).tolist():
             yield s, word_order[w[s] : w[s + 1]], pair_order[p[s] : p[s + 1]]
 
 
@@ -202,7 +283,7 @@ def _answer(group: pa.Table) -> pa.Table:
     array = lambda name, kind: [np.frombuffer(v, kind) for v in group.column(name).to_pylist()]
     asked_words, asked_pairs = array("words", "<u8"), array("pairs", "<u8")
     known, counts = _total(asked_words, array("word_counts", "<u4"))
-    trie = Trie(Trie.build(*_total(asked_pairs, array("pair_counts", "<u4"))))
+    trie = Trie(mapped(Trie.build(*_total(asked_pairs, array("pair_counts", "<u4")))))
     answers, codes = [], []
     for w, p in zip(asked_words, asked_pairs):
         at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
@@ -258,8 +339,9 @@ def vocabulary(training: DataFrame, shards: int) -> tuple[int, int]:
         shard = _shard(keys, shards)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-        parts = [keys[order[a:b]].tobytes() for a, b in zip(edges, edges[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(parts, pa.binary()), pa.array([tokens, *[0] * (shards - 1)], pa.int64())], names=["shard", "keys", "tokens"])
+        asked = np.flatnonzero(np.diff(edges)).tolist() or [0]
+        parts = [keys[order[edges[s] : edges[s + 1]]].tobytes() for s in asked]
+        yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array(parts, pa.binary()), pa.array([tokens, *[0] * (len(asked) - 1)], pa.int64())], names=["shard", "keys", "tokens"])
 
     def distinct(group: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, "<u8") for k in group.column("keys").to_pylist()]
@@ -279,7 +361,8 @@ def score_documents(docs: DataFrame, held_out, id_column: str = "doc_id", text_c
     with nothing to learn from every word has the same chance. Only the id and the text are read.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    blocks = max(16, -(-docs.count() // ROWS_PER_BLOCK))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
+    blocks = max(16, -(-size // BYTES_PER_BLOCK))
     shards = SHARDS_PER_BLOCK * blocks
     total, distinct = vocabulary(rows.where(~F.col("held_out")), shards)
     blocked = rows.select("*", (~F.col("held_out")).alias("training"), F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"))
