@@ -27,7 +27,7 @@ from .common import give_memory_back, table
 SAMPLE_ROWS = 32
 SAMPLE_CHARS = 4000
 #: Letters of a lane; most letters of an alphabet whose transitions are a full table (larger ones are searched); bits by which a phrase more counts in the score.
-LANE = 512
+LANE = 1024
 FULL_TABLE = 120
 PHRASE_BITS = 0.5
 #: Code points that are parsed at once.
@@ -77,7 +77,10 @@ def _first_kept_is_space(folded, keep, at, first, last):
 
 
 def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """states x size transitions of the suffix automaton of a symbol sequence; 0, the root, where there is none."""
+    """states x size transitions of the suffix automaton of a symbol sequence; 0, the root, where there is none.
+
+    States of short matches, which texts are in most of the time, come first, so that they lie close together.
+    """
     n = len(symbols)
     trans = array("i", bytes(4 * size * (2 * n + 2)))
     link, length = array("i", [-1]) + array("i", bytes(4 * (2 * n + 1))), array("i", bytes(4 * (2 * n + 2)))
@@ -104,7 +107,10 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return np.frombuffer(trans, dtype=np.int32)[: used * size].reshape(used, size)
+    order = np.argsort(np.frombuffer(length, dtype=np.int32)[:used], kind="stable")
+    number = np.empty(used, dtype=np.int32)
+    number[order] = np.arange(used, dtype=np.int32)
+    return number[np.frombuffer(trans, dtype=np.int32)[: used * size].reshape(used, size)[order]]
 
 
 def sparse_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
@@ -214,41 +220,53 @@ class Parser:
         last = np.append(nth[1:] == 0, True)
         order = np.argsort(begin - end, kind="stable")  # longest first, so that ended lanes are cut off
         by_length, length = begin[order], (end - begin)[order]
-        active = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than t
-        numbers = self.number[points]
-        opening = bounds[:-1][sizes > 0]
+        column = np.empty(total, dtype=np.int64)
+        column[order] = np.arange(total)
+        active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # lanes longer than t
+        step = np.concatenate([[0], np.cumsum(active)])  # where the t-th letters of all lanes begin: letters of one step lie together
+        numbers = np.empty(len(points), dtype=np.uint32)
+        for t, n in enumerate(active):
+            numbers[step[t] : step[t + 1]] = self.number[points[by_length[:n] + t]]
+        opening = column[nth == 0]
         for k, table_ in enumerate(self.tables):
             symbols = self.symbols[k][numbers]
             path = np.empty(len(points), dtype=np.uint32)  # the state after each letter, marked where a phrase begins with it
             state = np.zeros(total, dtype=np.uint32)
-            for t in range(int(length[0])):
-                at = by_length[: active[t]] + t
-                path[at] = v = table_.next(state[: len(at)], symbols[at])
-                state[: len(at)] = v & ~_END
+            for t, n in enumerate(active):
+                at = slice(step[t], step[t + 1])
+                path[at] = state = table_.next(state[:n] & ~_END, symbols[at])
             lane = later
             while len(lane):
-                lane = self._go_on(table_, symbols, path, lane, begin, end)
+                before = lane - 1
+                state = path[step[end[before] - begin[before] - 1] + column[before]] & ~_END
+                lane = np.sort(self._go_on(table_, symbols, path, step, lane, state, column, end - begin))
                 lane = lane[~last[lane]] + 1  # lanes whose predecessor ended in another state than was thought
             path[opening] |= _END
-            begun = np.concatenate([[0], np.cumsum(path >> np.uint32(31), dtype=np.int64)])
-            counts[:, k] = begun[bounds[1:]] - begun[bounds[:-1]]
+            begun = np.zeros(total, dtype=np.int64)
+            for t, n in enumerate(active):
+                begun[:n] += path[step[t] : step[t + 1]] >> np.uint32(31)
+            counts[:, k] = np.bincount(owner[order], weights=begun, minlength=len(texts)).astype(np.int64)
         return counts, sizes
 
     @staticmethod
-    def _go_on(table_, symbols: np.ndarray, path: np.ndarray, lane: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Parses lanes from the states that their predecessors ended in, up to states they were in before; returns those that never were."""
-        at, state, changed = begin[lane], path[begin[lane] - 1] & ~_END, []
+    def _go_on(table_, symbols, path, step, lane, state, column, length) -> np.ndarray:
+        """Parses lanes from the states given, up to states that they were in before; returns those that never were."""
+        changed, t = [lane[:0]], 0
+        place, length = column[lane], length[lane]
         while len(lane):
-            v = table_.next(state, symbols[at])
-            state = v & ~_END
-            met = state == path[at] & ~_END
-            path[at] = v
-            at = at + 1
-            over = at == end[lane]
-            changed.append(lane[over & ~met])
-            on = ~(met | over)
-            lane, at, state = lane[on], at[on], state[on]
-        return np.sort(np.concatenate(changed)) if changed else lane
+            met = np.zeros(len(lane), bool)
+            until = min(t + 16, int(length.min()))
+            while t < until:  # going on behind a state that was met changes nothing
+                at = step[t] + place
+                v = table_.next(state, symbols[at])
+                state = v & ~_END
+                met |= state == path[at] & ~_END
+                path[at] = v
+                t += 1
+            changed.append(lane[(length == t) & ~met])
+            on = ~met & (length > t)
+            lane, place, length, state = lane[on], place[on], length[on], state[on]
+        return np.concatenate(changed)
 
     def identify(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
         counts, sizes = self.phrases(texts)

@@ -86,7 +86,7 @@ def test_elias_fano_is_read_in_place():
         values = np.sort(rng.integers(0, top, n, endpoint=True).astype(np.uint64))
         ef = S.EliasFano(S.EliasFano.encode(values))
         assert (ef.decode() == values).all() and (ef[rng.integers(0, n, 50)] >= 0).all()
-        asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 2 * top + 2, 300).astype(np.uint64)])
+        asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 2 * top + 2, 300, dtype=np.uint64)])
         assert (ef.search(asked) == np.searchsorted(values, asked)).all()
     empty = S.EliasFano(S.EliasFano.encode(np.zeros(0, np.uint64)))
     assert empty.n == 0 and empty.search(np.array([5], np.uint64)).tolist() == [0]
