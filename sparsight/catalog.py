@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import models, patterns, series
+from .plans import flows, kernels, models, patterns, series
 
-QUERIES = {**series.QUERIES, **patterns.QUERIES, **models.QUERIES}
+QUERIES = {**series.QUERIES, **patterns.QUERIES, **models.QUERIES, **kernels.QUERIES, **flows.QUERIES}
 
 
 def queries() -> dict:

@@ -108,6 +108,12 @@ class ScalarEncoder:
         return F.transform(joined, inner)
 
 
+    def description(self, bits: Column) -> Column:
+        """The value ranges that a bit array stands for as text: low-high, or one number where they are equal, two decimals."""
+        number = lambda x: F.format_string("%.2f", x)
+        return F.concat_ws(", ", F.transform(self.runs(bits), lambda r: F.when(r.low == r.high, number(r.low)).otherwise(F.concat_ws("-", number(r.low), number(r.high)))))
+
+
 @dataclass(frozen=True)
 class LogEncoder:
     """A scalar encoder of log10 of the clipped value."""
@@ -309,3 +315,116 @@ def pass_through(bits: Column, width: int, w: int | None = None) -> Column:
     """The bits themselves; null where one lies outside of the width or their number isn't w."""
     good = F.forall(bits, lambda b: (b >= 0) & (b < width))
     return F.when(good & (F.lit(True) if w is None else F.size(bits) == w), F.array_sort(bits))
+
+
+# -- by name ---------------------------------------------------------------------------------------------------------
+def delta(value: Column, before: Column) -> Column:
+    """What a delta encoder encodes: the step from the value before; 0 for the first."""
+    return value - F.coalesce(before, value)
+
+
+@dataclass(frozen=True)
+class Field:
+    """One field of a record: the encoder's kind, the column that holds its value, and the encoder's settings."""
+
+    name: str
+    kind: str
+    column: str
+    settings: tuple = ()
+
+
+#: Kind -> (settings, names of columns) -> (bits, width). Places and coordinates read two columns, or three with a speed.
+KINDS = {}
+
+
+def _kind(*names: str):
+    def add(make):
+        KINDS.update(dict.fromkeys(names, make))
+        return make
+
+    return add
+
+
+@_kind("scalar", "adaptive-scalar", "delta")
+def _scalar(s: dict, columns: list[str]):
+    """The adaptive kind is given the range seen so far as low and high; the delta kind a column of differences."""
+    e = ScalarEncoder.of(**s)
+    return e.bits(F.col(columns[0]).cast("double")), e.n
+
+
+@_kind("log")
+def _log(s: dict, columns: list[str]):
+    e = LogEncoder.of(**s)
+    return e.bits(F.col(columns[0]).cast("double")), e.scalar.n
+
+
+@_kind("category")
+def _category(s: dict, columns: list[str]):
+    """w bits for each of the categories listed, the first w for what isn't."""
+    known = F.array(*map(F.lit, s["categories"]))
+    at = F.coalesce(F.array_position(known, F.col(columns[0])), F.lit(0)).cast("int") * s["w"]
+    return F.sequence(at, at + (s["w"] - 1)), s["w"] * (len(s["categories"]) + 1)
+
+
+@_kind("sdr-category")
+def _sdr_category(s: dict, columns: list[str]):
+    return random_bits(F.col(columns[0]), s["w"], s["n"], s.get("seed", 42)), s["n"]
+
+
+@_kind("random-scalar")
+def _random(s: dict, columns: list[str]):
+    e = RandomScalarEncoder(**{k: v for k, v in s.items() if k not in ("offset", "radius")})
+    held = e.table(s.get("radius", 60))
+    first, last = min(held), max(held)
+    rows = F.array(*[F.array(*map(F.lit, held[b])) for b in range(first, last + 1)])
+    bucket = e.bucket(F.col(columns[0]).cast("double"), F.lit(float(s["offset"])))
+    at = F.when(bucket.isNotNull(), F.greatest(F.lit(first), F.least(F.lit(last), bucket)) - first).cast("int")
+    return F.coalesce(F.get(rows, at), F.array().cast("array<int>")), e.n
+
+
+@_kind("date")
+def _date(s: dict, columns: list[str]):
+    e = DateEncoder(**s)
+    return e.bits(F.col(columns[0])), e.width
+
+
+@_kind("coordinate")
+def _coordinate(s: dict, columns: list[str]):
+    x, y = (F.col(c).cast("bigint") for c in columns)
+    return coordinate_bits(x, y, F.lit(s["radius"]), s["w"], s["n"], s.get("seed", 42)), s["n"]
+
+
+@_kind("geospatial")
+def _geospatial(s: dict, columns: list[str]):
+    return geo_bits(*(F.col(c).cast("double") for c in columns), **s), s["n"]
+
+
+@_kind("pass-through", "sparse-pass-through", "sdr-pass-through")
+def _pass(s: dict, columns: list[str]):
+    """The sparse kinds hold positions; the dense one 0 and 1."""
+    bits = F.col(columns[0]) if not s.get("dense") else F.filter(F.transform(columns[0], lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    return pass_through(bits, s["n"], s.get("w")), s["n"]
+
+
+@_kind("boolean")
+def _boolean(s: dict, columns: list[str]):
+    at = F.coalesce(F.col(columns[0]).cast("int"), F.lit(0)) * s["w"]
+    return F.sequence(at, at + (s["w"] - 1)), 2 * s["w"]
+
+
+def scalar_space(space: str) -> str:
+    """The kind of encoder of a space of values: absolute ones adapt to their range, deltas are encoded as such."""
+    known = {"absolute": "adaptive-scalar", "delta": "delta"}
+    if space not in known:
+        raise ValueError(f"unknown space {space}; known: {sorted(known)}")
+    return known[space]
+
+
+def record_bits(fields: list[Field]) -> tuple[Column, int]:
+    """(bits, width) of a record: the encodings of its fields side by side, in order of names."""
+    parts = []
+    for f in fields:
+        if f.kind not in KINDS:
+            raise ValueError(f"unknown encoder {f.kind}; known: {sorted(KINDS)}")
+        parts.append((f.name, *KINDS[f.kind](dict(f.settings), f.column.split(","))))
+    return multi(parts), sum(width for _, _, width in parts)

@@ -67,3 +67,17 @@ def softmax(scores: Column) -> Column:
 def bucket_start(ts: Column, seconds: int, reference: int = 0) -> Column:
     """Start of the aligned bucket of a time, in seconds since the epoch; floors on both sides of the reference."""
     return (F.floor((F.unix_timestamp(ts) - reference) / seconds) * seconds + reference).cast("bigint")
+
+
+def estimator_is_valid(mean: Column, variance: Column, moving_average: Column) -> Column:
+    """Whether a distribution and a moving average are there, and no moment is zero."""
+    there = mean.isNotNull() & variance.isNotNull() & moving_average.isNotNull()
+    return F.coalesce(there & (mean != 0) & (variance != 0) & (F.sqrt(variance) != 0), F.lit(False))
+
+
+def anomaly(mode: str, raw: Column, likelihood: Column) -> Column:
+    """The anomaly score of a mode: the raw score, its likelihood, or the raw score weighted by its likelihood."""
+    modes = {"pure": raw, "likelihood": likelihood, "weighted": raw * likelihood}
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode}; known: {sorted(modes)}")
+    return modes[mode]

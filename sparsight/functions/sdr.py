@@ -244,3 +244,67 @@ def neighbourhood(index: Column, radius: int, dimensions: list[int], wrap: bool
 
 def _product(found: Column, axis: Column, size: int) -> Column:
     return F.flatten(F.transform(found, lambda f: F.transform(axis, lambda x: f * size + x)))
+
+
+# -- shapes, ranges, matrices ----------------------------------------------------------------------------------------
+def tail(a: Column) -> Column:
+    """All but the first element."""
+    return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
+
+
+def rotate(a: Column, by: int) -> Column:
+    """Elements moved by so many places towards the end, those that fall off at the front."""
+    return F.transform(a, lambda x, i: F.get(a, F.pmod(i - by, F.size(a)).cast("int")))
+
+
+def float_range(start: Column, stop: Column, step: float) -> Column:
+    """start, start + step, ... below stop."""
+    count = F.greatest(F.ceil((stop - start) / step).cast("int"), F.lit(0))
+    return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), 1, count), lambda i: start + i * F.lit(float(step)))
+
+
+def linear_range(start: Column, stop: Column, n: int) -> Column:
+    """n values from start to stop at equal distances, both included."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: start + (stop - start) * i / float(max(n - 1, 1)))
+
+
+def transpose(rows: Column) -> Column:
+    return F.transform(rows[0], lambda _, j: F.transform(rows, lambda r: F.get(r, j)))
+
+
+def matrix_vector(rows: Column, v: Column) -> Column:
+    return F.transform(rows, lambda r: dot(r, v))
+
+
+def matrix_matrix(left: Column, right: Column) -> Column:
+    return F.transform(left, lambda r: F.transform(transpose(right), lambda c: dot(r, c)))
+
+
+# -- seeded random numbers: the same for equal seeds and keys, in any engine that has MD5 ------------------------------
+def _digest(seed, *keys: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
+
+def uniform(seed, *keys: Column) -> Column:
+    """A double from 0 (included) to 1, from 48 bits of the digest of the seed and the keys."""
+    return F.conv(F.substring(_digest(seed, *keys), 1, 12), 16, 10).cast("double") / float(2**48)
+
+
+def gaussian(seed, *keys: Column) -> Column:
+    """A standard normal number by the polar formula over two uniform ones."""
+    return F.sqrt(-2 * F.log(1 - uniform(f"{seed}a", *keys))) * F.cos(2 * F.pi() * uniform(f"{seed}b", *keys))
+
+
+def choice(a: Column, seed, *keys: Column) -> Column:
+    return F.get(a, F.floor(uniform(seed, *keys) * F.size(a)).cast("int"))
+
+
+def shuffled(a: Column, seed, *keys: Column) -> Column:
+    """a in the order of the digests of its positions."""
+    ranked = F.transform(a, lambda x, i: F.struct(_digest(seed, *keys, i).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(ranked), lambda s: s.x)
+
+
+def sample(a: Column, n: int, seed, *keys: Column) -> Column:
+    """n elements without replacement; all, if there are fewer."""
+    return F.slice(shuffled(a, seed, *keys), 1, n)

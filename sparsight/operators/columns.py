@@ -73,3 +73,31 @@ def trace_sets(active: Column, predicted: Column) -> dict[str, Column]:
         "predicted_inactive": F.size(F.array_except(predicted, active)),
         "unpredicted_active": F.size(F.array_except(active, predicted)),
     }
+
+
+def inhibit_locally(overlaps: Column, radius: int, density: float) -> Column:
+    """Positions of the columns (an array of their overlaps, on a line) that win in their neighbourhoods.
+
+    A column wins where fewer neighbours than density times their number, rounded, have a larger overlap than it has;
+    overlaps of 0 never win. Ties win together.
+    """
+    def near(i: Column) -> Column:
+        return F.slice(overlaps, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius, F.size(overlaps) - 1) - F.greatest(i - radius, F.lit(0)) + 1)
+
+    wins = lambda x, i: (x > 0) & (F.size(F.filter(near(i), lambda y: y > x)) < F.floor(0.5 + density * F.size(near(i))))
+    return F.filter(F.transform(overlaps, lambda x, i: F.when(wins(x, i), i)), lambda i: i.isNotNull())
+
+
+def inhibition_radius(connected: DataFrame, columns: int, inputs: int) -> DataFrame:
+    """radius: how far columns inhibit each other, from the mean span of what each is connected to (col, bit) on a line."""
+    span = connected.groupBy("col").agg((F.max("bit") - F.min("bit") + 1).alias("span"))
+    diameter = F.avg("span") * (columns / inputs)
+    return span.agg(F.greatest(F.lit(1), F.floor((diameter - 1) / 2 + 0.5)).cast("bigint").alias("radius"))
+
+
+def least_duty(duty: DataFrame, share: float, radius: int | None = None) -> DataFrame:
+    """duty(col, duty) plus least: a share of the largest duty of all columns, or of those within a radius on a line."""
+    if radius is None:
+        return duty.join(F.broadcast(duty.agg((F.max("duty") * share).alias("least"))))
+    spread = duty.select(F.explode(F.sequence(F.col("col") - radius, F.col("col") + radius)).alias("col"), F.col("duty").alias("near"))
+    return duty.join(spread.groupBy("col").agg((F.max("near") * share).alias("least")), "col")

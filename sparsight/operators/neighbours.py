@@ -78,17 +78,69 @@ def sparsify(x: Column, threshold: float, relative: bool = False, winners: int =
 def learn(training: DataFrame, distance_threshold: float = 0.0, replace_duplicates: bool = False, capacity: int = -1) -> DataFrame:
     """Prototypes of training patterns (id, x, category): one of equal patterns (the first, or the last where duplicates replace), the latest `capacity`.
 
-    A distance threshold above zero keeps, of equal categories, patterns apart only within equal rounding cells of that size.
+    With a distance threshold above zero a pattern is learned, in order of ids, where no pattern learned before lies nearer.
     """
-    cell = F.transform("x", lambda v: F.floor(v / distance_threshold)) if distance_threshold > 0 else F.col("x")
-    pick = F.max_by if replace_duplicates else F.min_by
-    same = [cell.alias("cell")] if replace_duplicates else [cell.alias("cell"), F.col("category")]
-    kept = training.groupBy(*same).agg(pick(F.struct("id", "x", "category"), F.col("id")).alias("p")).select("p.*")
+    if distance_threshold > 0:
+        kept = apart(training, distance_threshold)
+    else:
+        pick = F.max_by if replace_duplicates else F.min_by
+        same = ["x"] if replace_duplicates else ["x", "category"]
+        kept = training.groupBy(*same).agg(pick(F.struct("id", "x", "category"), F.col("id")).alias("p")).select("p.*")
     if capacity > 0:
         return kept.orderBy(F.col("id").desc()).limit(capacity)
     return kept
 
 
+#: Coordinates by which near pairs are sought; the most rounds in which patterns wait for one another.
+CELL_COORDINATES, MOST_ROUNDS = 3, 200
+
+
+def apart(training: DataFrame, least: float) -> DataFrame:
+    """The patterns (id, x, ...) that are kept, in order of their distinct ids, where none kept before lies nearer than `least`.
+
+    Near pairs lie in neighbouring cells of the first coordinates, whatever the distance in the others, so only such meet.
+    A pattern is decided as soon as those before it that lie near are: kept if all of them are dropped. Each round is one
+    join and decides all that can be; its table is written, so that lineage doesn't grow.
+    """
+    cells = F.transform(F.slice("x", 1, CELL_COORDINATES), lambda v: F.floor(v / least))
+    around = F.array(F.array().cast("array<bigint>"))
+    for k in range(CELL_COORDINATES):
+        around = _with_neighbours(around, F.get(cells, k))
+    home = F.transform(F.sequence(F.lit(0), F.lit(CELL_COORDINATES - 1)), lambda k: F.get(cells, k))
+    asking = training.select(F.col("id").alias("v"), F.col("x").alias("vx"), F.explode(around).alias("cell"))
+    held = training.select(F.col("id").alias("u"), F.col("x").alias("ux"), home.alias("cell"))
+    pairs = asking.join(held, "cell").where("u < v").where(distance("norm", F.col("vx"), F.col("ux")) < least).select("u", "v")
+    pairs = _settled(pairs, "near")
+    kept = training.select("id").join(pairs.select(F.col("v").alias("id")), "id", "left_anti")  # none before them is near
+    dropped = None
+    for _ in range(MOST_ROUNDS):
+        kept = _settled(kept.select("id"), "kept")
+        gone = pairs.join(kept.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
+        dropped = _settled(gone, "dropped")
+        known = kept.select("id").union(dropped.select("id"))
+        open_ = pairs.join(dropped.select(F.col("id").alias("u")), "u", "left_anti").select(F.col("v").alias("id"))
+        more = training.select("id").join(known, "id", "left_anti").join(open_, "id", "left_anti").distinct()
+        if more.isEmpty():
+            return training.join(kept.select("id"), "id", "left_semi")
+        kept = kept.union(more)
+    raise RuntimeError("patterns wait for one another for too long")
+
+
+def _with_neighbours(found: Column, c: Column) -> Column:
+    """Every array in found with a cell's number, the one below and the one above appended; with null where there is no such coordinate."""
+    steps = F.when(c.isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(c - 1, c, c + 1))
+    return F.flatten(F.transform(found, lambda a: F.transform(steps, lambda s: F.array_append(a, s))))
+
+
+def _settled(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    from ..plans.common import scratch
+
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget(prototypes: DataFrame, ids: DataFrame) -> DataFrame:
     """Prototypes without the rows whose ids are in a table."""
     return prototypes.join(ids, "id", "left_anti")

@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encoders as E
+from ..functions.sdr import digits_to_bits, to_sparse
 from ..streaming import keyed
 
 #: Defaults of the parameter bag, and the ranges that are checked.
@@ -38,9 +39,23 @@ class Parameters(dict):
             self[k] = v
 
 
-ENCODERS: dict[str, Callable] = {
-    "scalar": E.ScalarEncoder.of, "log": E.LogEncoder.of, "random": E.RandomScalarEncoder,
-}
+#: Encoders by kind; `functions.encoders.record_bits` builds a record's encoding from fields that name one.
+ENCODERS: dict[str, Callable] = E.KINDS
+
+
+def as_input(rows: DataFrame, column: str) -> Column:
+    """struct(kind, bits, record): a column of any input type as one; text of digits and whole-number arrays are bits, maps are records."""
+    kind, value = dict(rows.dtypes)[column], F.col(column)
+    no_bits, no_record = F.lit(None).cast("array<int>"), F.lit(None).cast("map<string,string>")
+    if kind.startswith("map<"):
+        parts = "record", no_bits, value.cast("map<string,string>")
+    elif kind in ("array<int>", "array<bigint>"):
+        parts = "bits", F.array_sort(value.cast("array<int>")), no_record
+    elif kind == "string":
+        parts = "digits", to_sparse(digits_to_bits(value)), no_record
+    else:
+        raise ValueError(f"{column} is a {kind}; inputs are text, arrays of whole numbers, or maps")
+    return F.struct(F.lit(parts[0]).alias("kind"), parts[1].alias("bits"), parts[2].alias("record"))
 
 
 @dataclass
@@ -154,10 +169,55 @@ def resume(rows: DataFrame, done: DataFrame, number: str = "rec_no") -> DataFram
 
 
 def latest(rows: DataFrame, keys: list[str], number: str = "rec_no") -> DataFrame:
-    """Each key's last record: the state that accessors read."""
-    w = Window.partitionBy(*keys).orderBy(F.col(number).desc())
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Each key's last record: the state that accessors read. Maxima are taken before rows move, so a key may be hot."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), number).alias("__row")).select("__row.*")
 
 
 def describe(encoder) -> dict:
     return asdict(encoder)
+
+
+# -- records around models ---------------------------------------------------------------------------------------------
+def record_dict(rows: DataFrame, fields: list[str], at: Column, number: Column, category: Column | None = None, reset: Column | None = None, sequence: Column | None = None) -> Column:
+    """A row as the map that a model reads: its fields as text, and beside them when it came, its number, category, reset and sequence."""
+    own = {
+        "_timestamp": F.unix_timestamp(at), "_timestampRecordIdx": number, "_category": category if category is not None else F.lit(-1),
+        "_reset": F.coalesce(reset.cast("int"), F.lit(0)) if reset is not None else F.lit(0), "_sequenceId": sequence if sequence is not None else F.lit(0),
+    }
+    clash = set(own) & set(fields)
+    if clash:
+        raise ValueError(f"fields that records have themselves: {sorted(clash)}")
+    pairs = [(name, F.col(f"`{name}`")) for name in fields] + list(own.items())
+    return F.map_from_arrays(F.array(*[F.lit(n) for n, _ in pairs]), F.array(*[c.cast("string") for _, c in pairs]))
+
+
+def backlog(stored: DataFrame, started: DataFrame, keys: list[str], number: str, batch: int) -> DataFrame:
+    """What models that start must catch up on: all stored rows after each model's last one (keys, last; null: none), in batches by number.
+
+    Rows of keys without a model are left out. A batch holds `batch` numbers of a key.
+    """
+    rows = stored.join(started.select(*keys, "last"), keys)
+    after = F.coalesce(F.col("last"), F.lit(-1))
+    return rows.where(F.col(number) > after).withColumn("batch", F.floor((F.col(number) - after - 1) / batch)).drop("last")
+
+
+def column_report(rows: DataFrame, path: str) -> DataFrame:
+    """Writes a search's results as CSV with a header and reads them back as text columns."""
+    rows.write.option("header", True).csv(path)
+    return rows.sparkSession.read.option("header", True).csv(path)
+
+
+#: Classifiers that fields can be inferred by.
+def classifiers() -> dict[str, Callable]:
+    from ..operators.learned import SoftmaxClassifier, VotingClassifier
+
+    return {"sdr": SoftmaxClassifier, "cla": VotingClassifier}
+
+
+def classifier_of(inferred: dict[str, str | None], **settings) -> dict[str, object]:
+    """A classifier for each field that is to be inferred (field -> kind; None: not inferred)."""
+    known = classifiers()
+    unknown = {k for k in inferred.values() if k is not None and k not in known}
+    if unknown:
+        raise ValueError(f"unknown classifiers {sorted(unknown)}; known: {sorted(known)}")
+    return {field: known[kind](**settings.get(field, {})) for field, kind in inferred.items() if kind is not None}

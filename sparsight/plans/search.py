@@ -265,3 +265,22 @@ def experiment(fields: list[dict], predicted: str, steps: tuple[int, ...] = (1,)
     names = ["avg_err"] if categorical else ["aae", "altMAPE"]
     metrics = [{"name": n, "field": predicted, "steps": list(steps), "window": window} for n in names]
     return {"encoders": encoders, "predicted": predicted, "metrics": metrics, "optimise": f"{names[-1]}:window={window}:field={predicted}", "parameters": parameters}
+
+
+def results_by_generation(reports: DataFrame) -> DataFrame:
+    """generation, models, error, best of reports(params, generation, error, reported, orphan).
+
+    Of reports on the same parameters the newest counts; orphans, whose worker was lost, don't. Maxima are taken before
+    rows move, so parameters that are reported again and again make no hot key.
+    """
+    newest = reports.where(~F.col("orphan")).groupBy("params").agg(F.max_by(F.struct("generation", "error"), F.struct("reported", -F.col("error"), -F.col("generation"))).alias("r")).select("params", "r.*")
+    best = F.min(F.struct("error", "params"))
+    return newest.groupBy("generation").agg(F.count(F.lit(1)).alias("models"), best.alias("b")).select("generation", "models", F.col("b.error").cast("bigint").alias("error"), F.col("b.params").alias("best"))
+
+
+def useless(swarms: DataFrame, least_gain: float) -> DataFrame:
+    """fields, error, useless: combinations of fields that gain less than so many per cent on the best of their parts. Few rows: one a combination tried."""
+    parts = swarms.select(F.col("fields").alias("__part"), F.col("error").alias("__before"))
+    held = (F.size("fields") > F.size("__part")) & (F.size(F.array_except("__part", "fields")) == 0)
+    best = swarms.join(F.broadcast(parts), held, "left").groupBy("fields", "error").agg(F.min("__before").alias("__before"))
+    return best.select("fields", "error", F.coalesce((F.col("__before") - F.col("error")) * 100 < least_gain * F.col("__before"), F.lit(False)).alias("useless"))

@@ -318,10 +318,12 @@ def duty_cycle(spark, sf) -> DataFrame:
 
 def bucket_actual_value_ema(spark, sf) -> DataFrame:
     """Exponential mean (0.3 to the newest) of a user's values: weights by age, the oldest with what is left."""
-    rows = events(spark, sf)
-    series = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    ema = F.aggregate("s", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x.value).otherwise(0.7 * a + 0.3 * x.value))
-    return series.select("user_id", fixed(ema).alias("ema_e6"))
+    # counted from the newest record back: an age is a weight, and the sums are partial ones
+    rows = events(spark, sf).withColumns({"back": -F.floor(F.col("hour") / 24), "newest": -F.unix_micros(F.col("ts").cast("timestamp")), "last": -F.col("event_id")})
+    aged = O.running(rows, ["user_id"], "back", ["newest", "last"], {"age": ("count", "event_id")})
+    left = F.pow(F.lit(0.7), F.col("age") - 1)
+    sums = aged.groupBy("user_id").agg(F.sum(0.3 * left * F.col("value")).alias("s"), F.max_by(0.7 * left * F.col("value"), "age").alias("oldest"))
+    return sums.select("user_id", fixed(F.col("s") + F.col("oldest")).alias("ema_e6"))
 
 
 def row_numbers(spark, sf) -> DataFrame:
