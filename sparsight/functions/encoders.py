@@ -53,7 +53,8 @@ class ScalarEncoder:
         return (self.w - 1) // 2
 
     def _within(self, x: Column) -> Column:
-        return F.greatest(F.lit(float(self.low)), F.least(F.lit(float(self.high)), x)) if self.clip and not self.periodic else x
+        # greatest and least pass over nulls, which must stay null
+        return F.when(x.isNotNull(), F.greatest(F.lit(float(self.low)), F.least(F.lit(float(self.high)), x))) if self.clip and not self.periodic else x
 
     def first_bit(self, x: Column) -> Column:
         """May be negative for periodic values; null outside of the range where nothing clips, and for NaN."""
@@ -128,7 +129,7 @@ class LogEncoder:
         return cls(ScalarEncoder.of(w, math.log10(low), math.log10(high), n, radius, resolution, forced=True), low, high)
 
     def scaled(self, x: Column) -> Column:
-        return F.log10(F.greatest(F.lit(self.low), F.least(F.lit(self.high), x)))
+        return F.when(x.isNotNull(), F.log10(F.greatest(F.lit(self.low), F.least(F.lit(self.high), x))))
 
     def bucket(self, x: Column) -> Column:
         return self.scalar.bucket(self.scaled(x))
@@ -160,10 +161,10 @@ class RandomScalarEncoder:
     max_overlap: int = 2
 
     def bucket(self, x: Column, offset: Column) -> Column:
-        """Half-even rounding; null for NaN."""
+        """Half-even rounding; null for null and NaN."""
         mid = self.max_buckets // 2
         steps = F.rint(F.abs(x - offset) / self.resolution) * F.signum(x - offset)
-        return F.when(~F.isnan(x), F.greatest(F.lit(0), F.least(F.lit(self.max_buckets - 1), (mid + steps).cast("bigint"))))
+        return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0), F.least(F.lit(self.max_buckets - 1), (mid + steps).cast("bigint"))))
 
     def table(self, radius: int = 60) -> dict[int, list[int]]:
         """bucket -> on-bits for buckets within radius of the middle; neighbours swap one bit for a new one that keeps the overlap rule."""

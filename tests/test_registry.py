@@ -64,3 +64,11 @@ def test_inputs_modes_and_classifiers_by_name(spark):
         network.classifier_of({"a": "knn"})
     with pytest.raises(ValueError):
         network.record_dict(rows, ["_reset"], F.lit(0).cast("timestamp"), F.lit(0))
+
+
+def test_nulls_are_encoded_as_nothing(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),), (3.0,)], "v double")
+    scalar, log = E.ScalarEncoder.of(21, 0, 10, n=60), E.LogEncoder.of(n=50)
+    found = rows.select(scalar.bits(F.col("v")).alias("s"), scalar.bucket(F.col("v")).alias("b"), log.bucket(F.col("v")).alias("l")).collect()
+    assert found[0].s == [] and found[1].s == [] and len(found[2].s) == 21
+    assert found[0].b is None and found[1].b is None and found[0].l is None and found[2].l is not None
