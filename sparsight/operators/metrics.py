@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import trailing
+
 #: (numerator term, denominator term or None for a mean, what is done to the ratio) of truth and prediction.
 METRICS: dict[str, tuple[Callable, Callable | None, Callable]] = {
     "rmse": (lambda t, p: F.pow(t - p, F.lit(2.0)), None, F.sqrt),
@@ -36,10 +38,39 @@ def multistep(name: str, truth: Column, predictions: dict[int, Column]) -> Colum
     return sum(parts[1:], parts[0]) / len(parts)
 
 
+# The kinds of inference, and those of them that are made of a record about a later one.
+KINDS = ["None", "TemporalNextStep", "TemporalClassification", "NontemporalClassification", "TemporalAnomaly", "NontemporalAnomaly", "TemporalMultiStep", "NontemporalMultiStep", "MultiStep"]
+TEMPORAL = ["TemporalNextStep", "TemporalClassification", "TemporalAnomaly", "TemporalMultiStep", "NontemporalMultiStep"]
+
+
+def is_temporal(kind: str) -> bool:
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind of inference {kind}; known: {KINDS}")
+    return kind in TEMPORAL
+
+
 def label(name: str, element: str, field: str, **params) -> str:
     return ":".join([element, name, *(f"{k}={params[k]}" for k in sorted(params)), f"field={field}"])
 
 
+def manage(rows: DataFrame, keys: list[str], chunk: str, order: list[str], specs: list[dict], steps: int = 1) -> DataFrame:
+    """keys, label, value: every metric of a list over a stream, in one pass.
+
+    A spec names the inference `element`, its `kind` (of KINDS), the `metric`, the `field` (the truth) and the column of its
+    `prediction`; `params` go into the label. Predictions of temporal kinds are held against the record `steps` later of the
+    same keys, in a total order that `chunk` rises with; those of the others against their own record.
+    """
+    late = sorted({s["prediction"] for s in specs if is_temporal(s["kind"])})
+    if late:
+        rows = trailing(rows, keys, chunk, order, steps, {f"__{c}": (lambda w, c=c: F.lag(c, steps).over(w)) for c in late}, late)
+    held = {s["prediction"]: f"__{s['prediction']}" for s in specs if is_temporal(s["kind"])}
+    names = [label(s["metric"], s["element"], s["field"], **s.get("params", {})) for s in specs]
+    values = [metric(s["metric"], F.col(s["field"]), F.col(held[s["prediction"]] if is_temporal(s["kind"]) else s["prediction"])) for s in specs]
+    wide = rows.groupBy(*keys).agg(*[v.cast("double").alias(f"m{i}") for i, v in enumerate(values)])
+    pairs = F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"m{i}").alias("value")) for i, n in enumerate(names)])
+    return wide.select(*keys, F.explode(pairs).alias("__m")).select(*keys, "__m.label", "__m.value")
+
+
 def score_table(rows: DataFrame, truth: str, prediction: str, names: list[str], by: list[str]) -> DataFrame:
     """One pass over rows: all metrics by group."""
     return rows.groupBy(*by).agg(*[metric(n, F.col(truth), F.col(prediction)).alias(n) for n in names])

@@ -37,6 +37,30 @@ def metric_stats(data: DataFrame) -> DataFrame:
     return data.groupBy("uid").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n"), F.count("score").alias("scored"))
 
 
+def upsert(table: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
+    """A stored table with changes put in: rows of new keys are added, those of known keys replaced; of changes to one key the latest version counts.
+
+    Serves metrics as well as jobs and their models: a status is set by a change that differs in it alone.
+    """
+    columns = [c for c in table.columns if c != key]
+    latest = changes.groupBy(key).agg(F.max_by(F.struct(*columns), version).alias("__row")).select(key, "__row.*")
+    return table.join(latest, key, "left_anti").unionByName(latest)
+
+
+def adopt(models: DataFrame, offered: DataFrame, identity: str, order: str) -> DataFrame:
+    """models plus the offered rows whose identity (a hash of their parameters) is not there yet; of equal ones offered, the first."""
+    columns = [c for c in models.columns if c != identity]
+    first = offered.groupBy(identity).agg(F.min_by(F.struct(*columns), order).alias("__row")).select(identity, "__row.*")
+    return models.unionByName(first.join(models, identity, "left_anti"))
+
+
+def with_status(table: DataFrame, keys: DataFrame, key: str, status: str) -> DataFrame:
+    """A stored table in which the named keys have a status."""
+    named = keys.select(F.col(key).alias("__key")).distinct()
+    marked = table.join(named, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return marked.withColumn("status", F.when(F.col("__key").isNotNull(), F.lit(status)).otherwise(F.col("status"))).drop("__key")
+
+
 def value_range(value: Column, spread: float) -> tuple[Column, Column]:
     """Aggregates: the least and most value, widened by so many population deviations."""
     return F.min(value) - spread * F.stddev_pop(value), F.max(value) + spread * F.stddev_pop(value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import neighbours as N
 from ..operators import ordered as O
 from ..operators import stores as S
@@ -247,7 +248,61 @@ _USELESS = """WITH f AS (SELECT list_sort(list_distinct([s_nationkey % 3, s_nati
 p AS (SELECT a.f, a.e, min(b.e) AS before FROM f a LEFT JOIN f b ON len(a.f) > len(b.f) AND list_has_all(a.f, b.f) GROUP BY 1, 2)
 SELECT array_to_string(f, ',') AS fields, coalesce((before - e) * 100 < 5 * before, false) AS useless FROM p"""
 
+# -- metrics by label, stored tables -----------------------------------------------------------------------------------
+def metrics_manager(spark, sf) -> DataFrame:
+    """A value predicts its tens for the next record of its type (temporal) and for itself (not temporal)."""
+    rows = events(spark, sf).withColumn("tens", F.floor(F.col("value") / 10) * 10.0)
+    specs = [{"element": "prediction", "kind": "TemporalNextStep", "metric": m, "field": "value", "prediction": "tens", "params": {"steps": 1}} for m in ("aae", "rmse", "altMAPE")]
+    specs.append({"element": "encoding", "kind": "NontemporalAnomaly", "metric": "aae", "field": "value", "prediction": "tens"})
+    found = M.manage(rows, ["event_type"], "hour", ORDER, specs)
+    return found.select("event_type", "label", fixed(F.col("value")).alias("value_e6"))
+
+
+_MANAGER = f"""WITH r AS (SELECT event_type, value, floor(value / 10) * 10.0 AS tens FROM events),
+l AS (SELECT event_type, value, lag(floor(value / 10) * 10.0) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events)
+SELECT event_type, 'prediction:aae:steps=1:field=value' AS label, {fixed_sql("avg(abs(value - p))")} AS value_e6 FROM l GROUP BY 1
+UNION ALL SELECT event_type, 'prediction:rmse:steps=1:field=value', {fixed_sql("sqrt(avg(pow(value - p, 2)))")} FROM l GROUP BY 1
+UNION ALL SELECT event_type, 'prediction:altMAPE:steps=1:field=value', {fixed_sql("100 * sum(abs(value - p)) / sum(abs(value)) FILTER (p IS NOT NULL)")} FROM l GROUP BY 1
+UNION ALL SELECT event_type, 'encoding:aae:field=value', {fixed_sql("avg(abs(value - tens))")} FROM r GROUP BY 1"""
+
+
+def inference_kinds(spark, sf) -> DataFrame:
+    """Which inferences are shifted before they are held against the truth."""
+    return spark.createDataFrame([(k, M.is_temporal(k)) for k in M.KINDS], "kind string, shifted boolean")
+
+
+def stored_metrics(spark, sf) -> DataFrame:
+    """Customers as metrics: orders change them (the latest counts), those of a region are deleted, the indebted are marked."""
+    own = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("size"), F.lit("new").alias("status"))
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") + F.col("o_orderkey") % 2 * 1_000_000).alias("c_custkey"), F.col("o_totalprice").alias("size"), F.lit("changed").alias("status"), "o_orderkey")
+    changed = S.upsert(own, orders, "c_custkey", "o_orderkey")
+    kept = S.membership(changed, table(spark, sf, "customer").where("c_nationkey < 5"), "c_custkey", inverted=True)
+    marked = S.with_status(kept, table(spark, sf, "customer").where("c_acctbal < 0"), "c_custkey", "error")
+    return marked.select("c_custkey", fixed(F.col("size")).alias("size_e6"), "status")
+
+
+_STORED = f"""WITH c AS (SELECT o_custkey + o_orderkey % 2 * 1000000 AS k, arg_max(o_totalprice, o_orderkey) AS size FROM orders GROUP BY 1),
+a AS (SELECT k, size, 'changed' AS status FROM c UNION ALL SELECT c_custkey, c_acctbal, 'new' FROM customer WHERE c_custkey NOT IN (SELECT k FROM c))
+SELECT k AS c_custkey, {fixed_sql("size")} AS size_e6, CASE WHEN k IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'error' ELSE status END AS status
+FROM a WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)"""
+
+
+def adopted_models(spark, sf) -> DataFrame:
+    """Models by the hash of their parameters (brand and size of a part): those known stay, of the others the first is taken."""
+    parts = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("params"), F.col("p_partkey").alias("model"))
+    known = parts.where("model <= 50").groupBy("params").agg(F.max("model").alias("model"))
+    return S.adopt(known, parts.where("model > 50"), "params", "model")
+
+
+_ADOPTED = """WITH p AS (SELECT p_brand || '/' || p_size AS params, p_partkey AS model FROM part),
+k AS (SELECT params, max(model) AS model FROM p WHERE model <= 50 GROUP BY 1)
+SELECT * FROM k UNION ALL SELECT params, min(model) FROM p WHERE model > 50 AND params NOT IN (SELECT params FROM k) GROUP BY 1"""
+
 QUERIES = {
+    "metrics_manager": (metrics_manager, _MANAGER),
+    "inference_kinds": (inference_kinds, "SELECT * FROM (VALUES ('None', false), ('TemporalNextStep', true), ('TemporalClassification', true), ('NontemporalClassification', false), ('TemporalAnomaly', true), ('NontemporalAnomaly', false), ('TemporalMultiStep', true), ('NontemporalMultiStep', true), ('MultiStep', false)) v(kind, shifted)"),
+    "stored_metrics": (stored_metrics, _STORED),
+    "adopted_models": (adopted_models, _ADOPTED),
     "csv_records": (csv_records, _CSV),
     "csv_custom_rows": (csv_custom_rows, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rec_no, CAST(n_regionkey AS BIGINT) AS region, n_name AS name FROM nation"),
     "header_flags": (header_flags, "SELECT CAST(column0 AS INT) AS position, column1 AS name, column2 AS kind, column3 AS flag FROM (VALUES (0, 'key', 'int', 'sequence'), (1, 'name', 'string', ''), (2, 'balance', 'float', ''), (3, 'since', 'timestamp', 'timestamp'), (4, 'category', 'geo', 'category')) t(column0, column1, column2, column3)"),

@@ -175,3 +175,41 @@ def test_pooler_tells_patterns_apart():
     patterns = [np.sort(rng.choice(60, 20, replace=False)) for _ in range(8)]
     accuracy, cycles = H.train_pooler_for_patterns(patterns, list(range(8)), model())
     assert accuracy == 1.0 and cycles <= 5
+
+
+def test_pooler_on_a_grid():
+    p = H.SpatialPooler(H.PoolerParams(inputs=144, columns=36, active=6, shape=(6, 6), input_shape=(12, 12), potential_radius=2, potential_pct=1.0, wrap=False, local_radius=1, adapt_radius=True, update_period=5))
+    assert p.centre(0) == 1 * 12 + 1 and p.centre(35) == 11 * 12 + 11
+    for c in (0, 14, 35):
+        row, col = divmod(p.centre(c), 12)
+        box = {r * 12 + k for r in range(max(0, row - 2), min(12, row + 3)) for k in range(max(0, col - 2), min(12, col + 3))}
+        assert set(np.flatnonzero(p.potential[c])) == box
+    spans = []
+    for c in range(36):
+        at = np.flatnonzero(p.perm[c] >= 0.1)
+        spans.append(((at // 12).max() - (at // 12).min() + (at % 12).max() - (at % 12).min() + 2) / 2)
+    assert p.radius == int(max(1, (np.mean(spans) * 0.5 - 1) / 2) + 0.5)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        active = p.compute(np.sort(rng.choice(144, 30, replace=False)), True)
+        assert len(active) > 0
+    duty = p.active_duty.reshape(6, 6)
+    assert np.isclose(p.min_active[0], 0.001 * duty[: p.radius + 1, : p.radius + 1].max())
+    assert H.grid_box((4, 5), 0, 1, True).tolist() == [0, 1, 4, 5, 6, 9, 15, 16, 19] and H.grid_box((4, 5), 0, 1, False).tolist() == [0, 1, 5, 6]
+    with pytest.raises(ValueError):
+        H.SpatialPooler(H.PoolerParams(inputs=144, columns=36, shape=(6, 5), input_shape=(12, 12)))
+
+
+def test_observed_memory_learns_like_the_plain_one():
+    seen = []
+    plain, watched = H.TemporalMemory(H.MemoryParams(columns=20)), H.ObservedMemory(H.TemporalMemory(H.MemoryParams(columns=20)), lambda m, c: seen.append((c.tolist(), len(m.active))))
+    for i in range(30):
+        columns = np.array([i % 5, 5 + i % 5, 10 + i % 5, 15 + i % 5])
+        plain.compute(columns, True)
+        watched.compute(columns, True)
+    assert len(seen) == 30 and watched.winners.tolist() == plain.winners.tolist() and watched.segments == plain.segments
+
+
+def test_changed_inference_kinds():
+    with pytest.raises(ValueError):
+        M.is_temporal("Anything")
