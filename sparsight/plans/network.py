@@ -13,10 +13,11 @@ from ..functions import encoders as E
 from ..functions.sdr import digits_to_bits, to_sparse
 from ..streaming import keyed
 
-#: Defaults of the parameter bag, and the ranges that are checked.
+# The defaults of the parameter bag, and the ranges that are checked.
 DEFAULTS = {
     "columns": 2048, "cells": 32, "activation": 13, "matching": 10, "max_new": 20, "max_synapses": 255, "max_segments": 255, "initial": 0.21, "connected": 0.5, "inc": 0.10, "dec": 0.10, "punish": 0.0,
     "potential_pct": 0.5, "density": -1.0, "active": 10, "stimulus": 0, "active_inc": 0.05, "inactive_dec": 0.008, "syn_connected": 0.10, "below_inc": 0.01, "trim": 0.05, "period": 1000, "max_boost": 10.0,
+    "shape": (), "input_shape": (), "local_radius": 0, "potential_radius": 0, "wrap": True, "adapt_radius": False,
     "n": 500, "w": 21, "low": 0.0, "high": 1000.0, "resolution": 1.0, "alpha": 0.001, "steps": (1,), "seed": 42,
 }
 RANGES = {"potential_pct": (0, 1), "initial": (0, 1), "connected": (0, 1), "inc": (0, 1), "dec": (0, 1), "active_inc": (0, 1), "inactive_dec": (0, 1), "alpha": (0, 1), "columns": (1, None), "cells": (1, None)}

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparsight.functions.encoders import ScalarEncoder
+from sparsight.functions.encoders import Field, ScalarEncoder, record_bits
 from sparsight.operators.learned import KeyModel
 from sparsight.plans import network as P
 from sparsight.plans import search as R
@@ -173,3 +173,29 @@ def test_field_sprints_and_experiments(spark):
     assert e["encoders"]["v"]["kind"] == "scalar" and e["encoders"]["ts"]["kind"] == "date" and [m["name"] for m in e["metrics"]] == ["aae", "altMAPE"]
     with pytest.raises(ValueError):
         R.experiment([], "v")
+
+
+def test_models_read_records_of_several_fields(spark, tmp_path):
+    encoder = ScalarEncoder.of(21, 0, 100, n=121)
+    value = Field("v", "scalar", "v", (("w", 21), ("low", 0), ("high", 100), ("n", 121)))
+    kind = Field("z", "category", "c", (("w", 7), ("categories", ("x", "y"))))
+    rng = random.Random(4)
+    data = [("a", i, float(rng.randint(0, 100)), "xy"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, i long, v double, c string")
+    settings = dict(columns=64, active=4, learning=5, estimation=5)
+    plain = keyed.score(df, ["k"], ["i"], encoder, "v", **settings).orderBy("rec_no").collect()
+    assert keyed.score(df, ["k"], ["i"], encoder, "v", fields=[value], **settings).orderBy("rec_no").collect() == plain
+
+    found = keyed.score(df, ["k"], ["i"], encoder, "v", fields=[kind, value], **settings).orderBy("rec_no").collect()
+    bits, width = record_bits([kind, value])
+    model = KeyModel.of(width, **settings)
+    for r, e in zip(found, df.withColumn("bits", bits).withColumn("bucket", encoder.bucket(F.col("v"))).orderBy("i").collect(), strict=True):
+        raw, likely, predicted, active = model.step(e.bits, e.v, e.bucket)
+        assert (r.raw_score, r.likelihood, r.predicted_value, r.active_columns) == (raw, likely, predicted, active.tolist())
+    assert [r.active_columns for r in found] != [r.active_columns for r in plain]
+
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = keyed.score_stream(S.stream_of(spark, str(tmp_path / "in"), df.schema), "k", "i", encoder, "v", fields=[kind, value], **settings)
+    drained(windows.to_sink(query, lambda out, n: out.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "state")))
+    streamed = spark.read.parquet(str(tmp_path / "out")).orderBy("rec_no").collect()
+    assert [(r.rec_no, r.raw_score, r.active_columns) for r in streamed] == [(r.rec_no, r.raw_score, r.active_columns) for r in found]
