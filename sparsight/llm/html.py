@@ -9,6 +9,7 @@ pages (`labelled_pages`), which are composed here and bounded by TRAINING_PAGES.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -61,6 +62,7 @@ def parse(page: str) -> Tree:
     """The tree of a page, whatever its mark-up; its root is node 0."""
     tree = Tree([-1], ["html"], [()], [None], [0], [False])
     stack = [0]
+    open_at: dict[str, list[int]] = {}  # where in the stack each tag's open elements are, without the root
     run: list[str] = []
     linked = 0
     in_link = False
@@ -79,6 +81,11 @@ def parse(page: str) -> Tree:
             run.clear()
         linked = 0
 
+    def close(k: int):
+        for node in stack[k:]:
+            open_at[tree.tag[node]].pop()
+        del stack[k:]
+
     def add(raw: str):
         nonlocal linked
         if raw:
@@ -101,11 +108,9 @@ def parse(page: str) -> Tree:
             if tag == "a":
                 in_link = False
             elif tag not in INLINE and tag not in VOID:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[k]] == tag:
-                        flush()
-                        del stack[k:]
-                        break
+                if open_at.get(tag):
+                    flush()
+                    close(open_at[tag][-1])
             continue
         if tag == "a":
             in_link = True
@@ -116,12 +121,12 @@ def parse(page: str) -> Tree:
         elif tag not in INLINE and tag not in ("html", "head"):
             flush()
             ends = SIBLINGS.get(tag, ("p",) if tag in CLOSES_P else ())
-            for k in range(len(stack) - 1, 0, -1):
-                open_ = tree.tag[stack[k]]
-                if open_ in ends:
-                    del stack[k:]
-                elif open_ in SCOPE:
-                    break
+            if any(open_at.get(e) for e in ends):
+                # the lowest of these that no other scope's element is above
+                scope = max((open_at[t][-1] for t in SCOPE if t not in ends and open_at.get(t)), default=0)
+                lowest = min((open_at[e][i] for e in ends if open_at.get(e) and (i := bisect.bisect(open_at[e], scope)) < len(open_at[e])), default=None)
+                if lowest is not None:
+                    close(lowest)
             names, marked = [], False
             attributes = m[4]
             if attributes and not attributes.isspace():
@@ -139,6 +144,7 @@ def parse(page: str) -> Tree:
             tree.text.append(None)
             tree.linked.append(0)
             tree.marked.append(marked)
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(len(tree.parent) - 1)
     unended = m and m.end() == last and (m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.IGNORECASE) or m[0].startswith("<!--") and not m[0].endswith("-->"))
     if not unended:

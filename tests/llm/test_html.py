@@ -1,5 +1,9 @@
 import html
+import random
 import re
+import time
+
+import pytest
 
 from sparsight.llm import html as H
 from sparsight.llm.labelled_pages import MARK, labelled_pages
@@ -66,3 +70,44 @@ def test_odd_rows(spark, tmp_path):
     assert (1, False) in out and (2, False) in out and (None, True) in out and (4, False) in out
     spark.read.parquet(str(tmp_path / "pages.parquet")).limit(0).write.parquet(str(tmp_path / "e" / "pages.parquet"))
     assert H.op8_dom_marginals(spark, str(tmp_path / "e")).count() == 0
+
+
+def slow_stack(page):
+    """Depths of elements as the search of the whole stack gives them."""
+    stack, out = [], []
+    for m in re.finditer(r"<(/?)(\w+)>", page):
+        tag = m[2]
+        if m[1]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k] == tag:
+                    del stack[k:]
+                    break
+            continue
+        ends = H.SIBLINGS.get(tag, ("p",) if tag in H.CLOSES_P else ())
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k] in ends:
+                del stack[k:]
+            elif stack[k] in H.SCOPE:
+                break
+        stack.append(tag)
+        out.append((tag, len(stack)))
+    return out
+
+
+def test_unclosed_and_unmatched_tags_nest_as_before():
+    rng = random.Random(4)
+    tags = "p div li ul td tr table section center dt dd dl".split()
+    for _ in range(300):
+        page = "".join(rng.choice(["<{}>", "<{}>", "</{}>"]).format(rng.choice(tags)) for _ in range(rng.randint(1, 60)))
+        tree = H.parse(page)
+        depth = [0]
+        for parent in tree.parent[1:]:
+            depth.append(depth[parent] + 1)
+        assert list(zip(tree.tag, depth))[1:] == slow_stack(page), page
+
+
+@pytest.mark.parametrize("page", ["<center>" * 125_000, "<div>" * 60_000 + "</section>" * 60_000, "<li>" * 250_000, "<table><tr><td>" * 60_000, "<p>a<div>b</section>" * 50_000])
+def test_a_megabyte_of_unclosed_blocks_takes_linear_time(page):
+    began = time.process_time()
+    H.parse(page)
+    assert time.process_time() - began < 15
