@@ -166,26 +166,61 @@ class RandomScalarEncoder:
         steps = F.rint(F.abs(x - offset) / self.resolution) * F.signum(x - offset)
         return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0), F.least(F.lit(self.max_buckets - 1), (mid + steps).cast("bigint"))))
 
-    def table(self, radius: int = 60) -> dict[int, list[int]]:
-        """bucket -> on-bits for buckets within radius of the middle; neighbours swap one bit for a new one that keeps the overlap rule."""
+    def sequence(self) -> list[int]:
+        """Bits of which those of bucket k are the w from place k on: one sequence holds all buckets.
+
+        Near buckets share w minus their distance, as no bit comes again within 2 w - 1 places; far ones share max_overlap
+        at most. It grows from the middle to both ends. For each new bucket, what it shares with every other is known from
+        the bits it keeps; a bit that comes in adds one for the w buckets around each earlier place of it, so that a try
+        takes no longer the more buckets there are.
+        """
         if self.n <= 6 * self.w:
             raise ValueError("n must exceed 6 w")
-        rng, mid = np.random.default_rng(self.seed), self.max_buckets // 2
-        held = {mid: rng.permutation(self.n)[: self.w].tolist()}
-        for step in (1, -1):
-            for k in range(1, radius + 1):
-                at = mid + step * k
-                bits = list(held[at - step])
-                for trial in range(10_000):
-                    new = int(rng.integers(self.n))
-                    own = bits.copy()
-                    own[(at if step > 0 else at + 1) % self.w] = new  # each place changes once in w buckets
-                    if new not in bits and all(self._allowed(at, other, own, theirs) for other, theirs in held.items()):
-                        held[at] = own
+        rng, w, mid = np.random.default_rng(self.seed), self.w, self.max_buckets // 2
+        bits = np.full(self.max_buckets + w - 1, -1, dtype=np.int64)
+        bits[mid : mid + w] = rng.permutation(self.n)[:w]
+        low, high = mid, mid + w  # places that are known
+        for up in (True, False):
+            places: dict[int, list[int]] = {}
+            for p in range(low, high):
+                places.setdefault(int(bits[p]), []).append(p)
+            # what the newest bucket shares with each known bucket, by place; near ones aren't asked for
+            shared = np.zeros(self.max_buckets + 2 * w, dtype=np.int64)
+            newest = high - w if up else low
+
+            def count(bit: int, by: int):
+                for p in places.get(bit, ()):
+                    shared[p + 1 : p + 1 + w] += by  # buckets p - w + 1 to p, shifted by w
+
+            for b in bits[newest : newest + w].tolist():
+                count(b, 1)
+            while newest < self.max_buckets - 1 if up else newest > 0:
+                newest += 1 if up else -1
+                gone, place = (newest - 1, newest + w - 1) if up else (newest + w, newest)
+                count(int(bits[gone]), -1)
+                recent = bits[max(0, newest - w + 1) : newest + w - 1] if up else bits[newest + 1 : newest + 2 * w - 1]
+                barred = set(recent.tolist())
+                for b in rng.permutation(self.n).tolist():
+                    if b not in barred and all(shared[p + 1 : p + 1 + w].max() < self.max_overlap for p in places.get(b, ())):
                         break
                 else:
-                    raise ValueError("no bit keeps the overlap rule; n is too small")
-        return {k: sorted(v) for k, v in held.items()}
+                    raise ValueError("no bit keeps the overlap rule; n is too small for so many buckets")
+                bits[place] = b
+                places.setdefault(b, []).append(place)
+                count(b, 1)
+            low, high = (low, self.max_buckets + w - 1) if up else (0, high)
+        return bits.tolist()
+
+    def table(self, radius: int | None = None) -> dict[int, list[int]]:
+        """bucket -> sorted on-bits, of all buckets or those within radius of the middle."""
+        line, mid = self.sequence(), self.max_buckets // 2
+        kept = range(self.max_buckets) if radius is None else range(max(0, mid - radius), min(self.max_buckets, mid + radius + 1))
+        return {k: sorted(line[k : k + self.w]) for k in kept}
+
+    def bits(self, bucket: Column) -> Column:
+        """Sorted on-bits of a bucket, a slice of one constant; empty for null."""
+        line = F.split(F.lit(",".join(map(str, self.sequence()))), ",").cast("array<int>")
+        return F.coalesce(F.array_sort(F.slice(line, (bucket + 1).cast("int"), self.w)), F.array().cast("array<int>"))
 
     def _allowed(self, i: int, j: int, a: list[int], b: list[int]) -> bool:
         shared = len(set(a) & set(b))
@@ -374,13 +409,9 @@ def _sdr_category(s: dict, columns: list[str]):
 
 @_kind("random-scalar")
 def _random(s: dict, columns: list[str]):
+    """All buckets have bits; a radius of them, once a limit, is accepted and changes nothing."""
     e = RandomScalarEncoder(**{k: v for k, v in s.items() if k not in ("offset", "radius")})
-    held = e.table(s.get("radius", 60))
-    first, last = min(held), max(held)
-    rows = F.array(*[F.array(*map(F.lit, held[b])) for b in range(first, last + 1)])
-    bucket = e.bucket(F.col(columns[0]).cast("double"), F.lit(float(s["offset"])))
-    at = F.when(bucket.isNotNull(), F.greatest(F.lit(first), F.least(F.lit(last), bucket)) - first).cast("int")
-    return F.coalesce(F.get(rows, at), F.array().cast("array<int>")), e.n
+    return e.bits(e.bucket(F.col(columns[0]).cast("double"), F.lit(float(s["offset"])))), e.n
 
 
 @_kind("date")

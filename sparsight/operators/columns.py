@@ -56,16 +56,6 @@ def drop_unlikely(likelihoods: DataFrame, by: list[str], value: str, p: str, lea
     return ranked.where(((F.col(p) >= least) | (F.col("rank") == 1)) & (F.col("rank") <= most))
 
 
-def cogroup_merge(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
-    """key, list1 ... listN in order of key: the items (key column, item column of each table) side by side, empty where a table has none."""
-    merged = None
-    for i, (df, key, item) in enumerate(tables, 1):
-        own = df.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(item)).alias(f"list{i}"))
-        merged = own if merged is None else merged.join(own, "key", "full_outer")
-    kinds = dict(merged.dtypes)
-    return merged.select("key", *[F.coalesce(f"list{i}", F.array().cast(kinds[f"list{i}"])).alias(f"list{i}") for i in range(1, len(tables) + 1)])
-
-
 def trace_sets(active: Column, predicted: Column) -> dict[str, Column]:
     """Sizes of what was predicted and came, predicted in vain, and not predicted."""
     return {
@@ -101,3 +91,105 @@ def least_duty(duty: DataFrame, share: float, radius: int | None = None) -> Data
         return duty.join(F.broadcast(duty.agg((F.max("duty") * share).alias("least"))))
     spread = duty.select(F.explode(F.sequence(F.col("col") - radius, F.col("col") + radius)).alias("col"), F.col("duty").alias("near"))
     return duty.join(spread.groupBy("col").agg((F.max("near") * share).alias("least")), "col")
+
+
+#: Columns that one group of a record counts at most; columns of a bit in one row of its postings.
+GROUP_COLUMNS, POSTING_COLUMNS = 65_536, 4096
+
+
+def top_columns(bits: DataFrame, connected: DataFrame, winners: int, stimulus: int = 0) -> DataFrame:
+    """rec, col, overlap, rank: the winners of each record by overlap with the columns (col, bit), ties to the higher column.
+
+    The same rows as inhibit over overlap_join, without a row for each record and column. A bit's columns are packed into
+    arrays, cut at POSTING_COLUMNS and, where there are many columns, dealt to groups by hash, so that a hot bit is many
+    rows of bounded size. Records meet these arrays; a record's arrays are then counted and ranked where they are, and
+    only winners leave. What winners of several groups there are is ranked again. Columns are whole numbers. Rows with a
+    null take no part; rows that repeat count as often as they occur.
+    """
+    held = connected.where(F.col("col").isNotNull())
+    total = held.agg(F.approx_count_distinct("col")).first()[0]
+    groups = max(1, -(-total // GROUP_COLUMNS))
+    placed = held.select("bit", F.col("col").cast("bigint").alias("col"), F.pmod(F.xxhash64("col"), F.lit(groups)).alias("group"))
+    # a hash of the column cuts a bit's array; cuts grow with the number of columns, not with a bit's rows
+    cuts = max(1, -(-total // (groups * POSTING_COLUMNS)))
+    postings = placed.withColumn("cut", F.pmod(F.xxhash64(F.lit(1), "col"), F.lit(cuts))).groupBy("bit", "group", "cut").agg(F.collect_list("col").alias("cols"))
+    met = bits.where(F.col("rec").isNotNull()).select("rec", "bit").join(postings, "bit").select("rec", "group", "cols")
+    best = met.repartition("rec", "group").sortWithinPartitions("group", "rec").mapInArrow(_counted(winners, max(1, stimulus)), f"rec {bits.schema['rec'].dataType.simpleString()}, col bigint, overlap bigint")
+    if groups > 1:
+        return inhibit(best, winners, stimulus)
+    order = Window.partitionBy("rec").orderBy(F.col("overlap").desc(), F.col("col").desc())
+    return best.withColumn("rank", F.row_number().over(order))
+
+
+def _counted(winners: int, stimulus: int):
+    """Sorted rows (rec, group, cols) as the best columns of each record and group with their counts; a record may span batches."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def emit(rec: pa.Array, run: np.ndarray, col: np.ndarray, count: np.ndarray):
+        """run: each count's place in rec."""
+        order = np.lexsort((-col, -count, run))
+        run, col, count = run[order], col[order], count[order]
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        rank = np.arange(len(run)) - np.repeat(starts, np.diff(np.append(starts, len(run))))
+        kept = (rank < winners) & (count >= stimulus)
+        return pa.RecordBatch.from_arrays([rec.take(pa.array(run[kept])), pa.array(col[kept]), pa.array(count[kept])], names=["rec", "col", "overlap"])
+
+    def add(run, col, count):
+        order = np.lexsort((col, run))
+        run, col, count = run[order], col[order], count[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (col[1:] != col[:-1])])) if len(run) else np.zeros(0, np.int64)
+        return run[fresh], col[fresh], np.add.reduceat(count, fresh) if len(fresh) else count
+
+    def rank_all(batches):
+        known, last = None, None  # the counts so far of the record and group that a batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rec, group, lists = batch.column("rec"), batch.column("group").to_numpy(), batch.column("cols")
+            n = batch.num_rows
+            fresh = np.ones(n, bool)
+            fresh[1:] = pc.fill_null(pc.not_equal(rec.slice(1), rec.slice(0, n - 1)), True).to_numpy(zero_copy_only=False) | (group[1:] != group[:-1])
+            starts = np.flatnonzero(fresh)
+            run = np.repeat(np.cumsum(fresh) - 1, np.diff(lists.offsets.to_numpy()))
+            col = lists.flatten().to_numpy()
+            count = np.ones(len(col), np.int64)
+            names = rec.take(pa.array(starts))
+            if known is not None:
+                if (rec[0].as_py(), int(group[0])) == last:
+                    run, col, count = (np.concatenate(x) for x in ((np.zeros(len(known[0]), np.int64), run), (known[0], col), (known[1], count)))
+                else:
+                    yield emit(pa.array([last[0]], rec.type), np.zeros(len(known[0]), np.int64), *known)
+            run, col, count = add(run, col, count)
+            open_ = run == len(starts) - 1
+            known, last = (col[open_], count[open_]), (rec[n - 1].as_py(), int(group[n - 1]))
+            yield emit(names, run[~open_], col[~open_], count[~open_])
+        if known is not None:
+            yield emit(pa.array([last[0]], rec.type), np.zeros(len(known[0]), np.int64), *known)
+
+    return rank_all
+
+
+def cells_of_sequences(rows: DataFrame) -> DataFrame:
+    """sequence, n_cells: how many different cells were active in a sequence, of rows(sequence, cell)."""
+    return rows.where(F.col("cell").isNotNull()).groupBy("sequence").agg(F.count_distinct("cell").alias("n_cells"))
+
+
+def sequences_of_cells(rows: DataFrame) -> DataFrame:
+    """cell, n_sequences: in how many different sequences a cell was active, of rows(sequence, cell)."""
+    return rows.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.count_distinct("sequence").alias("n_sequences"))
+
+
+def shared_cells(rows: DataFrame) -> DataFrame:
+    """a, b, shared: how many cells two sequences have in common (a < b, one at least), of rows(sequence, cell).
+
+    Cells are whole numbers. A sequence's cells are packed into words of 64 bits before they meet, so that a cell that is
+    active in many sequences meets as a bit of a word; what a pair shares in a word is counted in the bits of both.
+    """
+    place = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("cell", F.lit(64)).cast("int"))
+    words = rows.where(F.col("cell").isNotNull()).groupBy("sequence", F.floor(F.col("cell") / 64).alias("word")).agg(F.bit_or(place).alias("bits"))
+    other = words.select(F.col("sequence").alias("b"), "word", F.col("bits").alias("other_bits"))
+    met = words.withColumnRenamed("sequence", "a").join(other, "word").where("a < b")
+    both = F.bit_count(F.col("bits").bitwiseAND(F.col("other_bits")))
+    return met.groupBy("a", "b").agg(F.sum(both).alias("shared")).where("shared > 0")

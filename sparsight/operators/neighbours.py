@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sdr import dot, total
+from ..shared import written as _settled
+from .runs import numbered
 
 #: Prototypes that a query block may be compared with at once: the table is cut into so many rows a block.
 PROTOTYPES_PER_BLOCK = 4096
@@ -91,8 +93,9 @@ def learn(training: DataFrame, distance_threshold: float = 0.0, replace_duplicat
     return kept
 
 
-#: Coordinates by which near pairs are sought; the most rounds in which patterns wait for one another.
-CELL_COORDINATES, MOST_ROUNDS = 3, 200
+#: Coordinates by which near pairs are sought; rounds in which patterns wait for one another before blocks of them are decided in order.
+CELL_COORDINATES, ROUNDS = 3, 10
+BLOCK = 2000
 
 
 def apart(training: DataFrame, least: float) -> DataFrame:
@@ -100,7 +103,8 @@ def apart(training: DataFrame, least: float) -> DataFrame:
 
     Near pairs lie in neighbouring cells of the first coordinates, whatever the distance in the others, so only such meet.
     A pattern is decided as soon as those before it that lie near are: kept if all of them are dropped. Each round is one
-    join and decides all that can be; its table is written, so that lineage doesn't grow.
+    join and decides all that can be; its table is written, so that lineage doesn't grow. Chains that are longer than the
+    rounds are left to blocks of ids, which always end.
     """
     cells = F.transform(F.slice("x", 1, CELL_COORDINATES), lambda v: F.floor(v / least))
     around = F.array(F.array().cast("array<bigint>"))
@@ -113,7 +117,7 @@ def apart(training: DataFrame, least: float) -> DataFrame:
     pairs = _settled(pairs, "near")
     kept = training.select("id").join(pairs.select(F.col("v").alias("id")), "id", "left_anti")  # none before them is near
     dropped = None
-    for _ in range(MOST_ROUNDS):
+    for _ in range(ROUNDS):
         kept = _settled(kept.select("id"), "kept")
         gone = pairs.join(kept.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
         dropped = _settled(gone, "dropped")
@@ -123,7 +127,42 @@ def apart(training: DataFrame, least: float) -> DataFrame:
         if more.isEmpty():
             return training.join(kept.select("id"), "id", "left_semi")
         kept = kept.union(more)
-    raise RuntimeError("patterns wait for one another for too long")
+    known = _settled(known, "known")
+    waiting = pairs.join(known.select(F.col("id").alias("u")), "u", "left_anti").join(known.select(F.col("id").alias("v")), "v", "left_anti")
+    late = _in_blocks(training.select("id").join(known, "id", "left_anti").distinct(), _settled(waiting, "waiting"))
+    return training.join(kept.select("id").union(late), "id", "left_semi")
+
+
+def _in_blocks(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Which of ids are kept, in their order, where none that pairs(u, v), u < v, puts before them is: one block of ids after the other.
+
+    What a block's patterns have before them is known when it comes; inside it, its own pairs decide, at most BLOCK squared.
+    """
+    placed = _settled(numbered(ids, [], ["id"], "i").select("id", F.floor(F.col("i") / BLOCK).alias("block")), "blocks")
+    first, last = placed.agg(F.min("block"), F.max("block")).first()
+    met = pairs.join(placed.select(F.col("id").alias("u"), F.col("block").alias("u_block")), "u").join(placed.select(F.col("id").alias("v"), F.col("block").alias("v_block")), "v")
+    met = _settled(met, "met")
+
+    def decide(group: pa.Table) -> pa.Table:
+        dropped, before = set(), {}
+        for u, v in zip(group.column("u").to_pylist(), group.column("v").to_pylist()):
+            before.setdefault(v, []).append(u)
+        for v in sorted(before):
+            if any(u not in dropped for u in before[v]):
+                dropped.add(v)
+        return pa.table({"id": pa.array(sorted(dropped), group.schema.field("v").type)})
+
+    kept = None
+    for block in range(first, last + 1) if first is not None else ():
+        own = placed.where(F.col("block") == block).select("id")
+        if kept is not None:
+            gone = met.where((F.col("v_block") == block) & (F.col("u_block") < block)).join(kept.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id"))
+            own = _settled(own.join(gone, "id", "left_anti"), "own")
+        inside = met.where((F.col("v_block") == block) & (F.col("u_block") == block)).join(own.select(F.col("id").alias("u")), "u", "left_semi").join(own.select(F.col("id").alias("v")), "v", "left_semi")
+        dropped = inside.groupBy("v_block").applyInArrow(decide, f"id {ids.schema['id'].dataType.simpleString()}")
+        now = own.join(dropped, "id", "left_anti")
+        kept = _settled(now if kept is None else kept.union(now), "late")
+    return ids if kept is None else kept
 
 
 def _with_neighbours(found: Column, c: Column) -> Column:
@@ -132,15 +171,6 @@ def _with_neighbours(found: Column, c: Column) -> Column:
     return F.flatten(F.transform(found, lambda a: F.transform(steps, lambda s: F.array_append(a, s))))
 
 
-def _settled(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back."""
-    from ..plans.common import scratch
-
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def forget(prototypes: DataFrame, ids: DataFrame) -> DataFrame:
     """Prototypes without the rows whose ids are in a table."""
     return prototypes.join(ids, "id", "left_anti")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch  # noqa: F401
+
 SCALE = 1_000_000
 
 
@@ -30,9 +30,3 @@ def text(a: Column) -> Column:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the hour they fall in, by which ordered computations are cut."""
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value").withColumn("hour", F.floor(F.unix_timestamp("ts") / 3600).cast("bigint"))
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or beside the warehouse's tables."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
-    return f"{folder}/{label}-{uuid.uuid4().hex}"

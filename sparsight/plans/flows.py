@@ -44,6 +44,42 @@ _CSV = f"""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS rec_no, c_custke
   CAST(epoch(TIMESTAMP '2020-01-01') AS BIGINT) + 86400 * (c_custkey % 9) AS since, CAST(c_custkey % 2 AS INT) AS vip FROM customer"""
 
 
+def observed_records(spark, sf) -> DataFrame:
+    """The same records through the source that reads folders in parts."""
+    from ..sources.observed import observed
+
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("at"), F.concat_ws(",", "c_custkey", "c_name", "c_acctbal").alias("line"))
+    found = observed(spark, _lines(spark, rows, ["key,name,balance", "int,string,float", "S,,"], "observed"))
+    return found.select("rec_no", F.col("key").cast("bigint").alias("key"), "name", fixed(F.col("balance")).alias("balance_e6"))
+
+
+def key_ranges(spark, sf) -> DataFrame:
+    """Ranges of customers with about an eighth of the orders each, by which a database would be read."""
+    from ..sources.databases import key_ranges
+
+    return key_ranges(table(spark, sf, "orders"), "o_custkey", 8)
+
+
+def metric_transitions(spark, sf) -> DataFrame:
+    """The lives of users as metrics: active from their 25th event on, or at once where their range is known; equal bounds are an error."""
+    from ..streaming.lifecycle import transitions_of
+
+    ranges = table(spark, sf, "events").where("user_id % 3 = 0").groupBy(F.col("user_id").alias("key")).agg(F.min("value").alias("low"), F.max(F.when(F.col("user_id") % 2 == 0, F.col("value")).otherwise(0.0)).alias("high"))
+    found = transitions_of(table(spark, sf, "events"), "user_id", "ts", "event_id", 25, ranges)
+    return found.select("key", F.col("step").cast("bigint").alias("step"), "record", F.unix_timestamp("ts").alias("ts"), "before", "after")
+
+
+_TRANSITIONS = """WITH n AS (SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+g AS (SELECT user_id AS key, min(value) AS low, max(CASE WHEN user_id % 2 = 0 THEN value ELSE 0 END) AS high FROM events WHERE user_id % 3 = 0 GROUP BY 1),
+t AS (
+  SELECT key, 0 AS record, NULL AS ts, 0 AS at, CASE WHEN low >= high THEN 'error' ELSE 'create_pending' END AS after FROM g
+  UNION ALL SELECT key, 1, ts, 1, 'active' FROM n JOIN g USING (key) WHERE r = 1 AND low < high
+  UNION ALL SELECT key, 1, ts, 0, 'pending_data' FROM n WHERE r = 1 AND key % 3 <> 0
+  UNION ALL SELECT key, 25, ts, x.at, x.after FROM n, (VALUES (0, 'create_pending'), (1, 'active')) x(at, after) WHERE r = 25 AND key % 3 <> 0
+)
+SELECT key, row_number() OVER w - 1 AS step, CAST(record AS BIGINT) AS record, ts, coalesce(lag(after) OVER w, 'unmonitored') AS before, after FROM t WINDOW w AS (PARTITION BY key ORDER BY record, at)"""
+
+
 def csv_custom_rows(spark, sf) -> DataFrame:
     """Lines of another shape, split by the caller's own function."""
     rows = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("at"), F.concat_ws(" | ", "n_regionkey", "n_name").alias("line"))
@@ -304,6 +340,9 @@ QUERIES = {
     "stored_metrics": (stored_metrics, _STORED),
     "adopted_models": (adopted_models, _ADOPTED),
     "csv_records": (csv_records, _CSV),
+    "observed_records": (observed_records, f"SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS rec_no, c_custkey AS key, c_name AS name, {fixed_sql('c_acctbal')} AS balance_e6 FROM customer"),
+    "key_ranges": (key_ranges, "WITH k AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1), u AS (SELECT k, n, sum(n) OVER (ORDER BY k) AS upto, sum(n) OVER () AS total FROM k) SELECT CAST((upto - n) * 8 // total AS BIGINT) AS part, min(k) AS low, max(k) AS high, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY 1"),
+    "metric_transitions": (metric_transitions, _TRANSITIONS),
     "csv_custom_rows": (csv_custom_rows, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rec_no, CAST(n_regionkey AS BIGINT) AS region, n_name AS name FROM nation"),
     "header_flags": (header_flags, "SELECT CAST(column0 AS INT) AS position, column1 AS name, column2 AS kind, column3 AS flag FROM (VALUES (0, 'key', 'int', 'sequence'), (1, 'name', 'string', ''), (2, 'balance', 'float', ''), (3, 'since', 'timestamp', 'timestamp'), (4, 'category', 'geo', 'category')) t(column0, column1, column2, column3)"),
     "image_tags": (image_tags, "SELECT 'img/' || p_partkey || '.png' AS file, p_brand AS tag FROM part"),

@@ -9,6 +9,7 @@ from ..functions import encoders as E
 from ..functions import sdr as A
 from ..operators import columns as C
 from ..operators import neighbours as N
+from ..operators import runs as U
 from ..operators import stores as S
 from .common import events, fixed, fixed_sql, table, text
 
@@ -110,7 +111,9 @@ def overlap_join(spark, sf) -> DataFrame:
 
 
 def topk_inhibition(spark, sf) -> DataFrame:
-    return C.inhibit(_overlaps(spark, sf), 3, 1).select("rec", "col", F.col("rank").cast("bigint").alias("rank"))
+    g = _graph(spark, sf)
+    best = C.top_columns(g.select("rec", "bit").distinct(), g.select("col", "bit").distinct(), 3, 1)
+    return best.select("rec", "col", F.col("rank").cast("bigint").alias("rank"))
 
 
 _OVERLAP = "(SELECT b.rec, c.col, count(*) AS overlap FROM (SELECT DISTINCT l_orderkey AS rec, l_partkey AS bit FROM lineitem) b JOIN (SELECT DISTINCT l_suppkey AS col, l_partkey AS bit FROM lineitem) c USING (bit) GROUP BY 1, 2)"
@@ -123,12 +126,35 @@ def segment_activity(spark, sf) -> DataFrame:
     return C.segment_activity(active, synapses, 0.2, 2, 2)
 
 
+MERGED = 64
+
+
 def cogroup_merge(spark, sf) -> DataFrame:
+    """Orders, nations and events of customers side by side, in parts of 64 items."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     late = table(spark, sf, "events").select("user_id", "event_id")
-    m = C.cogroup_merge([(orders, "o_custkey", "o_orderkey"), (customers, "c_custkey", "c_nationkey"), (late, "user_id", "event_id")])
-    return m.select("key", text(F.col("list1")).alias("orders"), text(F.col("list2")).alias("nations"), text(F.col("list3")).alias("events"))
+    m = U.merged_lists([(orders, "o_custkey", "o_orderkey"), (customers, "c_custkey", "c_nationkey"), (late, "user_id", "event_id")], MERGED)
+    return m.select("key", "part", text(F.col("list1")).alias("orders"), text(F.col("list2")).alias("nations"), text(F.col("list3")).alias("events"))
+
+
+def _parts_of_orders(spark, sf) -> DataFrame:
+    """Orders as sequences, parts as cells."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sequence"), F.col("l_partkey").alias("cell"))
+
+
+def cells_per_sequence(spark, sf) -> DataFrame:
+    return C.cells_of_sequences(_parts_of_orders(spark, sf))
+
+
+def sequences_per_cell(spark, sf) -> DataFrame:
+    return C.sequences_of_cells(_parts_of_orders(spark, sf))
+
+
+def shared_cells(spark, sf) -> DataFrame:
+    """Parts that the suppliers of two nations both deliver: nations as sequences, parts as cells."""
+    nations = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("sequence"))
+    return C.shared_cells(table(spark, sf, "lineitem").join(nations, "l_suppkey").select("sequence", F.col("l_partkey").alias("cell")))
 
 
 def tag_join_volume(spark, sf) -> DataFrame:
@@ -277,6 +303,12 @@ def pca_project(spark, sf) -> DataFrame:
     return rows.select("id", fixed(N.project(F.col("x"), mean, axes)[0]).alias("first_e6"), fixed(N.project(F.col("x"), mean, axes)[1]).alias("second_e6"))
 
 
+_MERGE_SQL = f"""
+WITH r AS (SELECT o_custkey AS key, 0 AS t, o_orderkey AS item FROM orders UNION ALL SELECT c_custkey, 1, c_nationkey FROM customer UNION ALL SELECT user_id, 2, event_id FROM events),
+n AS (SELECT *, CAST((row_number() OVER (PARTITION BY key ORDER BY t, item) - 1) // {MERGED} AS BIGINT) AS part FROM r WHERE item IS NOT NULL)
+SELECT key, part, {", ".join(f"coalesce(string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) FILTER (t = {t}), '') AS {name}" for t, name in enumerate(("orders", "nations", "events")))}
+FROM n GROUP BY key, part"""
+
 QUERIES = {
     "knn_l2": (_knn("norm"), _knn_sql("l2")),
     "knn_l1": (_knn("norm", 1), _knn_sql("l1")),
@@ -290,7 +322,10 @@ QUERIES = {
     "overlap_join": (overlap_join, f"SELECT rec, col, overlap FROM {_OVERLAP}"),
     "topk_inhibition": (topk_inhibition, f"SELECT rec, col, rank FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY overlap DESC, col DESC) AS rank FROM {_OVERLAP}) WHERE rank <= 3 AND overlap >= 1"),
     "segment_activity": (segment_activity, "SELECT l_orderkey AS seg, count(*) AS potential, CAST(sum(CAST(l_discount * 5 > 0.2 - 1e-5 AS INT)) AS BIGINT) AS connected, CAST(sum(CAST(l_discount * 5 > 0.2 - 1e-5 AS INT)) >= 2 AS INT) AS is_active, CAST(count(*) >= 2 AS INT) AS is_matching FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#1' GROUP BY 1"),
-    "cogroup_merge": (cogroup_merge, "WITH o AS (SELECT o_custkey AS key, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS l FROM orders GROUP BY 1), c AS (SELECT c_custkey AS key, string_agg(CAST(c_nationkey AS VARCHAR), ',' ORDER BY c_nationkey) AS l FROM customer GROUP BY 1), e AS (SELECT user_id AS key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS l FROM events GROUP BY 1) SELECT key, coalesce(o.l, '') AS orders, coalesce(c.l, '') AS nations, coalesce(e.l, '') AS events FROM o FULL JOIN c USING (key) FULL JOIN e USING (key)"),
+    "cogroup_merge": (cogroup_merge, _MERGE_SQL),
+    "cells_per_sequence": (cells_per_sequence, "SELECT l_orderkey AS sequence, count(DISTINCT l_partkey) AS n_cells FROM lineitem GROUP BY 1"),
+    "sequences_per_cell": (sequences_per_cell, "SELECT l_partkey AS cell, count(DISTINCT l_orderkey) AS n_sequences FROM lineitem GROUP BY 1"),
+    "shared_cells": (shared_cells, "WITH p AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS s, l_partkey AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) SELECT x.s AS a, y.s AS b, count(*) AS shared FROM p x JOIN p y ON x.c = y.c AND x.s < y.s GROUP BY 1, 2"),
     "tag_join_volume": (tag_join_volume, "SELECT 'source:' || source AS metric, count(*) AS volume FROM documents WHERE source IS NOT NULL GROUP BY 1 UNION ALL SELECT 'lang:' || lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY 1"),
     "positional_zip": (positional_zip, f"SELECT id, array_to_string(list_transform(range(1, {DIMS} + 1), lambda k: CAST(CAST(x[k] AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(x[{DIMS} + 1 - k] AS BIGINT) AS VARCHAR)), ';') AS pairs FROM {_P}"),
     "sparse_set_ops": (sparse_set_ops, f"WITH r AS (SELECT id, list_filter(range({DIMS}), lambda k: x[k + 1] > 0) AS a, list_filter(range({DIMS}), lambda k: x[{DIMS} - k] > 0) AS b FROM {_P}) SELECT id, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS any, array_to_string(list_filter(a, lambda k: NOT list_contains(b, k)), ',') AS left_only, CAST(len(list_filter(b, lambda k: NOT list_contains(a, k))) = 0 AS INT) AS holds FROM r"),

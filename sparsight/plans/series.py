@@ -10,6 +10,7 @@ from ..functions import likelihood as L
 from ..functions.sdr import unique
 from ..operators import metrics as M
 from ..operators import ordered as O
+from ..operators import runs as U
 from ..operators import stores as S
 from .common import events, fixed, fixed_sql, table, text
 
@@ -69,6 +70,47 @@ def adaptive_range_bucket(spark, sf) -> DataFrame:
     return rows.select("event_id", fixed(F.col("low")).alias("low_e6"), fixed(high).alias("high_e6"), ((F.col("value") - F.col("low") + step / 2) / step).cast("bigint").alias("bucket"))
 
 
+WINDOW = 300
+
+
+def adaptive_window_bucket(spark, sf) -> DataFrame:
+    """Buckets of values in 100 steps of the range of the last 300 records of their type."""
+    rows = U.sliding_range(events(spark, sf), ["event_type"], ORDER, "value", WINDOW)
+    high = F.when(F.col("high") == F.col("low"), F.col("low") + 1).otherwise(F.col("high"))
+    step = (high - F.col("low")) / 100
+    return rows.select("event_id", fixed(F.col("low")).alias("low_e6"), fixed(high).alias("high_e6"), ((F.col("value") - F.col("low") + step / 2) / step).cast("bigint").alias("bucket"))
+
+
+def _adaptive_sql(frame: str) -> str:
+    return (
+        f"WITH r AS (SELECT event_id, value, min(value) OVER w AS low, max(value) OVER w AS top FROM events WINDOW w AS ({BY_TYPE}{frame})), s AS (SELECT *, CASE WHEN top = low THEN low + 1 ELSE top END AS high FROM r) "
+        f"SELECT event_id, {fixed_sql('low')} AS low_e6, {fixed_sql('high')} AS high_e6, CAST(trunc((value - low + (high - low) / 100 / 2) / ((high - low) / 100)) AS BIGINT) AS bucket FROM s"
+    )
+
+
+def rdse_bits(spark, sf) -> DataFrame:
+    """For each bucket that values fall in: its records, its bits, and how it keeps the overlap rule with the other buckets seen.
+
+    Buckets meet by the bits that they share, and by their numbers where they are near; there are 1000 at most.
+    """
+    first = events(spark, sf).groupBy("event_type").agg(F.min_by("value", F.struct("ts", "event_id")).alias("origin"))
+    rows = events(spark, sf).join(first, "event_type").select(RANDOM.bucket(F.col("value") * 5, F.col("origin") * 5).alias("bucket"))
+    seen = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_records")).withColumn("bits", RANDOM.bits(F.col("bucket")))
+    on = seen.select("bucket", F.explode("bits").alias("bit"))
+    pairs = on.join(on.withColumnRenamed("bucket", "other"), "bit").where("bucket <> other").groupBy("bucket", "other").agg(F.count(F.lit(1)).alias("shared"))
+    apart = F.abs(F.col("bucket") - F.col("other"))
+    kept = F.col("shared") == RANDOM.w - apart
+    law = pairs.groupBy("bucket").agg(F.count_if((apart < RANDOM.w) & kept).alias("near"), F.count_if((apart >= RANDOM.w) & (F.col("shared") > RANDOM.max_overlap)).alias("far_over"), F.count_if((apart < RANDOM.w) & ~kept).alias("near_off"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return seen.join(law, "bucket", "left").select("bucket", "n_records", F.size("bits").alias("n_bits"), F.size(F.array_distinct("bits")).alias("n_distinct"), zero("near"), zero("near_off"), zero("far_over"))
+
+
+_RDSE_BITS = f"""
+WITH o AS (SELECT value * 5 AS v, 5 * first_value(value) OVER ({BY_TYPE}) AS o FROM events),
+b AS (SELECT CAST(greatest(0, least(999, 500 + sign(v - o) * round_even(abs(v - o) / 2.5, 0))) AS BIGINT) AS bucket, count(*) AS n_records FROM o GROUP BY 1)
+SELECT bucket, n_records, 21 AS n_bits, 21 AS n_distinct, (SELECT count(*) FROM b c WHERE c.bucket <> b.bucket AND abs(c.bucket - b.bucket) < 21) AS near, 0 AS near_off, 0 AS far_over FROM b"""
+
+
 def date_scalars(spark, sf) -> DataFrame:
     ts = F.col("ts")
     return events(spark, sf).select("event_id", E.season(ts).alias("season"), E.weekday(ts).cast("int").alias("weekday"), E.seconds_of_day(ts).alias("second_of_day"), E.is_weekend(ts).alias("weekend"))
@@ -369,7 +411,9 @@ QUERIES = {
     "log_bucket": (log_bucket, f"SELECT event_id, CAST(trunc((log10(greatest(1.0, least(10000.0, value))) + {LOG.scalar.resolution!r} / 2) / {LOG.scalar.resolution!r}) AS BIGINT) AS bucket FROM events"),
     "rdse_bucket": (rdse_bucket, f"SELECT event_id, CAST(greatest(0, least(999, 500 + sign(value - o) * round_even(abs(value - o) / 2.5, 0))) AS BIGINT) AS bucket FROM (SELECT event_id, value, first_value(value) OVER ({BY_TYPE}) AS o FROM events)"),
     "delta_value": (delta_value, f"SELECT event_id, {fixed_sql('value - coalesce(b, value)')} AS delta_e6 FROM (SELECT event_id, value, lag(value) OVER ({BY_TYPE}) AS b FROM events)"),
-    "adaptive_range_bucket": (adaptive_range_bucket, f"WITH r AS (SELECT event_id, value, min(value) OVER w AS low, max(value) OVER w AS top FROM events WINDOW w AS ({BY_TYPE})), s AS (SELECT *, CASE WHEN top = low THEN low + 1 ELSE top END AS high FROM r) SELECT event_id, {fixed_sql('low')} AS low_e6, {fixed_sql('high')} AS high_e6, CAST(trunc((value - low + (high - low) / 100 / 2) / ((high - low) / 100)) AS BIGINT) AS bucket FROM s"),
+    "adaptive_range_bucket": (adaptive_range_bucket, _adaptive_sql("")),
+    "adaptive_window_bucket": (adaptive_window_bucket, _adaptive_sql(f" ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW")),
+    "rdse_bits": (rdse_bits, _RDSE_BITS),
     "date_scalars": (date_scalars, f"SELECT event_id, CAST(dayofyear(ts) - 1 AS INT) AS season, CAST(isodow(ts) - 1 AS INT) AS weekday, CAST({_SOD} AS BIGINT) AS second_of_day, CAST((isodow(ts) - 1 + {_SOD} / 86400.0) >= 4.75 AS INT) AS weekend FROM events"),
     "date_holiday_ramp": (date_holiday_ramp, f"WITH t AS (SELECT o_orderkey, epoch(o_orderdate) + (o_orderkey % 24) * 3600 AS s, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS ts FROM orders), d AS (SELECT o_orderkey, s - epoch(make_timestamp(CAST(year(ts) AS BIGINT), 12, 25, 0, 0, 0.0)) AS a FROM t) SELECT o_orderkey, {fixed_sql('CASE WHEN a >= 0 AND a < 86400 THEN 1.0 WHEN a >= 86400 AND a < 172800 THEN 1 - (a - 86400) / 86400.0 WHEN a < 0 AND a > -86400 THEN 1 + a / 86400.0 ELSE 0.0 END')} AS ramp_e6 FROM d"),
     "date_bucket_indices": (date_bucket_indices, f"SELECT event_id, CAST(trunc((dayofyear(ts) - 1) * 122 / 366.0) AS BIGINT) % 122 AS season_bucket, ({_PERIODIC} + 250) % 240 AS time_bucket FROM events"),

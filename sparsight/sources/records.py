@@ -191,7 +191,19 @@ def clusters(spark: SparkSession, classes: int, each: int, dims: int, spread: fl
     return rows.select("id", "category", F.array(*[centre(F.lit(d)) + spread * normal(F.lit(d)) for d in range(dims)]).alias("x"))
 
 
-SOURCES: dict[str, Callable[..., DataFrame]] = {"file": csv_records, "database": database, "stream": stream_of, "images": image_list, "metrics": metric_configuration, "sine": sine, "patterns": patterns, "sequences": sequences, "clusters": clusters}
+def _observed(spark: SparkSession, path: str, **options) -> DataFrame:
+    from .observed import observed
+
+    return observed(spark, path, **options)
+
+
+def _even_parts(spark: SparkSession, url: str, table: str, column: str, parts: int, **options) -> DataFrame:
+    from .databases import even_parts
+
+    return even_parts(spark, url, table, column, parts, **options)
+
+
+SOURCES: dict[str, Callable[..., DataFrame]] = {"file": csv_records, "observed": _observed, "database": database, "database parts": _even_parts, "stream": stream_of, "images": image_list, "metrics": metric_configuration, "sine": sine, "patterns": patterns, "sequences": sequences, "clusters": clusters}
 
 
 def read(spark: SparkSession, kind: str, **options) -> DataFrame:

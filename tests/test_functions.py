@@ -65,6 +65,21 @@ def test_random_encoder_keeps_the_overlap_rule():
                 assert e._allowed(i, j, t[i], t[j])
 
 
+def test_all_buckets_of_the_random_encoder_keep_the_overlap_rule(spark):
+    for e in (E.RandomScalarEncoder(1.0), E.RandomScalarEncoder(1.0, w=9, n=90, seed=3, max_buckets=200)):
+        t = e.table()
+        sets = [set(t[k]) for k in range(e.max_buckets)]
+        for i in range(e.max_buckets):
+            for j in range(i + 1, e.max_buckets):
+                shared = len(sets[i] & sets[j])
+                assert shared == e.w - (j - i) if j - i < e.w else shared <= e.max_overlap
+        got = spark.createDataFrame([(0,), (e.max_buckets - 1,), (77,), (None,)], "b long").select("b", e.bits(F.col("b")).alias("bits")).collect()
+        assert all(r.bits == (t[r.b] if r.b is not None else []) for r in got)
+        assert e.table(radius=3) == {k: t[k] for k in range(e.max_buckets // 2 - 3, e.max_buckets // 2 + 4)}
+    with pytest.raises(ValueError):
+        E.RandomScalarEncoder(1.0, w=21, n=127).sequence()
+
+
 def test_random_bits_and_categories(spark):
     a, b, again = one(spark, E.random_bits(F.lit("a"), 21, 400), E.random_bits(F.lit("b"), 21, 400), E.random_bits(F.lit("a"), 21, 400))
     assert a == again != b and len(set(a)) == 21 and max(a) < 400 and a == sorted(a)

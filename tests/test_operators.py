@@ -213,3 +213,32 @@ def test_observed_memory_learns_like_the_plain_one():
 def test_changed_inference_kinds():
     with pytest.raises(ValueError):
         M.is_temporal("Anything")
+
+
+@pytest.mark.parametrize("limits", [(65_536, 4096), (7, 2), (1000, 3)])
+def test_packed_postings_give_the_winners_of_the_plain_join(spark, monkeypatch, limits):
+    monkeypatch.setattr(C, "GROUP_COLUMNS", limits[0])
+    monkeypatch.setattr(C, "POSTING_COLUMNS", limits[1])
+    rng = random.Random(5)
+    bits = spark.createDataFrame([(rng.choice([1, 1, 2, 3, 4, 5, None]), rng.choice([0, 0, 0, *range(20), None])) for _ in range(200)], "rec int, bit int").distinct()
+    connected = spark.createDataFrame([(rng.choice([*range(30), None]), rng.choice([0, 0, *range(20), None])) for _ in range(300)], "col long, bit int").distinct()
+    for winners, stimulus in ((3, 1), (1, 4), (50, 0)):
+        want = C.inhibit(C.overlap_join(bits.where("rec is not null"), connected.where("col is not null")), winners, max(1, stimulus))
+        got = C.top_columns(bits, connected, winners, stimulus)
+        assert sorted(map(tuple, got.select("rec", "col", "overlap", "rank").collect())) == sorted(map(tuple, want.select("rec", "col", "overlap", "rank").collect()))
+    assert C.top_columns(bits.limit(0), connected, 3).count() == 0 == C.top_columns(bits, connected.limit(0), 3).count()
+
+
+def test_a_record_that_spans_batches_is_counted_once(spark):
+    bits = spark.range(0, 30_000, numPartitions=3).select(F.lit(9).alias("rec"), F.col("id").alias("bit")).union(spark.range(5).select(F.lit(10), F.col("id")))
+    connected = spark.range(0, 30_000).select((F.col("id") % 7).alias("col"), F.col("id").alias("bit")).union(spark.range(20_000).select(F.lit(100).cast("long"), F.col("id")))
+    found = sorted(map(tuple, C.top_columns(bits, connected, 2).select("rec", "rank", "col", "overlap").collect()))
+    assert found == [(9, 1, 100, 20_000), (9, 2, 4, 4286), (10, 1, 100, 5), (10, 2, 4, 1)]
+
+
+def test_cells_of_sequences(spark):
+    rows = [("a", 1), ("a", 1), ("a", 64), ("a", -1), ("b", 1), ("b", 64), ("b", 200), ("c", 200), ("d", None), (None, 1)]
+    df = spark.createDataFrame(rows, "sequence string, cell long")
+    assert sorted(map(tuple, C.shared_cells(df).collect())) == [("a", "b", 2), ("b", "c", 1)]
+    assert {r.sequence: r.n_cells for r in C.cells_of_sequences(df).collect()} == {"a": 3, "b": 3, "c": 1, None: 1}
+    assert {r.cell: r.n_sequences for r in C.sequences_of_cells(df).collect()} == {1: 2, 64: 2, -1: 1, 200: 2}

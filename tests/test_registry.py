@@ -50,6 +50,19 @@ def test_patterns_that_are_learned_lie_apart(spark):
         assert sorted(r.id for r in N.learn(rows, distance_threshold=least).collect()) == kept
 
 
+def test_long_chains_of_patterns_are_decided_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "ROUNDS", 2)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.arange(60.0), rng.integers(0, 90, 60).astype(float)])
+    kept = []
+    for i, v in enumerate(x):
+        if all(abs(v - x[j]) >= 2.0 for j in kept):
+            kept.append(i)
+    rows = spark.createDataFrame([(i, [float(v)], 0) for i, v in enumerate(x)], "id long, x array<double>, category int")
+    assert sorted(r.id for r in N.learn(rows, distance_threshold=2.0).collect()) == kept
+
+
 def test_inputs_modes_and_classifiers_by_name(spark):
     rows = spark.createDataFrame([("1, 0,1", [5, 2], {"a": "b"}, 1.0)], "t string, s array<int>, m map<string,string>, d double")
     r = rows.select(*[network.as_input(rows, c).alias(c) for c in ("t", "s", "m")]).first()
