@@ -72,12 +72,12 @@ def metric_transitions(spark, sf) -> DataFrame:
 _TRANSITIONS = """WITH n AS (SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 g AS (SELECT user_id AS key, min(value) AS low, max(CASE WHEN user_id % 2 = 0 THEN value ELSE 0 END) AS high FROM events WHERE user_id % 3 = 0 GROUP BY 1),
 t AS (
-  SELECT key, 0 AS record, NULL AS ts, 0 AS at, CASE WHEN low >= high THEN 'error' ELSE 'create_pending' END AS after FROM g
+  SELECT key, 0 AS record, NULL AS ts, 0 AS nth, CASE WHEN low >= high THEN 'error' ELSE 'create_pending' END AS after FROM g
   UNION ALL SELECT key, 1, ts, 1, 'active' FROM n JOIN g USING (key) WHERE r = 1 AND low < high
   UNION ALL SELECT key, 1, ts, 0, 'pending_data' FROM n WHERE r = 1 AND key % 3 <> 0
-  UNION ALL SELECT key, 25, ts, x.at, x.after FROM n, (VALUES (0, 'create_pending'), (1, 'active')) x(at, after) WHERE r = 25 AND key % 3 <> 0
+  UNION ALL SELECT key, 25, ts, x.nth, x.after FROM n, (VALUES (0, 'create_pending'), (1, 'active')) x(nth, after) WHERE r = 25 AND key % 3 <> 0
 )
-SELECT key, row_number() OVER w - 1 AS step, CAST(record AS BIGINT) AS record, ts, coalesce(lag(after) OVER w, 'unmonitored') AS before, after FROM t WINDOW w AS (PARTITION BY key ORDER BY record, at)"""
+SELECT key, row_number() OVER w - 1 AS step, CAST(record AS BIGINT) AS record, ts, coalesce(lag(after) OVER w, 'unmonitored') AS before, after FROM t WINDOW w AS (PARTITION BY key ORDER BY record, nth)"""
 
 
 def csv_custom_rows(spark, sf) -> DataFrame:
