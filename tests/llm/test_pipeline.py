@@ -71,3 +71,16 @@ def test_run_is_the_stages_in_order(spark, sf, empty_dir):
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 1024 and len(fill) <= 1.01 * sum(fill.values()) / 1024 + 1
     assert P.run(spark, empty_dir).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, odd):
+    names = ["__key", "__found", "row", "key", "found", "masked", "stays", "a.b", "back`tick", "id"]
+    docs = odd.select("*", *[F.struct(F.lit(i).alias("x")).alias(n) for i, n in enumerate(names)])
+    plain = {name: sorted(map(tuple, stage(spark, odd, sf).collect()), key=str) for name, stage in P.STAGES[:3]}
+    for name, stage in P.STAGES[:3]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns and dict(kept.dtypes) == dict(docs.dtypes)
+        rows = kept.collect()
+        assert sorted((tuple(r)[:5] for r in rows), key=str) == plain[name]
+        assert all(tuple(r)[5:] == tuple((i,) for i in range(len(names))) for r in rows)
+    assert P.pack_sequences(spark, docs, sf).count() == P.pack_sequences(spark, odd, sf).count()
