@@ -139,12 +139,20 @@ def usable(column: Column) -> Column:
 
 
 def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
-    """floor(SCALE * x) of all components, as doubles, which hold it exactly; shorter vectors end in zeros."""
+    """floor(SCALE * x) of all components, as doubles, which hold it exactly, or as whole numbers where some are too large; shorter vectors end in zeros."""
     lists = vectors.combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(lists), width))
-    out[np.arange(width)[None, :] < sizes[:, None]] = np.floor(lists.flatten().to_numpy().astype(np.float64) * SCALE)
+    held = np.arange(width)[None, :] < sizes[:, None]
+    x = lists.flatten().to_numpy().astype(np.float64)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(x * SCALE)
+    large = np.flatnonzero(~np.isfinite(scaled))
+    if len(large):  # beyond a double's range, where x is whole
+        out, scaled = out.astype(object), scaled.astype(object)
+        scaled[large] = [int(v) * SCALE for v in x[large]]
+    out[held] = scaled
     return out
 
 

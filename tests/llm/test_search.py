@@ -57,7 +57,7 @@ def test_odd_vectors(spark):
 
 def test_components_of_any_size_take_part(spark):
     schema = "vec_id long, embedding array<double>"
-    values = [(0, [1.0, 2.0]), (1, [70000.0, 0.0]), (2, [-70000.5, 1.0]), (3, [3.0, 3.0]), (4, [1e25, 1.0]), (5, [-1e300, 0.0]), (50, [1e9, 1e9]), (100, [1e25, -1.0])]
+    values = [(0, [1.0, 2.0]), (1, [70000.0, 0.0]), (2, [-70000.5, 1.0]), (3, [3.0, 3.0]), (4, [1e25, 1.0]), (5, [-1e300, 0.0]), (50, [1e9, 1e9]), (6, [1.7e308, -1.0]), (150, [1.7e308, 3.0]), (7, [-8.5e307, 1.0]), (100, [1e25, -1.0])]
     got = sorted(map(tuple, S.top_k(spark.createDataFrame(values, schema), F.col("vec_id") % 50 == 0, 5).collect()))
     whole = [(i, [floor(Fraction(x) * 256) for x in v]) for i, v in values]
     want = []
