@@ -115,6 +115,16 @@ class ScalarEncoder:
         return F.concat_ws(", ", F.transform(self.runs(bits), lambda r: F.when(r.low == r.high, number(r.low)).otherwise(F.concat_ws("-", number(r.low), number(r.high)))))
 
 
+def settings(low: Column, high: Column, w: int, n: int) -> Column:
+    """What follows from a range by rows, as a struct of an encoder's settings: fractions in millionths; equal bounds are one apart."""
+    top = F.when(high == low, low + 1).otherwise(high)
+    millionths = lambda x: F.floor(x * 1_000_000 + 0.5).cast("bigint")
+    return F.struct(
+        F.lit(w).alias("w"), F.lit(n).alias("n"), F.lit((w - 1) // 2).alias("padding"), millionths(low).alias("low_e6"), millionths(top).alias("high_e6"),
+        millionths((top - low) / (n - w)).alias("resolution_e6"), F.lit(False).alias("periodic"),
+    )
+
+
 @dataclass(frozen=True)
 class LogEncoder:
     """A scalar encoder of log10 of the clipped value."""
@@ -233,9 +243,26 @@ def random_bits(key: Column, w: int, n: int, seed: int = 42) -> Column:
     return F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, w), lambda s: s.i))
 
 
+def least_match(w: int, n: int) -> int:
+    """How many bits two random encodings share at least if they agree by more than chance."""
+    return max((w * w // n + w) // 2, w - 3)
+
+
 def category_match(a: Column, b: Column, w: int, n: int) -> Column:
     """Whether two random encodings agree by more than chance."""
-    return overlap(a, b) >= max((w * w // n + w) // 2, w - 3)
+    return overlap(a, b) >= least_match(w, n)
+
+
+def categories_of(rows: DataFrame, bits: str, known: DataFrame, w: int, n: int) -> DataFrame:
+    """rows plus category: every one of known(category, bits) that a row's bits agree with by more than chance.
+
+    Different encodings are decoded once, and meet the known ones by the bits that they share.
+    """
+    asked = rows.select(F.col(bits).alias("__bits")).distinct()
+    held = known.select("category", F.explode("bits").alias("__bit"))
+    met = asked.select("__bits", F.explode("__bits").alias("__bit")).join(held, "__bit").groupBy("__bits", "category").agg(F.count(F.lit(1)).alias("__n"))
+    found = met.where(F.col("__n") >= least_match(w, n)).select("__bits", "category")
+    return rows.join(found, F.col(bits) == F.col("__bits")).drop("__bits")
 
 
 # -- dates -----------------------------------------------------------------------------------------------------------
@@ -319,12 +346,17 @@ def radius_for_speed(speed: Column, timestep: float, scale: float, w: int) -> Co
     return F.greatest(F.ceil(speed * timestep / scale * 1.5 / 2), F.lit(math.ceil((math.sqrt(w) - 1) / 2))).cast("int")
 
 
+def portable_hash(seed: int, *keys: Column) -> Column:
+    """48 bits of the MD5 of a seed and keys, as a whole number: the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])), 1, 12), 16, 10).cast("bigint")
+
+
 def coordinate_bits(x: Column, y: Column, radius: Column, w: int, n: int, seed: int = 42, order=None) -> Column:
     """The w neighbours in the box around (x, y) that hash highest, each mapped to a bit; order(x, y) may replace the hash."""
-    order = order or (lambda a, b: F.xxhash64(F.lit(seed), a, b))
+    order = order or (lambda a, b: portable_hash(seed, a, b))
     axis = lambda c: F.sequence(c - radius, c + radius)
     box = F.flatten(F.transform(axis(x), lambda a: F.transform(axis(y), lambda b: F.struct((-F.pmod(order(a, b), F.lit(2**62))).alias("o"), a.alias("x"), b.alias("y")))))
-    return F.array_sort(F.array_distinct(F.transform(F.slice(F.array_sort(box), 1, w), lambda s: F.pmod(F.xxhash64(F.lit(seed + 1), s.x, s.y), F.lit(n)).cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(F.slice(F.array_sort(box), 1, w), lambda s: F.pmod(portable_hash(seed + 1, s.x, s.y), F.lit(n)).cast("int"))))
 
 
 def geo_bits(lon: Column, lat: Column, speed: Column, w: int, n: int, scale: float = 30.0, timestep: float = 60.0, seed: int = 42) -> Column:

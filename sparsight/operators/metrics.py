@@ -49,6 +49,11 @@ def is_temporal(kind: str) -> bool:
     return kind in TEMPORAL
 
 
+def shifted(kind: Column) -> Column:
+    """Whether inferences of a kind are shifted before they are held against the truth; null for unknown kinds."""
+    return F.when(kind.isin(*KINDS), kind.isin(*TEMPORAL))
+
+
 def label(name: str, element: str, field: str, **params) -> str:
     return ":".join([element, name, *(f"{k}={params[k]}" for k in sorted(params)), f"field={field}"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import encoders as E
 from ..operators import metrics as M
 from ..operators import neighbours as N
 from ..operators import ordered as O
@@ -80,6 +81,33 @@ t AS (
 SELECT key, row_number() OVER w - 1 AS step, CAST(record AS BIGINT) AS record, ts, coalesce(lag(after) OVER w, 'unmonitored') AS before, after FROM t WINDOW w AS (PARTITION BY key ORDER BY record, nth)"""
 
 
+def typed_values(spark, sf) -> DataFrame:
+    """Orders' values as text of several kinds, read as what they are: numbers (none where there is no number), flags, lists, places."""
+    key = F.col("o_orderkey")
+    words = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (key % len(xs) + 1).cast("int"))
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(key % 4 > 0, F.concat(F.lit(" "), F.col("o_totalprice").cast("string"))).otherwise("none").alias("number"), words("True", "0", " t", "no", "1.0").alias("flag"),
+        F.concat(F.lit("[1, "), key.cast("string"), F.lit(",x]")).alias("list"), F.concat_ws("; ", (key % 90).cast("string"), F.lit("-7.5"), F.lit("2")).alias("place"),
+    )
+    read = rows.select("o_orderkey", *[R.decode(F.col(c), kind).alias(c) for c, kind in (("number", "float"), ("flag", "boolean"), ("list", "sarr"), ("place", "geo"))])
+    return read.select("o_orderkey", fixed(F.nanvl("number", F.lit(None))).alias("number_e6"), F.col("flag").cast("int").alias("flag"), F.concat_ws(",", F.transform("list", lambda x: F.coalesce(x.cast("string"), F.lit("?")))).alias("list"), fixed(F.get("place", F.lit(0)) + F.get("place", F.lit(1))).alias("place_e6"))
+
+
+_TYPED_VALUES = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN {fixed_sql('o_totalprice')} END AS number_e6, [1, 0, 1, 0, 1][o_orderkey % 5 + 1] AS flag,
+  '1,' || CASE WHEN o_orderkey <= 2147483647 THEN CAST(o_orderkey AS VARCHAR) ELSE '?' END || ',?' AS list, {fixed_sql('CAST(o_orderkey % 90 AS DOUBLE) - 7.5')} AS place_e6 FROM orders"""
+
+
+def encoder_settings(spark, sf) -> DataFrame:
+    """The settings of every user's own scalar encoder, as JSON: its range widened by a deviation, and what follows from it."""
+    low, high = S.value_range(F.col("value"), 1.0)
+    ranges = table(spark, sf, "events").groupBy("user_id").agg(low.alias("low"), high.alias("high"))
+    return ranges.select("user_id", F.to_json(E.settings(F.col("low"), F.col("high"), 21, 421)).alias("settings"))
+
+
+_SETTINGS = f"""WITH r AS (SELECT user_id, min(value) - stddev_pop(value) AS low, max(value) + stddev_pop(value) AS top FROM events GROUP BY 1), s AS (SELECT user_id, low, CASE WHEN top = low THEN low + 1 ELSE top END AS high FROM r)
+SELECT user_id, '{{"w":21,"n":421,"padding":10,"low_e6":' || {fixed_sql('low')} || ',"high_e6":' || {fixed_sql('high')} || ',"resolution_e6":' || {fixed_sql('(high - low) / 400')} || ',"periodic":false}}' AS settings FROM s"""
+
+
 def csv_custom_rows(spark, sf) -> DataFrame:
     """Lines of another shape, split by the caller's own function."""
     rows = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("at"), F.concat_ws(" | ", "n_regionkey", "n_name").alias("line"))
@@ -89,9 +117,16 @@ def csv_custom_rows(spark, sf) -> DataFrame:
 
 
 def header_flags(spark, sf) -> DataFrame:
-    """The fields, types and flags of headers, and what a mapper makes of them."""
-    header = R.Header.parse(["key,name,balance,since", "int,char,real,datetime,geo", "S,,,T,C"])
-    return spark.createDataFrame(list(zip(range(5), header.names, header.kinds, header.flags)), "position int, name string, kind string, flag string")
+    """Parts as fields of headers: type names and flags as they may be written, and what they stand for."""
+    name = F.element_at(F.array(*map(F.lit, _TYPED)), (F.col("p_partkey") % len(_TYPED) + 1).cast("int"))
+    mark = F.element_at(F.array(*map(F.lit, _MARKED)), (F.col("p_size") % len(_MARKED) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", R.kind_of(name).alias("kind"), R.flag_of(mark).alias("flag"))
+
+
+_TYPED = [" Int", "char", "real", "datetime2", "geo", "sarr", "Bool", "list", "nonesuch"]
+_MARKED = ["S", "", "t", "reset", " C ", "x", "L"]
+_HEADER_FLAGS = """SELECT p_partkey, ['int', 'string', 'float', 'timestamp', 'geo', 'sarr', 'boolean', 'string', 'float'][p_partkey % 9 + 1] AS kind,
+  ['sequence', '', 'timestamp', 'reset', 'category', '', 'learn'][p_size % 7 + 1] AS flag FROM part"""
 
 
 def image_tags(spark, sf) -> DataFrame:
@@ -111,7 +146,8 @@ def metric_configuration(spark, sf) -> DataFrame:
 
 
 def sine_wave(spark, sf) -> DataFrame:
-    return R.read(spark, "sine", n=1000, rate=250.0, frequency=3.0, amplitude=5.0).select("rec_no", fixed(F.col("value")).alias("value_e6"))
+    """The wave at every customer's key."""
+    return table(spark, sf, "customer").select("c_custkey", fixed(R.sine_of(F.col("c_custkey"), 250.0, 3.0, 5.0)).alias("value_e6"))
 
 
 # -- layers ------------------------------------------------------------------------------------------------------------
@@ -240,13 +276,19 @@ def combinations_of_types(spark, sf) -> DataFrame:
 
 
 def grid_points(spark, sf) -> DataFrame:
-    """All settings that two lists of values allow."""
-    cells = search.grid(a=[1, 2, 5], b=["x", "y"])
-    return spark.createDataFrame([(c["a"], c["b"]) for c in cells], "a int, b string")
+    """All combinations of sizes and types that the parts of a brand have."""
+    values = table(spark, sf, "part").groupBy("p_brand").agg(F.collect_set("p_size").alias("sizes"), F.collect_set("p_type").alias("types"))
+    return search.grids(values, "p_brand", size=F.col("sizes"), kind=F.col("types"))
 
 
 def grid_search_errors(spark, sf) -> DataFrame:
-    return search.grid_search(spark, lambda c: float((c["a"] - 3) ** 2 + c["b"]), a=[1, 3, 4], b=[0, 10])
+    """The mean error of lines through the events, for every slope and offset of a grid."""
+    off = lambda c: F.abs(F.floor("value") - c["slope"] * (F.col("event_id") % 50) - c["offset"])
+    return search.grid_errors(table(spark, sf, "events"), off, slope=[1, 3, 4], offset=[0, 10]).select("settings", fixed(F.col("error")).alias("error_e6"))
+
+
+_GRID_ERRORS = f"""SELECT 'offset=' || o || ',slope=' || s AS settings, {fixed_sql("avg(abs(floor(value) - s * (event_id % 50) - o))")} AS error_e6
+FROM events, (VALUES (1), (3), (4)) a(s), (VALUES (0), (10)) b(o) GROUP BY s, o"""
 
 
 def model_error_scores(spark, sf) -> DataFrame:
@@ -303,8 +345,9 @@ UNION ALL SELECT event_type, 'encoding:aae:field=value', {fixed_sql("avg(abs(val
 
 
 def inference_kinds(spark, sf) -> DataFrame:
-    """Which inferences are shifted before they are held against the truth."""
-    return spark.createDataFrame([(k, M.is_temporal(k)) for k in M.KINDS], "kind string, shifted boolean")
+    """Events as inferences of several kinds: which are shifted before they are held against the truth."""
+    kind = F.element_at(F.array(*map(F.lit, [*M.KINDS, "unknown"])), (F.col("event_id") % (len(M.KINDS) + 1) + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", M.shifted(kind).alias("shifted"))
 
 
 def stored_metrics(spark, sf) -> DataFrame:
@@ -336,18 +379,20 @@ SELECT * FROM k UNION ALL SELECT params, min(model) FROM p WHERE model > 50 AND
 
 QUERIES = {
     "metrics_manager": (metrics_manager, _MANAGER),
-    "inference_kinds": (inference_kinds, "SELECT * FROM (VALUES ('None', false), ('TemporalNextStep', true), ('TemporalClassification', true), ('NontemporalClassification', false), ('TemporalAnomaly', true), ('NontemporalAnomaly', false), ('TemporalMultiStep', true), ('NontemporalMultiStep', true), ('MultiStep', false)) v(kind, shifted)"),
+    "inference_kinds": (inference_kinds, "SELECT event_id, [false, true, true, false, true, false, true, true, false, NULL][event_id % 10 + 1] AS shifted FROM events"),
     "stored_metrics": (stored_metrics, _STORED),
     "adopted_models": (adopted_models, _ADOPTED),
     "csv_records": (csv_records, _CSV),
     "observed_records": (observed_records, f"SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS rec_no, c_custkey AS key, c_name AS name, {fixed_sql('c_acctbal')} AS balance_e6 FROM customer"),
     "key_ranges": (key_ranges, "WITH k AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1), u AS (SELECT k, n, sum(n) OVER (ORDER BY k) AS upto, sum(n) OVER () AS total FROM k) SELECT CAST((upto - n) * 8 // total AS BIGINT) AS part, min(k) AS low, max(k) AS high, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY 1"),
     "metric_transitions": (metric_transitions, _TRANSITIONS),
+    "typed_values": (typed_values, _TYPED_VALUES),
+    "encoder_settings": (encoder_settings, _SETTINGS),
     "csv_custom_rows": (csv_custom_rows, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rec_no, CAST(n_regionkey AS BIGINT) AS region, n_name AS name FROM nation"),
-    "header_flags": (header_flags, "SELECT CAST(column0 AS INT) AS position, column1 AS name, column2 AS kind, column3 AS flag FROM (VALUES (0, 'key', 'int', 'sequence'), (1, 'name', 'string', ''), (2, 'balance', 'float', ''), (3, 'since', 'timestamp', 'timestamp'), (4, 'category', 'geo', 'category')) t(column0, column1, column2, column3)"),
+    "header_flags": (header_flags, _HEADER_FLAGS),
     "image_tags": (image_tags, "SELECT 'img/' || p_partkey || '.png' AS file, p_brand AS tag FROM part"),
     "metric_configuration": (metric_configuration, "SELECT n_name AS resource, 'size' AS metric, '{\"min\": ' || n_regionkey || '}' AS settings FROM nation UNION ALL SELECT n_name, 'volume', '{\"unit\": \"' || n_name || '\"}' FROM nation"),
-    "sine_wave": (sine_wave, f"SELECT range AS rec_no, {fixed_sql('round(5.0 * sin(2 * pi() * 3.0 * range / 250.0), 2)')} AS value_e6 FROM range(1000)"),
+    "sine_wave": (sine_wave, f"SELECT c_custkey, {fixed_sql('round(5.0 * sin(2 * pi() * 3.0 * c_custkey / 250.0), 2)')} AS value_e6 FROM customer"),
     "layer_chain": (layer_chain, f"WITH {_NUMBERED} SELECT event_id, rec_no, {fixed_sql('value / 2')} AS half_e6 FROM n WHERE rec_no >= 50 AND event_type = 'click'"),
     "region_chain": (region_chain, "SELECT user_id, CAST(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY 1 HAVING sum(floor(value)) > 500"),
     "resume_records": (resume_records, f"WITH {_NUMBERED} SELECT rec_no, event_id, 300 AS until FROM n WHERE rec_no >= 300"),
@@ -361,8 +406,8 @@ QUERIES = {
     "knn_closest_of_category": (knn_closest_of_category, f"WITH {_DISTANCES} SELECT q AS query_id, p AS proto_id FROM d WHERE label = 2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, p) = 1"),
     "knn_learn_apart": (knn_learn_apart, _APART),
     "combinations_of_types": (combinations_of_types, "WITH k AS (SELECT DISTINCT event_type AS t FROM events) SELECT concat_ws(',', a.t, b.t) AS kinds FROM k a JOIN k b ON b.t > a.t UNION ALL SELECT concat_ws(',', a.t, b.t, c.t) FROM k a JOIN k b ON b.t > a.t JOIN k c ON c.t > b.t"),
-    "grid_points": (grid_points, "SELECT a.a, b.b FROM (VALUES (1), (2), (5)) a(a), (VALUES ('x'), ('y')) b(b)"),
-    "grid_search_errors": (grid_search_errors, "SELECT '[(''a'', ' || a.a || '), (''b'', ' || b.b || ')]' AS settings, CAST((a.a - 3) * (a.a - 3) + b.b AS DOUBLE) AS error FROM (VALUES (1), (3), (4)) a(a), (VALUES (0), (10)) b(b)"),
+    "grid_points": (grid_points, "SELECT DISTINCT a.p_brand, a.p_size AS size, b.p_type AS kind FROM part a JOIN part b USING (p_brand)"),
+    "grid_search_errors": (grid_search_errors, _GRID_ERRORS),
     "model_error_scores": (model_error_scores, f"SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 < 2 THEN {fixed_sql('s_acctbal')} END AS least_e6, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 < 2 THEN {fixed_sql('-s_acctbal')} END AS most_e6 FROM supplier"),
     "results_database": (results_database, _RESULTS),
     "search_report": (search_report, "SELECT n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"),

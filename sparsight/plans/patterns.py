@@ -286,16 +286,59 @@ def radius_for_speed(spark, sf) -> DataFrame:
 
 
 def coordinate_bits(spark, sf) -> DataFrame:
-    """No SQL: DuckDB lacks the hash. Tests hold it to width, range and overlap of neighbours."""
     bits = E.coordinate_bits((F.col("c_custkey") % 100).cast("bigint"), F.floor(F.col("c_custkey") / 100).cast("bigint"), F.lit(2).cast("bigint"), 21, 1000)
     return _places(spark, sf).select("c_custkey", text(bits).alias("bits"))
 
 
 def geo_bits(spark, sf) -> DataFrame:
-    """No SQL, as for coordinates."""
     return _places(spark, sf).select("c_custkey", text(E.geo_bits(F.col("lon"), F.col("lat"), F.col("speed") / 10, 21, 1000)).alias("bits"))
 
 
+def _coordinate_sql(places: str, w: int, n: int) -> str:
+    """Bits of places(key, x, y, radius): the cells around with the highest hashes, each hashed to a bit."""
+    hashed = lambda seed: f"CAST('0x' || substr(md5(concat_ws(':', {seed}, x, y)), 1, 12) AS BIGINT)"
+    return f"""cells AS (SELECT key, x + i AS x, y + j AS y FROM (SELECT *, unnest(range(-radius, radius + 1)) AS i FROM ({places})) p, unnest(range(-radius, radius + 1)) r(j)),
+best AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY key ORDER BY {hashed(42)} DESC, x, y) <= {w}),
+bits AS (SELECT DISTINCT key, {hashed(43)} % {n} AS bit FROM best)"""
+
+
+_GEO = f"SELECT c_custkey AS key, CAST(floor({_MERCATOR[0]} / 30) AS BIGINT) AS x, CAST(floor({_MERCATOR[1]} / 30) AS BIGINT) AS y, CAST(greatest(ceil(speed / 10 * 60 / 30 * 1.5 / 2), ceil((sqrt(21) - 1) / 2)) AS BIGINT) AS radius FROM {_PLACES}"
+_GRID = "SELECT c_custkey AS key, c_custkey % 100 AS x, c_custkey // 100 AS y, 2::BIGINT AS radius FROM customer"
+_BITS = "SELECT key AS c_custkey, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM bits GROUP BY key"
+
+
+def record_places(spark, sf) -> DataFrame:
+    """Records of several fields through the registry: a place on a grid, a place on the earth with a speed, and the step of a balance."""
+    fields = [
+        E.Field("grid", "coordinate", "x,y", (("radius", 2), ("w", 21), ("n", 1000))),
+        E.Field("place", "geospatial", "lon,lat,speed", (("w", 21), ("n", 1000))),
+        E.Field("step", "delta", "step", (("w", 21), ("low", -1000), ("high", 1000), ("n", 421))),
+    ]
+    bits, width = E.record_bits(fields)
+    where = _places(spark, sf).select("c_custkey", "lon", "lat", (F.col("speed") / 10).alias("speed"), (F.col("c_custkey") % 100).alias("x"), F.floor(F.col("c_custkey") / 100).alias("y"))
+    balance = table(spark, sf, "customer").select(F.col("c_custkey"), F.col("c_acctbal").alias("now"))
+    before = balance.select((F.col("c_custkey") + 1).alias("c_custkey"), F.col("now").alias("before"))
+    steps = balance.join(before, "c_custkey", "left").select("c_custkey", E.delta(F.col("now"), F.col("before")).alias("step"))
+    return where.join(steps, "c_custkey").select("c_custkey", F.lit(width).alias("width"), text(F.array_sort(bits)).alias("bits"))
+
+
+_STEP = E.ScalarEncoder.of(21, -1000, 1000, n=421)
+_RECORD_PLACES = f"""WITH g AS (WITH {_coordinate_sql(_GRID, 21, 1000)} SELECT * FROM bits), p AS (WITH {_coordinate_sql(_GEO, 21, 1000)} SELECT * FROM bits),
+s AS (SELECT c.c_custkey AS key, c.c_acctbal - coalesce(b.c_acctbal, c.c_acctbal) AS d FROM customer c LEFT JOIN customer b ON b.c_custkey + 1 = c.c_custkey),
+f AS (SELECT key, CAST(trunc((greatest(-1000.0, least(1000.0, d)) + 1000.0 + {_STEP.resolution!r} / 2) / {_STEP.resolution!r}) AS BIGINT) AS b FROM s),
+u AS (SELECT key, bit FROM g UNION ALL SELECT key, bit + 1000 FROM p UNION ALL SELECT key, unnest(range(b, b + 21)) + 2000 FROM f)
+SELECT key AS c_custkey, 2421 AS width, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM u GROUP BY key"""
+
+
+def pattern_moments(spark, sf) -> DataFrame:
+    """What the principal axes rest on: each coordinate's sum and the sums of its products with the later ones."""
+    at = F.posexplode("x").alias("i", "v")
+    rows = _patterns(spark, sf).select("id", "x", at)
+    products = F.transform("x", lambda y, j: F.when(j >= F.col("i"), F.col("v") * y).otherwise(0.0))
+    sums = rows.select("i", "v", F.posexplode(products).alias("j", "p")).where("j >= i").groupBy("i", "j").agg(F.sum("v").cast("bigint").alias("total"), F.sum("p").cast("bigint").alias("product"))
+    return sums.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "total", "product")
+
+
 def pca_project(spark, sf) -> DataFrame:
     """Patterns on the two main axes of all patterns; signs of axes are free, so there is no SQL."""
     rows = _patterns(spark, sf)
@@ -341,7 +384,9 @@ QUERIES = {
     "mercator": (mercator, f"SELECT c_custkey, CAST(floor({_MERCATOR[0]} * 10 + 0.5) AS BIGINT) AS x_e1, CAST(floor({_MERCATOR[1]} * 10 + 0.5) AS BIGINT) AS y_e1 FROM {_PLACES}"),
     "inverse_mercator": (inverse_mercator, f"SELECT c_custkey, {fixed_sql('lon')} AS lon_e6, {fixed_sql('lat')} AS lat_e6 FROM {_PLACES}"),
     "radius_for_speed": (radius_for_speed, f"SELECT c_custkey, CAST(greatest(ceil(speed * 60 / 30 * 1.5 / 2), ceil((sqrt(21) - 1) / 2)) AS INT) AS radius FROM {_PLACES}"),
-    "coordinate_bits": (coordinate_bits, None),
-    "geo_bits": (geo_bits, None),
+    "coordinate_bits": (coordinate_bits, f"WITH {_coordinate_sql(_GRID, 21, 1000)} {_BITS}"),
+    "geo_bits": (geo_bits, f"WITH {_coordinate_sql(_GEO, 21, 1000)} {_BITS}"),
+    "record_places": (record_places, _RECORD_PLACES),
+    "pattern_moments": (pattern_moments, f"WITH e AS (SELECT id, x, unnest(range({DIMS})) AS i FROM {_P}) SELECT i, j, CAST(sum(x[i + 1]) AS BIGINT) AS total, CAST(sum(x[i + 1] * x[j + 1]) AS BIGINT) AS product FROM e, range({DIMS}) r(j) WHERE j >= i GROUP BY i, j"),
     "pca_project": (pca_project, None),
 }

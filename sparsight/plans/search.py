@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the swarm: inertia, pull to the own best, pull to the swarm's best, range of the random factors.
@@ -178,6 +178,22 @@ def grid(**values) -> list[dict]:
     return [dict(zip(values, row)) for row in itertools.product(*values.values())]
 
 
+def grids(rows: DataFrame, key: str, **values: Column) -> DataFrame:
+    """key and a column for each name: every combination of the settings' values, arrays of a row, as rows of that key."""
+    out = rows.select(key, *[v.alias(f"__{name}") for name, v in values.items()])
+    for name in values:
+        out = out.withColumn(name, F.explode(f"__{name}")).drop(f"__{name}")
+    return out
+
+
+def grid_errors(rows: DataFrame, error: Callable[[dict], Column], **values) -> DataFrame:
+    """settings, error: the mean error over rows of every combination of settings, all in one pass; their number is the grid's."""
+    cells = grid(**values)
+    found = rows.agg(*[F.avg(error(c)).alias(f"e{k}") for k, c in enumerate(cells)])
+    listed = F.array(*[F.struct(F.lit(",".join(f"{n}={c[n]}" for n in sorted(c))).alias("settings"), F.col(f"e{k}").alias("error")) for k, c in enumerate(cells)])
+    return found.select(F.explode(listed).alias("s")).select("s.settings", "s.error")
+
+
 def grid_search(spark: SparkSession, error: Callable[[dict], float], **values) -> DataFrame:
     cells = grid(**values)
     return spark.createDataFrame([(str(sorted(c.items())), e) for c, e in zip(cells, evaluate(spark, cells, error))], "settings string, error double")
@@ -279,8 +295,13 @@ def results_by_generation(reports: DataFrame) -> DataFrame:
 
 
 def useless(swarms: DataFrame, least_gain: float) -> DataFrame:
-    """fields, error, useless: combinations of fields that gain less than so many per cent on the best of their parts. Few rows: one a combination tried."""
-    parts = swarms.select(F.col("fields").alias("__part"), F.col("error").alias("__before"))
-    held = (F.size("fields") > F.size("__part")) & (F.size(F.array_except("__part", "fields")) == 0)
-    best = swarms.join(F.broadcast(parts), held, "left").groupBy("fields", "error").agg(F.min("__before").alias("__before"))
+    """fields, error, useless: combinations of fields that gain less than so many per cent on the best of their parts.
+
+    Fields are different ones. Combinations meet by the fields that they share; a part is one that shares all it has.
+    """
+    named = swarms.select("fields", F.explode("fields").alias("__field"))
+    parts = swarms.select(F.col("fields").alias("__part"), F.col("error").alias("__before"), F.explode("fields").alias("__field"))
+    met = named.join(parts, "__field").where(F.size("fields") > F.size("__part")).groupBy("fields", "__part", "__before").agg(F.count(F.lit(1)).alias("__n"))
+    least = met.where(F.col("__n") == F.size("__part")).groupBy("fields").agg(F.min("__before").alias("__before"))
+    best = swarms.join(least, "fields", "left")
     return best.select("fields", "error", F.coalesce((F.col("__before") - F.col("error")) * 100 < least_gain * F.col("__before"), F.lit(False)).alias("useless"))

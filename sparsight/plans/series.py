@@ -177,16 +177,16 @@ def multi_encode_offsets(spark, sf) -> DataFrame:
 
 def category_bucket(spark, sf) -> DataFrame:
     """Categories numbered by name; 0 stays for the unknown."""
-    known = table(spark, sf, "part").select("p_brand").distinct().withColumn("bucket", F.row_number().over(Window.orderBy("p_brand")))  # one row a brand
-    return table(spark, sf, "part").join(F.broadcast(known), "p_brand", "left").select("p_partkey", F.coalesce("bucket", F.lit(0)).cast("bigint").alias("bucket"))
+    brands = table(spark, sf, "part").select("p_brand").where(F.col("p_brand").isNotNull()).distinct()
+    known = U.numbered(brands, [], ["p_brand"], "i").select("p_brand", (F.col("i") + 1).alias("bucket"))
+    return table(spark, sf, "part").join(known, "p_brand", "left").select("p_partkey", F.coalesce("bucket", F.lit(0)).cast("bigint").alias("bucket"))
 
 
 def category_decode(spark, sf) -> DataFrame:
     """Every event type's random encoding finds its own category again by overlap."""
-    kinds = events(spark, sf).select("event_type").distinct().withColumn("bits", E.random_bits(F.col("event_type"), 21, 400))
+    kinds = events(spark, sf).select(F.col("event_type").alias("category")).distinct().withColumn("bits", E.random_bits(F.col("category"), 21, 400))
     rows = events(spark, sf).select("event_id", E.random_bits(F.col("event_type"), 21, 400).alias("bits"))
-    scored = rows.join(F.broadcast(kinds.withColumnRenamed("bits", "held")), E.category_match(F.col("bits"), F.col("held"), 21, 400))
-    return scored.select("event_id", F.col("event_type").alias("category"))
+    return E.categories_of(rows, "bits", kinds, 21, 400).select("event_id", "category")
 
 
 def moving_average(spark, sf) -> DataFrame:

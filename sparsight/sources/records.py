@@ -46,6 +46,18 @@ class Header:
         return [n for n, f in zip(self.names, self.flags) if f == flag]
 
 
+def kind_of(name: Column) -> Column:
+    """The kind that a header's type name stands for; float where it is unknown or missing."""
+    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return F.coalesce(F.element_at(known, F.lower(F.trim(name))), F.lit("float"))
+
+
+def flag_of(mark: Column) -> Column:
+    """What a header's flag means; empty where there is none."""
+    known = F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair])
+    return F.coalesce(F.element_at(known, F.upper(F.trim(mark))), F.lit(""))
+
+
 def decode(value: Column, kind: str, formats: tuple[str, ...] = TIME_FORMATS) -> Column:
     """A field's text as its type: numbers and booleans as doubles (NaN where missing), places as three doubles, arrays as ints."""
     value = F.trim(value)
@@ -164,9 +176,14 @@ def metric_configuration(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "resource string, metric string, settings string")
 
 
+def sine_of(i: Column, rate: float, frequency: float = 1.0, amplitude: float = 1.0) -> Column:
+    """amplitude * sin(2 pi f t), two decimals, t = i / rate."""
+    return F.round(amplitude * F.sin(2 * F.pi() * frequency * i / rate), 2)
+
+
 def sine(spark: SparkSession, n: int, rate: float, frequency: float = 1.0, amplitude: float = 1.0) -> DataFrame:
-    """rec_no and amplitude * sin(2 pi f t), two decimals, t = i / rate."""
-    return spark.range(n).select(F.col("id").alias("rec_no"), F.round(amplitude * F.sin(2 * F.pi() * frequency * F.col("id") / rate), 2).alias("value"))
+    """rec_no and the wave's value of n records."""
+    return spark.range(n).select(F.col("id").alias("rec_no"), sine_of(F.col("id"), rate, frequency, amplitude).alias("value"))
 
 
 def patterns(spark: SparkSession, n: int, width: int, w: int, seed: int = 42) -> DataFrame:
@@ -203,7 +220,13 @@ def _even_parts(spark: SparkSession, url: str, table: str, column: str, parts: i
     return even_parts(spark, url, table, column, parts, **options)
 
 
-SOURCES: dict[str, Callable[..., DataFrame]] = {"file": csv_records, "observed": _observed, "database": database, "database parts": _even_parts, "stream": stream_of, "images": image_list, "metrics": metric_configuration, "sine": sine, "patterns": patterns, "sequences": sequences, "clusters": clusters}
+def _twister(spark: SparkSession, seed: int, n: int, **options) -> DataFrame:
+    from .twister import numbers
+
+    return numbers(spark, seed, n, **options)
+
+
+SOURCES: dict[str, Callable[..., DataFrame]] = {"file": csv_records, "observed": _observed, "database": database, "database parts": _even_parts, "twister": _twister, "stream": stream_of, "images": image_list, "metrics": metric_configuration, "sine": sine, "patterns": patterns, "sequences": sequences, "clusters": clusters}
 
 
 def read(spark: SparkSession, kind: str, **options) -> DataFrame:

@@ -85,6 +85,13 @@ def test_random_bits_and_categories(spark):
     assert a == again != b and len(set(a)) == 21 and max(a) < 400 and a == sorted(a)
 
 
+def test_encodings_find_their_categories_by_shared_bits(spark):
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "category string").withColumn("bits", E.random_bits(F.col("category"), 21, 400))
+    rows = known.withColumn("bits", F.slice("bits", 1, 19)).union(known.where("category = 'b'").withColumn("bits", F.slice("bits", 1, 10))).withColumnRenamed("category", "true")
+    found = E.categories_of(rows.union(rows), "bits", known, 21, 400).select("true", "category").collect()
+    assert sorted(map(tuple, found)) == sorted([(x, x) for x in "abc"] * 2)
+
+
 def test_coordinates_share_bits_with_neighbours(spark):
     at = lambda x, y: E.coordinate_bits(F.lit(x), F.lit(y), F.lit(3), 21, 1000)
     here, near, far = one(spark, at(100, 100), at(100, 101), at(500, 500))
