@@ -98,3 +98,32 @@ def sliding_range(rows: DataFrame, keys: list[str], order: list[str], column: st
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__i") == F.col("__for"))
     joined = both.join(back, same, "left")
     return joined.select(*rows.columns, F.least("__low_start", "__low_back").alias("low"), F.greatest("__high_start", "__high_back").alias("high"))
+
+
+def duty_cycles(rows: DataFrame, keys: list[str], order: list[str], column: str, period: int) -> DataFrame:
+    """rows plus duty: after each record of a key, ((p - 1) * duty before + the column) / p, p being the record's number, at most the period.
+
+    So it is the mean of the first `period` records, and a decaying one from then on. A record weighs 1 / period times a
+    power of 1 - 1 / period, so that duties are sums: in blocks of 20 periods along the order, whose weights stay within a
+    double's range, plus what the blocks before leave over; of these the last three count, as less than 1e-17 is left of
+    others. Nulls of the column count as 0. No block's rows are held together, and only one row a block passes on.
+    """
+    decay, size = 1 - 1 / period, 20 * period
+    t = F.col("__i") + 1
+    held = numbered(rows, keys, order, "__i").withColumn("__block", F.floor(F.col("__i") / size))
+    base = F.greatest(F.col("__block") * size, F.lit(period))
+    x = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    if decay == 0:
+        return held.select(*rows.columns, x.alias("duty"))
+    power = lambda e: F.exp(e * float(np.log(decay)))
+    weighted = x / period * power(base - F.greatest(t, F.lit(period)))
+    by = Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    local = held.select("*", F.sum(weighted).over(by).alias("__local"), F.sum(x).over(by).alias("__sum"), base.alias("__base"))
+    ends = held.groupBy(*keys, "__block").agg(F.sum(weighted).alias("__s"), F.first(base).alias("__b"))
+    ends = ends.withColumn("__left", F.col("__s") * power((F.col("__block") + 1) * size - F.col("__b")))
+    earlier = Window.partitionBy(*keys).orderBy("__block")
+    carried = sum((F.coalesce(F.lag("__left", k).over(earlier), F.lit(0.0)) * float(decay ** (size * (k - 1))) for k in (1, 2, 3)), F.lit(0.0))
+    starts = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__block").alias("__at"), carried.alias("__carried"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__block") == F.col("__at"))
+    duty = F.when(t <= period, F.col("__sum") / t).otherwise(F.col("__local") * power(t - F.col("__base")) + F.col("__carried") * power(t - F.col("__block") * size))
+    return local.join(starts, same).select(*rows.columns, duty.alias("duty"))

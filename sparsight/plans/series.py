@@ -358,6 +358,20 @@ def duty_cycle(spark, sf) -> DataFrame:
     return rows.select("event_id", fixed(F.col("on_sum") / F.col("n")).alias("duty_e6"))
 
 
+PERIOD = 20
+
+
+def duty_cycle_period(spark, sf) -> DataFrame:
+    """How often a user clicks: the mean of the first 20 events, a decaying one from then on. Halves of a millionth are lifted over the edge in both engines."""
+    rows = events(spark, sf).withColumn("on", (F.col("event_type") == "click").cast("int"))
+    return U.duty_cycles(rows, ["user_id"], ORDER, "on", PERIOD).select("event_id", fixed(F.col("duty") + 1e-13).alias("duty_e6"))
+
+
+_DUTY = f"""WITH n AS (SELECT event_id, user_id, CAST(event_type = 'click' AS DOUBLE) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)
+SELECT b.event_id, {fixed_sql(f"CASE WHEN b.t <= {PERIOD} THEN avg(a.x) ELSE sum(a.x * pow({1 - 1 / PERIOD!r}, b.t - greatest(a.t, {PERIOD}))) / {PERIOD} END + 1e-13")} AS duty_e6
+FROM n b JOIN n a ON a.user_id = b.user_id AND a.t <= b.t GROUP BY b.event_id, b.t"""
+
+
 def bucket_actual_value_ema(spark, sf) -> DataFrame:
     """Exponential mean (0.3 to the newest) of a user's values: weights by age, the oldest with what is left."""
     # counted from the newest record back: an age is a weight, and the sums are partial ones
@@ -446,6 +460,7 @@ QUERIES = {
     "reset_learn_flags": (reset_learn_flags, "SELECT event_id, CAST((b IS NOT NULL AND b <> user_id) OR event_type = 'signup' AS INT) AS reset, CAST(event_type <> 'error' AS INT) AS learn FROM (SELECT *, lag(user_id) OVER (ORDER BY ts, event_id) AS b FROM events)"),
     "run_group_by": (run_group_by, "WITH l AS (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS b FROM events), r AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS run FROM l) SELECT CAST(run AS BIGINT) AS run, event_type, min(event_id) AS first_event, count(*) AS n FROM r GROUP BY 1, 2"),
     "duty_cycle": (duty_cycle, f"SELECT event_id, {fixed_sql('avg(CAST(event_type = ' + chr(39) + 'click' + chr(39) + ' AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)')} AS duty_e6 FROM events"),
+    "duty_cycle_period": (duty_cycle_period, _DUTY),
     "bucket_actual_value_ema": (bucket_actual_value_ema, f"WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, {fixed_sql('sum(value * pow(0.7, age) * CASE WHEN age = n - 1 THEN 1 ELSE 0.3 END)')} AS ema_e6 FROM r GROUP BY user_id"),
     "row_numbers": (row_numbers, "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rec_no FROM events"),
     "count_traces": (count_traces, f"SELECT hour, n, CAST(sum(n) OVER (ORDER BY hour) AS BIGINT) AS running FROM (SELECT {_HOUR} AS hour, count(DISTINCT user_id) AS n FROM events GROUP BY 1)"),

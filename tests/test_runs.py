@@ -70,3 +70,16 @@ def test_ranges_of_sliding_windows(spark, n):
         window = [v for k, at, v in data if k == r.k and at <= r["at"]][-n:]
         window = [v for v in window if v is not None]
         assert (r.low, r.high) == ((min(window), max(window)) if window else (None, None))
+
+
+@pytest.mark.parametrize("period", [1, 2, 5, 40])
+def test_duty_cycles_over_blocks(spark, period):
+    rng = random.Random(period)
+    data = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([0, 1, 1, None])) for i in range(900)]
+    found = U.duty_cycles(spark.createDataFrame(data, "k string, at int, on int").repartition(5), ["k"], ["at"], "on", period).collect()
+    duty, n, want = {}, {}, {}
+    for k, at, on in data:
+        n[k] = n.get(k, 0) + 1
+        p = min(period, n[k])
+        duty[k] = want[at] = ((p - 1) * duty.get(k, 0.0) + (on or 0)) / p
+    assert len(found) == 900 and all(abs(r.duty - want[r["at"]]) < 1e-12 for r in found)
