@@ -42,11 +42,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat in id and text, one stays. Documents without words are in no group and stay.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("hash"))
-    keyed = docs.select(_whole(docs), key.alias("key"))
+    kind = f"struct<none:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},hash:bigint>"  # as it comes back from the groups
+    keyed = docs.select(_whole(docs), key.cast(kind).alias("key"))
     groups = similar_groups(keyed.select("key", F.col("row.text").alias("text")), SHINGLES_5_AT_80, "key")
     stay = groups.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("stays")).distinct()
-    # null ids compare as equal inside the key, as structs do in a null-safe comparison
-    chosen = keyed.join(stay, F.col("key").eqNullSafe(F.col("stays")), "left_semi")
+    # keys are never null, and null ids inside them compare as equal; by plain equality and a merge join the
+    # rows stay where they were dealt by key, so that whole rows are shuffled once
+    chosen = keyed.join(stay.hint("merge"), F.col("key") == F.col("stays"), "left_semi")
     return _unpacked(chosen.dropDuplicates(["key"]), docs, {})
 
 

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shuffles_removed
+
 #: ASCII letters that the contracts lower-case; other letters stay as they are.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -47,12 +49,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df written once as a table in the shared folder and read back: its lineage ends there, and a lost executor costs a read."""
+    """df written once as a table in the shared folder and read back: its lineage ends there, and a lost executor costs a read.
+
+    The shuffle files that it took are removed when it is written.
+    """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,13 @@
+import glob
 import re
+import time
 
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from sparsight.llm import secrets as S
+from sparsight.llm.common import written
+from sparsight.shared import SHUFFLES_GO
 from tests.llm.test_jaccard import shingles
 
 
@@ -84,3 +88,28 @@ def test_stages_keep_columns_of_any_name(spark, sf, odd):
         assert sorted((tuple(r)[:5] for r in rows), key=str) == plain[name]
         assert all(tuple(r)[5:] == tuple((i,) for i in range(len(names))) for r in rows)
     assert P.pack_sequences(spark, docs, sf).count() == P.pack_sequences(spark, odd, sf).count()
+
+
+def test_whole_rows_are_shuffled_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = P.drop_near_duplicates(spark, docs, sf)
+    kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    exchanges = [line for line in plan.split("\n") if re.search(r"Exchange hashpartitioning\((\w+\()?key#", line)]
+    assert len(exchanges) == 1, exchanges
+
+
+def test_written_tables_leave_no_shuffle_files(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = spark.conf.get(SHUFFLES_GO)
+    folders = glob.glob(f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/blockmgr-*")
+    files = lambda: {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+    held = files()
+    dealt = written(docs.repartition(7, "doc_id"), "dealt")
+    for _ in range(50):  # the removal is told to the executors, and not waited for
+        left = files() - held
+        if not left:
+            break
+        time.sleep(0.1)
+    assert folders and not left and spark.conf.get(SHUFFLES_GO) == before
+    assert dealt.count() == docs.count()
