@@ -240,7 +240,7 @@ SELECT user_id, actual, {fixed_sql('p')} AS p_e6, "rank", "rank" = 1 AS is_best,
 def _found(spark, sf) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x * 256).cast("double")).alias("x"), F.col("label").alias("category"))
     forgotten = rows.where("id % 3 = 1").select("id")
-    return N.distances(rows.where("id % 20 = 0"), N.forget(rows, forgotten))
+    return N.closest(rows.where("id % 20 = 0"), N.forget(rows, forgotten), 1, by_category=True)
 
 
 _DISTANCES = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS FLOAT) * 256)::DOUBLE) AS x FROM embeddings),

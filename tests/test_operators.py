@@ -67,6 +67,25 @@ def test_prototypes(spark):
     assert N.closest_of_category(N.distances(q, df), 1).first().proto_id == 3
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_cells_give_the_nearest_of_all_distances(spark, monkeypatch, whole):
+    monkeypatch.setattr(N, "CELL_QUERIES", 7)
+    monkeypatch.setattr(N, "CELL_PROTOTYPES", 23)
+    draw = random.Random(3)
+    x = lambda: [float(draw.randrange(3)) if whole else draw.random() for _ in range(5)]
+    rows = [(i, x(), i % 4 if i % 7 else None, i % 3 if i % 11 else None) for i in range(80)] + [(80, None, 1, 1), (81, [1.0, None, 0.0, 0.0, 0.0], 1, 2), (82, [1.0], 2, 0), (None, x(), 1, 1)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, category int, partition int")
+    ask = df.where("id % 5 = 0 or id > 79")
+    for method, power, apart in [("norm", 2, False), ("norm", 1, True), ("raw_overlap", 2, False), ("pct_input", 2, True), ("pct_prototype", 2, False), ("pct_larger", 2, False)]:
+        plain = N.distances(ask, df, method, power, apart).where("query_id <> proto_id")
+        found = N.closest(ask, df, 3, method, power, apart, exclude_self=True)
+        assert found.count() < plain.count()
+        three = lambda d: sorted((r.query_id, r["rank"], r.proto_id, r.category, r.dist) for r in N.nearest(d, 3).collect())
+        assert str(three(found)) == str(three(plain))
+        each = N.closest(ask, df, 1, method, power, apart, exclude_self=True, by_category=True)
+        assert sorted(map(str, N.category_distance(each).collect())) == sorted(map(str, N.category_distance(plain).collect()))
+
+
 def test_projection_separates_clusters_completely(spark):
     from sparsight.sources.records import clusters
 
