@@ -86,6 +86,21 @@ def test_cells_give_the_nearest_of_all_distances(spark, monkeypatch, whole):
         assert sorted(map(str, N.category_distance(each).collect())) == sorted(map(str, N.category_distance(plain).collect()))
 
 
+def test_near_pairs_meet_in_cells_and_copies_do_not(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_PATTERNS", 17)
+    draw = random.Random(5)
+    xs = {i: [draw.uniform(0, 3) for _ in range(4)] for i in range(100)}
+    near = {(a, b) for a in xs for b in xs if a < b and sum((s - t) ** 2 for s, t in zip(xs[a], xs[b])) ** 0.5 < 1.0}
+    found = N._near_pairs(spark.createDataFrame(list(xs.items()), "id long, x array<double>"), 1.0).collect()
+    assert sorted(map(tuple, found)) == sorted(near)
+    copies = [(i, [1.0, 2.0]) for i in range(300)] + [(300, [9.0, None]), (301, [9.0, None]), (302, None), (303, [float("nan")] * 2), (304, [float("nan")] * 2)]
+    asked = []
+    pairs = N._near_pairs
+    monkeypatch.setattr(N, "_near_pairs", lambda rows, least: asked.append(rows.count()) or pairs(rows, least))
+    kept = N.learn(spark.createDataFrame(copies, "id long, x array<double>").withColumn("category", F.lit(1)), distance_threshold=1.0)
+    assert sorted(r.id for r in kept.collect()) == [0, 300, 301, 302, 303, 304] and asked == [1]
+
+
 def test_projection_separates_clusters_completely(spark):
     from sparsight.sources.records import clusters
 
