@@ -263,6 +263,19 @@ def test_packed_postings_give_the_winners_of_the_plain_join(spark, monkeypatch,
     assert C.top_columns(bits.limit(0), connected, 3).count() == 0 == C.top_columns(bits, connected.limit(0), 3).count()
 
 
+def test_overlaps_are_counted_from_packed_columns(spark):
+    draw = random.Random(9)
+    bits = spark.createDataFrame([(draw.randrange(9), draw.randrange(12)) for _ in range(60)], "rec long, bit long")
+    connected = spark.createDataFrame([(draw.randrange(20), draw.randrange(12)) for _ in range(80)], "col int, bit long")
+    found = C.overlap_join(bits, connected, 2)
+    plain = bits.join(connected, "bit").groupBy("rec", "col").count()
+    want = sorted((r.rec, r.col, r["count"] if r["count"] >= 2 else 0) for r in plain.collect())
+    assert sorted(map(tuple, found.select("rec", "col", "overlap").collect())) == want and found.schema["col"].dataType.simpleString() == "int"
+    assert "HashAggregate(keys=[rec" not in found._jdf.queryExecution().executedPlan().toString()
+    nulls = bits.union(spark.createDataFrame([(None, 3)], "rec long, bit long"))
+    assert C.overlap_join(nulls, connected).where("rec is null").count() == connected.where("bit = 3").select("col").distinct().count()
+
+
 def test_a_record_that_spans_batches_is_counted_once(spark):
     bits = spark.range(0, 30_000, numPartitions=3).select(F.lit(9).alias("rec"), F.col("id").alias("bit")).union(spark.range(5).select(F.lit(10), F.col("id")))
     connected = spark.range(0, 30_000).select((F.col("id") % 7).alias("col"), F.col("id").alias("bit")).union(spark.range(20_000).select(F.lit(100).cast("long"), F.col("id")))
