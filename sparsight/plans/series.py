@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import ordered as O
 from ..operators import runs as U
 from ..operators import stores as S
+from ..shared import written
 from .common import events, fixed, fixed_sql, table, text
 
 SCALAR = E.ScalarEncoder.of(21, 0, 500, n=421)
@@ -183,10 +184,11 @@ def category_bucket(spark, sf) -> DataFrame:
 
 
 def category_decode(spark, sf) -> DataFrame:
-    """Every event type's random encoding finds its own category again by overlap."""
+    """Every event type's random encoding finds its own category again by overlap; types are encoded once, not once an event."""
     kinds = events(spark, sf).select(F.col("event_type").alias("category")).distinct().withColumn("bits", E.random_bits(F.col("category"), 21, 400))
-    rows = events(spark, sf).select("event_id", E.random_bits(F.col("event_type"), 21, 400).alias("bits"))
-    return E.categories_of(rows, "bits", kinds, 21, 400).select("event_id", "category")
+    kinds = written(kinds, "kinds")  # or what reads the bits would filter the events by them
+    found = E.categories_of(kinds.withColumnRenamed("category", "kind"), "bits", kinds, 21, 400).select("kind", "category")
+    return events(spark, sf).select("event_id", "event_type").join(found, F.col("event_type").eqNullSafe(F.col("kind"))).select("event_id", "category")
 
 
 def moving_average(spark, sf) -> DataFrame:

@@ -146,3 +146,19 @@ def test_softmax_and_closeness(spark):
     assert one(spark, E.closeness(F.lit(8.0), F.lit(10.0))) == pytest.approx(0.8)
     lon, lat = E.inverse_mercator(*E.mercator(F.lit(12.5), F.lit(-45.25)))
     assert one(spark, lon, lat) == (pytest.approx(12.5), pytest.approx(-45.25))
+
+
+def test_equal_encodings_are_decoded_once(spark, sf):
+    from sparsight.plans import patterns, series
+
+    e = E.ScalarEncoder.of(21, 0, 500, n=421)
+    found = e.decode(spark.range(5000).select("id", e.bits((F.col("id") % 7 * 50).cast("double")).alias("bits")), "bits", "id")
+    assert {(r.id % 7 * 50, r.n) for r in found.groupBy("id", "value").count().withColumnRenamed("count", "n").collect()} == {(k * 50, 1) for k in range(7)} and found.count() == 5000
+    text = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    # rows are never grouped by their key, which would need a row for each bit and bucket of theirs
+    assert "Aggregate [id" not in text(found)
+    # no event is encoded: the scan of events leads to the join without hashes
+    assert "xxhash64" not in text(series.category_decode(spark, sf))
+    # places are distinct before they are encoded
+    plan = text(patterns.geo_bits(spark, sf))
+    assert plan.index("md5") < plan.index("Aggregate [lon")
