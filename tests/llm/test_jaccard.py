@@ -110,3 +110,15 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
+
+
+def test_links_do_not_depend_on_the_frequent_shingles(spark, sf, monkeypatch):
+    from sparsight.llm import jaccard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    groups = lambda: sorted(map(tuple, jaccard.similar_groups(docs, jaccard.SHINGLES_5_AT_80).select("doc_id", "n_shingles", "component_id").collect()))
+    found = groups()
+    every = np.unique(jaccard.shingle_sets([r.text for r in docs.collect()], 5)[0])
+    for answer in (np.zeros(0, np.uint64), every, every[::2].copy()):
+        monkeypatch.setattr(jaccard, "frequent_shingles", lambda *_, answer=answer: answer)
+        assert groups() == found
