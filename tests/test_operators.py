@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -244,6 +245,46 @@ def test_observed_memory_learns_like_the_plain_one():
     assert len(seen) == 30 and watched.winners.tolist() == plain.winners.tolist() and watched.segments == plain.segments
 
 
+def test_memory_learns_the_same_with_and_without_its_table(monkeypatch):
+    def learned(entries):
+        monkeypatch.setattr(H, "TABLE_ENTRIES", entries)
+        rng, memory, out = np.random.default_rng(8), H.TemporalMemory(H.MemoryParams(columns=24, cells=4, activation=2, matching=1, max_new=6, max_segments=3, max_synapses=5, punish=0.01)), []
+        assert (memory.met is None) == (entries == 0)
+        for i in range(400):
+            if i % 50 == 49:
+                memory = pickle.loads(pickle.dumps(memory))
+            memory.compute(np.sort(rng.choice(24, 4, replace=False)), i % 7 > 0)
+            out.append((memory.active.tolist(), memory.winners.tolist(), memory.active_segments.tolist(), memory.matching_segments.tolist()))
+        return out, memory.segments
+
+    assert learned(48_000_000) == learned(0)
+
+
+def test_pooler_looks_up_inputs_and_forgets_them_in_pickles():
+    rng, p = np.random.default_rng(3), model()
+    inputs = [np.sort(rng.choice(60, 12, replace=False)) for _ in range(5)]
+    for i in range(60):
+        p.compute(inputs[i % 5], True)
+        assert (p.joined == (p.perm >= p.p.connected)).all()
+    q = pickle.loads(pickle.dumps(p))
+    assert len(p.seen) == 5 and not q.seen
+    assert [p.compute(x, True).tolist() for x in inputs] == [q.compute(x, True).tolist() for x in inputs] and (p.duty == q.duty).all()
+
+
+def test_softmax_learns_from_runs_as_from_scattered_bits():
+    order = np.array([3, 0, 4, 1, 2, 5, 7, 6])
+    a, b = H.SoftmaxClassifier((1,), 0.5), H.SoftmaxClassifier((1,), 0.5)
+    for i in range(30):
+        run = np.arange(i % 4, i % 4 + 4)
+        p, q = a.compute(run, i % 3, 1.0), b.compute(order[run], i % 3, 1.0)
+        assert np.allclose(p[1], q[1])
+    twice, once = H.SoftmaxClassifier((1,), 0.5), H.SoftmaxClassifier((1,), 0.5)
+    for c, bits in ((twice, [1, 1]), (once, [1])):
+        c.compute(bits, 0)
+        c.compute(bits, 1)
+    assert np.allclose(twice.weights[1][1], 2 * once.weights[1][1])
+
+
 def test_changed_inference_kinds():
     with pytest.raises(ValueError):
         M.is_temporal("Anything")

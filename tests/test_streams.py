@@ -199,3 +199,9 @@ def test_models_read_records_of_several_fields(spark, tmp_path):
     drained(windows.to_sink(query, lambda out, n: out.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "state")))
     streamed = spark.read.parquet(str(tmp_path / "out")).orderBy("rec_no").collect()
     assert [(r.rec_no, r.raw_score, r.active_columns) for r in streamed] == [(r.rec_no, r.raw_score, r.active_columns) for r in found]
+
+
+def test_heavy_keys_are_learned_in_different_tasks(spark):
+    df = spark.range(400).select((F.col("id") % 4).cast("string").alias("k"), F.col("id").alias("i"), (F.col("id") % 50).cast("double").alias("v"))
+    tasks = keyed.score(df, ["k"], ["i"], ScalarEncoder.of(21, 0, 100, n=121), "v", columns=32, active=3).select("k", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 4 and len({r.task for r in tasks}) == 4
