@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .ordered import trailing
 
-#: (numerator term, denominator term or None for a mean, what is done to the ratio) of truth and prediction.
+#: (numerator term, denominator term or None for a mean, what is done to the mean, or to the numerator's sum before it is divided) of
+#: truth and prediction.
 METRICS: dict[str, tuple[Callable, Callable | None, Callable]] = {
     "rmse": (lambda t, p: F.pow(t - p, F.lit(2.0)), None, F.sqrt),
     "aae": (lambda t, p: F.abs(t - p), None, lambda x: x),
@@ -29,7 +30,7 @@ def metric(name: str, truth: Column, prediction: Column, over=None) -> Column:
     if bottom is None:
         return last(total / put(F.count(F.when(both, 1))))
     under = put(F.sum(F.when(both, bottom(truth, prediction))))
-    return F.when(under > 0, last(total / F.when(under > 0, under))).otherwise(0.0)
+    return F.when(under > 0, last(total) / F.when(under > 0, under)).otherwise(0.0)
 
 
 def multistep(name: str, truth: Column, predictions: dict[int, Column]) -> Column:

@@ -43,6 +43,8 @@ def test_metrics_skip_nulls_and_know_their_names(spark):
     r = M.score_table(df.withColumn("g", F.lit(1)), "t", "p", list(M.METRICS), ["g"]).first()
     assert (r.rmse, r.aae, r.avg_err, r.altMAPE) == (pytest.approx((5 / 3) ** 0.5), 1.0, pytest.approx(2 / 3), 75.0)
     assert df.agg(M.multistep("aae", F.col("t"), {1: F.col("p"), 2: F.col("t")})).first()[0] == 0.5
+    edge = spark.createDataFrame([(100.0, 93.0)], "t double, p double")  # 100 * (7 / 100) is above 7
+    assert edge.agg(M.metric("altMAPE", F.col("t"), F.col("p"))).first()[0] == 100 * 7.0 / 100.0 == 7.0
     assert M.label("rmse", "multi", "y", window=10, steps=1) == "multi:rmse:steps=1:window=10:field=y"
     with pytest.raises(ValueError):
         M.metric("trivial", F.col("t"), F.col("p"))
