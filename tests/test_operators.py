@@ -319,6 +319,14 @@ def test_overlaps_are_counted_from_packed_columns(spark):
     assert C.overlap_join(nulls, connected).where("rec is null").count() == connected.where("bit = 3").select("col").distinct().count()
 
 
+def test_arrays_are_cut_by_the_columns_of_their_bit(spark, monkeypatch):
+    monkeypatch.setattr(C, "POSTING_COLUMNS", 20)
+    connected = spark.range(400).select("id", F.floor(F.col("id") / 4).alias("bit")).union(spark.range(100).select(F.col("id") * 4, F.lit(500))).toDF("col", "bit")
+    postings, groups = C._postings(connected)
+    rows = {r.bit: r["count"] for r in postings.groupBy("bit").count().collect()}
+    assert groups == 1 and {n for bit, n in rows.items() if bit != 500} == {1} and 1 < rows[500] <= 5
+
+
 def test_a_record_that_spans_batches_is_counted_once(spark):
     bits = spark.range(0, 30_000, numPartitions=3).select(F.lit(9).alias("rec"), F.col("id").alias("bit")).union(spark.range(5).select(F.lit(10), F.col("id")))
     connected = spark.range(0, 30_000).select((F.col("id") % 7).alias("col"), F.col("id").alias("bit")).union(spark.range(20_000).select(F.lit(100).cast("long"), F.col("id")))
