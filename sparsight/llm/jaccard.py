@@ -6,12 +6,14 @@
    candidates. The number of groups follows the size, by classes of sizes between which links reach one class up only.
    Shingles that a bounded sample of texts shows to be frequent are left out of the contents first: whichever they are,
    two linked sets still differ in at most r groups. Sets that have no more than 2 r groups without them send keys of
-   their full contents too, so where one of two linked sets needs those, both have them. Keys travel packed by shard;
+   their full contents too, so where one of two linked sets needs those, both have them. Keys travel packed by shard, in
+   slices of the shards one after the other;
    the parities of 128 group counts of each set then rule out what differs in more places than linked sets may.
 3. Candidates that hang together are searched by a count-vector R-tree: elements hash into 32 groups, a set's group counts
    are a point, and a node's box bounds the overlap of a set with all of its points by the summed minima of coordinates.
    Pairs that survive are verified on the sets, unless links found before already join them. Large groups are cut into
-   blocks, which meet in pairs; a block pair returns a forest of links, never all pairs.
+   blocks, which meet in pairs; a block pair returns a forest of links, never all pairs. Many pairs meet in rounds, each
+   with a bounded part of the shuffle.
 4. Components of the verified links.
 
 A link can only be missed if the hash leaves a set no more than r groups that count; the spare groups keep the chance of
@@ -20,6 +22,7 @@ such an accident near 1e-8 a pair, and with other pairs of the same component us
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 import numpy as np
@@ -61,6 +64,11 @@ LEAF = 16
 ROWS_PER_SHARD = 2500
 BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 500_000
 CLASSES_PER_TASK = 2000
+#: Where blocks that meet in pairs would make what is shuffled more than so many times all sets, pairs meet in rounds.
+ROUND_TIMES = 2
+#: From more shards than this on, keys travel in so many slices of the shards, one after the other: a slice's shuffle files go
+#: before the next slice's come.
+SLICED_FROM, SLICES = 16, 2
 #: 64-bit words of the bitmap that tells which ids may be members of a candidate group (8 MB, whatever the input).
 BITMAP_WORDS = 2**20
 #: Documents (about) of the sample that tells frequent shingles, and in how many different sets of it one is frequent.
@@ -82,15 +90,14 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     import xxhash
 
     give_memory_back()
-    number: dict[bytes, int] = {}
-    ids: list[int] = []
     sizes = np.zeros(len(texts), dtype=np.int64)
+    hashed = [np.zeros(0, np.uint64)]
     for i, text in enumerate(texts):
         own = words(text) if text else []
-        ids += [number.setdefault(w, len(number)) for w in own]
+        hashed.append(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)))
         sizes[i] = len(own)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))[np.array(ids, dtype=np.int64)]
-    del ids, number
+    hashes = np.concatenate(hashed)
+    del hashed
     starts = np.cumsum(sizes) - sizes
     n_words = np.minimum(sizes, width)
     counts = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
@@ -101,8 +108,9 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
         has = k < n_words[owner]
         part = hashes[np.minimum(first + k, max(len(hashes) - 1, 0))] if len(hashes) else values
         values = np.where(has, _mix(values * _MULTIPLIERS[k % 4] + part), values)
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist()):
+        values[a:b].sort()
     kept = np.ones(len(values), bool)
     kept[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[kept], owner[kept]
@@ -266,10 +274,13 @@ def _candidates(rows: DataFrame, classes: DataFrame, rule: Rule, shards: int, fr
     """Edges (u, v) between digests: of the classes that share a group, those that chains of possible links connect.
 
     A shard finds the keys that several classes have, and lists their members; a list that several keys have is kept once.
-    Members then meet again by list, with their sizes and parities.
+    Members then meet again by list, with their sizes and parities. What takes the disk is the keys on their way to the
+    shards: a key travels with the lower half of its class's digest, by which a member is every class that has it, and
+    slices of the shards travel one after the other, each hashing the texts again. Linked classes that agree in that half
+    (a chance of 2^-32 a pair) would not meet by their keys.
     """
 
-    def keys(batches):
+    def keys(batches, part: int, slices: int):
         for batch in _batches(batches, "text"):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), rule.width)
             digests = set_digests(values, bounds)
@@ -279,32 +290,31 @@ def _candidates(rows: DataFrame, classes: DataFrame, rule: Rule, shards: int, fr
             text, key = group_keys(values, bounds, rule, frequent)
             text, key = text[once[text]], key[once[text]]
             shard = (key >> np.uint64(32)) % np.uint64(shards)
+            own = shard % np.uint64(slices) == part
+            text, key, shard = text[own], key[own], shard[own]
             order = np.argsort(shard, kind="stable")
-            key, digest = key[order].astype("<u4"), digests[text[order]]
+            key, half = key[order].astype("<u4"), digests.astype("<i4")[text[order]]  # the lower halves of digests
             edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-            out = [(s, key[a:b].tobytes(), digest[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-            s, k, d = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], names=["shard", "keys", "digests"])
+            out = [(s, key[a:b].tobytes(), half[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            s, k, h = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(h, pa.binary())], names=["shard", "keys", "halves"])
 
     def meet(group: pa.Table) -> pa.Table:
         give_memory_back()
         key = np.concatenate([np.frombuffer(k, "<u4") for k in group.column("keys").to_pylist()])
-        digest = np.concatenate([np.frombuffer(d, "<i8") for d in group.column("digests").to_pylist()])
-        order = np.lexsort((digest, key))
-        key, digest = key[order], digest[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-        key, digest = key[fresh], digest[fresh]
+        half = np.concatenate([np.frombuffer(h, "<i4") for h in group.column("halves").to_pylist()])
+        both = np.unique(key.astype(np.uint64) << np.uint64(32) | half.view("<u4"))
+        key, half = both >> np.uint64(32), both.astype(np.uint32)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(start, len(key)))
         # a list's number is a hash of its members, so that lists of other shards compare
-        sums = np.add.reduceat(_mix(digest.view(np.uint64)), start)
+        sums = np.add.reduceat(_mix(half.astype(np.uint64)), start)
         number = _mix(sums * _MULTIPLIERS[1] + count.astype(np.uint64)).view(np.int64)
         _, first = np.unique(number, return_index=True)
         once = np.zeros(len(start), bool)
         once[first] = True
         kept = np.repeat(once & (count > 1), count)
-        return pa.table({"list": pa.array(np.repeat(number, count)[kept]), "digest": pa.array(digest[kept])})
+        return pa.table({"list": pa.array(np.repeat(number, count)[kept]), "half": pa.array(half[kept].view(np.int32))})
 
     def chains(group: pa.Table) -> pa.Table:
         digests, first, node = np.unique(group.column("digest").to_numpy(), return_index=True, return_inverse=True)
@@ -312,9 +322,17 @@ def _candidates(rows: DataFrame, classes: DataFrame, rule: Rule, shards: int, fr
         edges = digests[_meet(group.column("list").to_numpy(), node, group.column("n").to_numpy()[first], parity, rule)]
         return pa.table({"u": pa.array(edges[:, 0].copy()), "v": pa.array(edges[:, 1].copy())})
 
-    lists = rows.select("text").mapInArrow(keys, "shard int, keys binary, digests binary").groupBy("shard").applyInArrow(meet, "list bigint, digest bigint")
+    def lists(part: int, slices: int) -> DataFrame:
+        sent = rows.select("text").mapInArrow(lambda batches: keys(batches, part, slices), "shard int, keys binary, halves binary")
+        return sent.groupBy("shard").applyInArrow(meet, "list bigint, half int")
+
+    if shards > SLICED_FROM:
+        found = functools.reduce(DataFrame.union, [written(lists(part, SLICES), "lists") for part in range(SLICES)])
+    else:
+        found = lists(0, 1)
     known = classes.groupBy("digest").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("q").alias("q"))
-    members = lists.distinct().join(known, "digest").withColumn("part", F.pmod("list", F.lit(shards)))
+    known = known.withColumn("half", F.shiftright(F.call_function("shiftleft", "digest", F.lit(32)), 32).cast("int"))
+    members = found.distinct().join(known, "half").select("list", "digest", "n", "p", "q").withColumn("part", F.pmod("list", F.lit(shards)))
     return members.groupBy("part").applyInArrow(chains, "u bigint, v bigint")
 
 
@@ -419,8 +437,11 @@ def _verified(rows: DataFrame, classes: DataFrame, hanging: DataFrame, rule: Rul
                 packed = pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(set_digests(values, bounds)), packed], names=["digest", "shingles"])
 
+    once, sent = (int(x or 0) for x in members.join(weights, "component").agg(F.sum("n"), F.sum(F.col("n") * F.col("blocks"))).first())
+    rounds = max(1, -(-sent // max(1, ROUND_TIMES * once)))
     found = rows.select("text", place.alias("place")).mapInArrow(sets, "digest bigint, shingles binary")
     held = found.join(wanted.hint("merge"), "digest")  # one plan at every size, which Spark can split where a key is hot
+    held = written(held, "sets") if rounds > 1 else held
     small = F.col("blocks") == 1
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = held.select("*", other.alias("other")).select(
@@ -450,7 +471,11 @@ def _verified(rows: DataFrame, classes: DataFrame, hanging: DataFrame, rule: Rul
         u, v = zip(*out) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return cells.groupBy("task", "i", "j").applyInArrow(search, "u bigint, v bigint")
+    links = lambda some: some.groupBy("task", "i", "j").applyInArrow(search, "u bigint, v bigint")
+    if rounds == 1:
+        return links(cells)
+    turn = F.pmod(F.xxhash64("task", "i", "j"), F.lit(rounds))
+    return functools.reduce(DataFrame.union, [written(links(cells.where(turn == k)), "links") for k in range(rounds)])
 
 
 def similar_groups(docs: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -65,6 +65,20 @@ def test_blocks_meet(spark, monkeypatch):
     assert seen(J.similar_groups(df, J.SHINGLES_4_AT_85).collect()) == brute(rows, J.SHINGLES_4_AT_85)
 
 
+def test_slices_and_rounds_give_the_same_groups(spark, monkeypatch):
+    """Keys and pairs of blocks are shuffled in parts, each written before the next one starts."""
+    labels, write = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, label: (labels.append(label), write(df, label))[1])
+    for name, value in (("SLICED_FROM", 0), ("BLOCK_CLASSES", 7), ("ROUND_TIMES", 1)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, words if i < 50 else words[:40], 0.01))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert seen(J.similar_groups(df, J.SHINGLES_4_AT_85).collect()) == brute(rows, J.SHINGLES_4_AT_85)
+    assert labels.count("lists") == J.SLICES and labels.count("links") > 2
+
+
 def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert seen(J.op2_count_vector_join(spark, sf).collect()) == brute(rows, J.SHINGLES_4_AT_85)
