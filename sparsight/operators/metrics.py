@@ -19,17 +19,21 @@ METRICS: dict[str, tuple[Callable, Callable | None, Callable]] = {
 }
 
 
-def metric(name: str, truth: Column, prediction: Column, over=None) -> Column:
-    """A named metric as an aggregate, or over a window; rows where truth or prediction is null don't count."""
+def metric(name: str, truth: Column, prediction: Column, over=None, sums: Callable[[Column], Column] | None = None) -> Column:
+    """A named metric as an aggregate, or over a window; rows where truth or prediction is null don't count.
+
+    sums, where given, adds the terms up instead of a sum over the window.
+    """
     if name not in METRICS:
         raise ValueError(f"unknown metric {name}; known: {sorted(METRICS)}")
     top, bottom, last = METRICS[name]
     both = truth.isNotNull() & prediction.isNotNull()
     put = lambda c: c.over(over) if over is not None else c
-    total = put(F.sum(F.when(both, top(truth, prediction))))
+    sums = sums or (lambda c: put(F.sum(c)))
+    total = sums(F.when(both, top(truth, prediction)))
     if bottom is None:
         return last(total / put(F.count(F.when(both, 1))))
-    under = put(F.sum(F.when(both, bottom(truth, prediction))))
+    under = sums(F.when(both, bottom(truth, prediction)))
     return F.when(under > 0, last(total) / F.when(under > 0, under)).otherwise(0.0)
 
 

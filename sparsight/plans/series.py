@@ -288,10 +288,13 @@ def metric_multistep(spark, sf) -> DataFrame:
 
 
 def metric_windowed(spark, sf) -> DataFrame:
-    """Root mean square and relative errors over the trailing 20 rows."""
-    rows = _predicted(spark, sf, (1,))
-    frame = lambda w: w.rowsBetween(-19, 0)
-    rows = O.trailing(rows, ["event_type"], "hour", ORDER, 19, {"rmse": lambda w: M.metric("rmse", F.col("value"), F.col("p1"), frame(w)), "mape": lambda w: M.metric("altMAPE", F.col("value"), F.col("p1"), frame(w))}, ["value", "p1"])
+    """Root mean square and relative errors over the trailing 20 rows, whose sums are rounded as in the SQL: by blocks of 16 rows of a type."""
+    rows = O.running(_predicted(spark, sf, (1,)).withColumn("one", F.lit(1)), ["event_type"], "hour", ORDER, {"at": ("count", "one")})
+
+    def windowed(name):
+        return lambda w: M.metric(name, F.col("value"), F.col("p1"), w.rowsBetween(-19, 0), lambda term: O.blocked_sum(w, term, 20, F.col("at")))
+
+    rows = O.trailing(rows, ["event_type"], "hour", ORDER, 19, {"rmse": windowed("rmse"), "mape": windowed("altMAPE")}, ["value", "p1"])
     return rows.select("event_id", fixed(F.col("rmse")).alias("rmse_e6"), fixed(F.col("mape")).alias("mape_e6"))
 
 
