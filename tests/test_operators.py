@@ -358,3 +358,17 @@ def test_blocked_sums_round_as_the_sql_engine(spark):
         want |= {(k, i): s for i, s in con.execute(f"SELECT i, sum(x) OVER (ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) FROM t WHERE k = {k}").fetchall()}
     assert {key: r.blocked for key, r in found.items()} == want
     assert any(r.plain != want[key] for key, r in found.items())
+
+
+def test_lists_of_columns_travel_packed(spark):
+    draw = random.Random(12)
+    ends = [0, 1, 127, 128, -1, -(2**63), 2**63 - 1]
+    lists = [[], ends, [5], [], [7, 7, 7], *[[draw.randrange(-(10**draw.randrange(1, 19)), 10**9) for _ in range(draw.randrange(40))] for _ in range(50)], []]
+    counts = np.array([len(x) for x in lists])
+    packed, at = C.pack_lists(np.array([v for x in lists for v in x], np.int64), counts)
+    values, found = C.unpack_lists(packed, at)
+    assert found.tolist() == counts.tolist() and values.tolist() == [v for x in lists for v in sorted(x)]
+    assert [len(x) for x in C.unpack_lists(*C.pack_lists(np.zeros(0, np.int64), np.zeros(0, np.int64)))] == [0, 0]
+    connected = spark.range(6000).select((F.col("id") * 30 % 1009).alias("col"), (F.col("id") % 200).alias("bit"))
+    size, n = C._postings(connected)[0].agg(F.sum(F.length("cols")), F.count("bit")).first()
+    assert n == 200 and size < 2 * 6000 + 200  # four bytes a column before
